@@ -11,9 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Number shapes and month names of the source reports.
+# Fixed value: number shape of the source reports.
 PLAIN_NUMBER = "^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)$"
-MONTHS = "JANFEBMARAPRMAYJUNJULAUGSEPOCTNOVDEC"
 
 _alnum = "regexp_replace({x}, '[^A-Za-z0-9]', '')"
 _digits = "regexp_replace({x}, '[^0-9]', '')"
@@ -27,48 +26,40 @@ CUSTOMER_ID = (
 ACCOUNT_NO = f"nullif({_alnum}, '')"
 
 BRANCH_CODE = (
-    "CASE WHEN trim({x}) = '' THEN NULL "
-    f"WHEN {_digits} = '' THEN trim({{x}}) "
+    f"CASE WHEN {_digits} = '' THEN nullif(trim({{x}}), '') "
     f"ELSE right(concat('00000', {_digits}), 5) END"
 )
 
-# One sign is taken off each end; a minus on either end negates once.
-_money_body = (
-    "replace(translate(regexp_replace(regexp_replace(trim({x}), '[+-]$', ''), '^[+-]', ''), ', $', ''), '₹', '')"
-)
+# One sign is taken off each end, separators and currency signs are dropped; a minus on either end
+# negates once. An exponent is turned into a letter that no number has.
+_money_body = "translate(regexp_replace(trim({x}), '^[+-]|[+-]$', ''), 'eE, $₹', 'xx')"
 AMOUNT = (
-    "CASE WHEN upper(trim({x})) IN ('', 'N/A', '-', '.') THEN NULL "
-    f"WHEN NOT ({_money_body} RLIKE '{PLAIN_NUMBER}') THEN NULL "
-    f"WHEN trim({{x}}) RLIKE '^-|-$' THEN -try_cast({_money_body} AS DECIMAL(18,2)) "
-    f"ELSE try_cast({_money_body} AS DECIMAL(18,2)) END"
+    "CAST(CASE WHEN startswith(trim({x}), '-') OR endswith(trim({x}), '-') THEN -1 ELSE 1 END "
+    f"* try_cast({_money_body} AS DECIMAL(18,2)) AS DECIMAL(18,2))"
 )
 
-# dd-MON-yy / dd-MON-yyyy: two-digit years up to 49 are 20xx, the rest 19xx.
-_mon_day = "regexp_extract(trim({x}), '^([0-9]{{1,2}})-[A-Za-z]{{3}}-[0-9]{{1,4}}$', 1)"
-_mon_name = "upper(regexp_extract(trim({x}), '^[0-9]{{1,2}}-([A-Za-z]{{3}})-[0-9]{{1,4}}$', 1))"
-_mon_year = "try_cast(regexp_extract(trim({x}), '^[0-9]{{1,2}}-[A-Za-z]{{3}}-([0-9]{{1,4}})$', 1) AS INT)"
-_mon_full = (
-    f"(CASE WHEN {_mon_year} <= 49 THEN 2000 + {_mon_year} "
-    f"WHEN {_mon_year} < 100 THEN 1900 + {_mon_year} ELSE {_mon_year} END)"
-)
+# The place of the first separator and the presence of letters choose the one format to try.
+# dd-MON-yy: two-digit years up to 49 are 20xx, the rest 19xx.
+_day_text = "translate(trim({x}), '/', '-')"
+_mon_year = "try_cast(split_part({x}, '-', 3) AS INT)"
+_mon_full = f"CASE WHEN {_mon_year} <= 49 THEN 2000 + {_mon_year} WHEN {_mon_year} < 100 THEN 1900 + {_mon_year} ELSE {_mon_year} END"
 DATE = (
     "CASE "
-    "WHEN trim({x}) RLIKE '^[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{4}}$' THEN try_to_date(trim({x}), 'd/M/yyyy') "
-    "WHEN trim({x}) RLIKE '^[0-9]{{1,2}}-[0-9]{{1,2}}-[0-9]{{4}}$' THEN try_to_date(trim({x}), 'd-M-yyyy') "
-    "WHEN trim({x}) RLIKE '^[0-9]{{4}}-[0-9]{{1,2}}-[0-9]{{1,2}}$' THEN try_to_date(trim({x}), 'yyyy-M-d') "
-    "WHEN trim({x}) RLIKE '^[0-9]{{8}}$' THEN try_to_date(trim({x}), 'yyyyMMdd') "
-    f"WHEN pmod(instr('{MONTHS}', {_mon_name}), 3) = 1 AND length({_mon_name}) = 3 "
-    f"AND {_mon_full} BETWEEN 1900 AND 2099 "
-    f"THEN try_to_date(concat_ws('-', {_mon_full}, (instr('{MONTHS}', {_mon_name}) + 2) DIV 3, {_mon_day}), 'yyyy-M-d') "
+    f"WHEN instr({_day_text}, '-') = 5 THEN try_to_date({_day_text}, 'yyyy-M-d') "
+    f"WHEN instr({_day_text}, '-') = 0 THEN CASE WHEN length({_day_text}) = 8 THEN try_to_date({_day_text}, 'yyyyMMdd') END "
+    f"WHEN {_day_text} RLIKE '^[0-9]+-[A-Za-z]+-[0-9]+$' THEN CASE WHEN {_mon_full} BETWEEN 1900 AND 2099 THEN "
+    f"try_to_date(concat_ws('-', split_part(trim({{x}}), '-', 1), initcap(split_part({{x}}, '-', 2)), {_mon_full}), 'd-MMM-yyyy') END "
+    f"ELSE try_to_date({_day_text}, 'd-M-yyyy') "
     "END"
 )
 
-# Dashes and underscores count as spaces; a leading two-digit code before text is dropped.
+# Dashes and underscores count as spaces; a leading two-digit code before text is dropped. The cleaned text
+# stands in every condition, so that it is computed once per row.
 _class_text = (
     "ltrim(regexp_replace(trim(replace(translate(upper(trim({x})), '-_', '  '), '  ', ' ')), '^[0-9]{{2}}(?= )', ''))"
 )
 ASSET_CLASS = (
-    "CASE WHEN trim({x}) = '' THEN NULL "
+    f"CASE WHEN {_class_text} = '' THEN CASE WHEN trim({{x}}) = '' THEN NULL ELSE '' END "
     f"WHEN {_class_text} IN ('0', '00') THEN 'STANDARD' "
     f"WHEN {_class_text} IN ('1', '01') THEN 'SUB_STANDARD' "
     f"WHEN {_class_text} IN ('2', '02') THEN 'DOUBTFUL' "
@@ -82,7 +73,7 @@ ASSET_CLASS = (
 
 _status_text = "ltrim(regexp_replace(trim(translate(upper(trim({x})), '-_', '  ')), '^[0-9]{{2}}(?= )', ''))"
 ACCOUNT_STATUS = (
-    "CASE WHEN trim({x}) = '' THEN NULL "
+    f"CASE WHEN {_status_text} = '' THEN CASE WHEN trim({{x}}) = '' THEN NULL ELSE '' END "
     f"WHEN {_status_text} LIKE '%OPEN%' THEN 'OPEN' "
     f"WHEN {_status_text} RLIKE 'CLOSE|CLSD' THEN 'CLOSED' "
     f"WHEN {_status_text} RLIKE 'DORMANT|DRMNT' THEN 'DORMANT' "

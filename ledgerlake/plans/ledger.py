@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import cleanse
-from ..operators import joining, scope
+from ..operators import joining, lineage, scope
 from .schemas import GL_SUMMARY, conform
 
 TOTALS, BALANCES = "GLCC_WISE_SUM_REP", "GLCC_WISE_BAL_REP"
@@ -79,7 +79,10 @@ def matching_flows(summary: DataFrame, flows: DataFrame) -> DataFrame:
 
 def gl_summary(staged: dict[str, DataFrame], day: str | None = None) -> DataFrame:
     """Totals, then balances of classes without totals, then flows: matched classes take
-    them over, product codes that are no class of their own are added."""
+    them over, product codes that are no class of their own are added.
+
+    Flows and totals are settled after aggregation, since matching, updating and inserting all use them.
+    """
     parts = []
     if TOTALS in staged:
         parts.append(class_totals(staged[TOTALS], day))
@@ -89,9 +92,10 @@ def gl_summary(staged: dict[str, DataFrame], day: str | None = None) -> DataFram
     summary = parts[0].unionByName(parts[1]) if len(parts) == 2 else parts[0] if parts else None
     if FLOWS not in staged:
         return summary
-    flows = daily_flows(staged[FLOWS], day)
+    flows = lineage.settled(daily_flows(staged[FLOWS], day))
     if summary is None:
         return flows
+    summary = lineage.settled(summary)
     updated = joining.update_from(
         summary, matching_flows(summary, flows), KEYS, {c: F.col(f"s.{c}") for c in FLOW_COLUMNS.values()})
     return updated.unionByName(flows.join(summary.select(*KEYS), KEYS, "left_anti"))

@@ -129,8 +129,10 @@ def _risk(w: Warehouse, day: str | None) -> int:
     staged = w.staged([*risk.PRECEDENCE, risk.DRAWING])
     if not any(t in staged for t in risk.PRECEDENCE):
         return 0
-    draft = w.checked(risk.loan_risk(staged, day), RISK, risk.KEYS, ["SNAPSHOT_DATE", "ACCOUNT_NO", "BRANCH_CODE"], [], day)
-    return w.replace(draft, RISK, ["SNAPSHOT_DATE"], day)
+    draft = w.checked(
+        risk.loan_risk(staged, day, with_copies=True), RISK, None, ["SNAPSHOT_DATE", "ACCOUNT_NO", "BRANCH_CODE"], [], day)
+    quality.require_empty(draft.filter("copies > 1").select(*risk.KEYS, "copies"), f"{RISK}: duplicate keys {risk.KEYS}")
+    return w.replace(draft.drop("copies"), RISK, ["SNAPSHOT_DATE"], day)
 
 
 def _ledger(w: Warehouse, day: str | None) -> int:
