@@ -257,4 +257,7 @@ def with_standins(text: str, *names: str) -> str:
     """The same stand-ins as common table expressions in front of a checking query."""
     given = {n: n for n in GIVEN}
     parts = [f"{n} as ({STANDINS[n].format(**given)})" for n in names]
+    if text.startswith("with ") and parts:
+        parts.append(text[len("with "):])
+        return "with " + ", ".join(parts)
     return ("with " + ", ".join(parts) + " " if parts else "") + text
