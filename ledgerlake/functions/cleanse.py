@@ -11,46 +11,60 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed value: number shape of the source reports.
+# Number shape and month names of the source reports.
 PLAIN_NUMBER = "^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)$"
+MONTHS = "JANFEBMARAPRMAYJUNJULAUGSEPOCTNOVDEC"
 
-_alnum = "regexp_replace({x}, '[^A-Za-z0-9]', '')"
+# Most codes are all digits already: trimming digits off both ends tells, without a pattern.
+_all_digits = "btrim({x}, '0123456789') = ''"
+_alnum = f"CASE WHEN {_all_digits} THEN {{x}} ELSE regexp_replace({{x}}, '[^A-Za-z0-9]', '') END"
 _digits = "regexp_replace({x}, '[^0-9]', '')"
 
 CUSTOMER_ID = (
-    f"CASE WHEN {_alnum} = '' THEN NULL "
-    f"WHEN {_alnum} RLIKE '^[0-9]+$' THEN regexp_replace({_alnum}, '^0+(?=.)', '') "
+    f"CASE WHEN ({_alnum}) = '' THEN NULL "
+    f"WHEN btrim({_alnum}, '0123456789') = '' THEN coalesce(nullif(trim(LEADING '0' FROM {_alnum}), ''), '0') "
     f"ELSE {_alnum} END"
 )
 
 ACCOUNT_NO = f"nullif({_alnum}, '')"
 
 BRANCH_CODE = (
-    f"CASE WHEN {_digits} = '' THEN nullif(trim({{x}}), '') "
+    "CASE WHEN trim({x}) = '' THEN NULL "
+    f"WHEN {_all_digits} THEN right(concat('00000', {{x}}), 5) "
+    f"WHEN {_digits} = '' THEN trim({{x}}) "
     f"ELSE right(concat('00000', {_digits}), 5) END"
 )
 
 # One sign is taken off each end, separators and currency signs are dropped; a minus on either end
 # negates once. An exponent is turned into a letter that no number has.
-_money_body = "translate(regexp_replace(trim({x}), '^[+-]|[+-]$', ''), 'eE, $₹', 'xx')"
+_lead = "(CASE WHEN left(trim({x}), 1) IN ('+', '-') THEN 1 ELSE 0 END)"
+_trail = "(CASE WHEN right(trim({x}), 1) IN ('+', '-') THEN 1 ELSE 0 END)"
+_money_body = f"substring(trim({{x}}), 1 + {_lead}, length(trim({{x}})) - {_lead} - {_trail})"
+for _char, _by in ((",", ""), (" ", ""), ("$", ""), ("₹", ""), ("e", "x"), ("E", "x")):
+    _money_body = f"replace({_money_body}, '{_char}', '{_by}')"
 AMOUNT = (
     "CAST(CASE WHEN startswith(trim({x}), '-') OR endswith(trim({x}), '-') THEN -1 ELSE 1 END "
     f"* try_cast({_money_body} AS DECIMAL(18,2)) AS DECIMAL(18,2))"
 )
 
-# The place of the first separator and the presence of letters choose the one format to try.
-# dd-MON-yy: two-digit years up to 49 are 20xx, the rest 19xx.
-_day_text = "translate(trim({x}), '/', '-')"
-_mon_year = "try_cast(split_part({x}, '-', 3) AS INT)"
-_mon_full = f"CASE WHEN {_mon_year} <= 49 THEN 2000 + {_mon_year} WHEN {_mon_year} < 100 THEN 1900 + {_mon_year} ELSE {_mon_year} END"
+# Three parts between two separators; letters in the middle make it dd-MON-yy (two-digit years up to
+# 49 are 20xx, the rest 19xx), a separator at the fifth place makes it ISO, else day first.
+_day_text = "replace(trim({x}), '/', '-')"
+_p1 = f"substring_index({_day_text}, '-', 1)"
+_p2 = f"substring_index(substring_index({_day_text}, '-', 2), '-', -1)"
+_p3 = f"substring_index({_day_text}, '-', -1)"
+_parts = f"length({_day_text}) - length(replace({_day_text}, '-', ''))"
+_year = f"try_cast({_p3} AS INT)"
+_full_year = f"CASE WHEN {_year} <= 49 THEN 2000 + {_year} WHEN {_year} < 100 THEN 1900 + {_year} ELSE {_year} END"
+_month = f"instr('{MONTHS}', upper({_p2}))"
 DATE = (
-    "CASE "
-    f"WHEN instr({_day_text}, '-') = 5 THEN try_to_date({_day_text}, 'yyyy-M-d') "
-    f"WHEN instr({_day_text}, '-') = 0 THEN CASE WHEN length({_day_text}) = 8 THEN try_to_date({_day_text}, 'yyyyMMdd') END "
-    f"WHEN {_day_text} RLIKE '^[0-9]+-[A-Za-z]+-[0-9]+$' THEN CASE WHEN {_mon_full} BETWEEN 1900 AND 2099 THEN "
-    f"try_to_date(concat_ws('-', split_part(trim({{x}}), '-', 1), initcap(split_part({{x}}, '-', 2)), {_mon_full}), 'd-MMM-yyyy') END "
-    f"ELSE try_to_date({_day_text}, 'd-M-yyyy') "
-    "END"
+    f"CASE WHEN {_parts} = 0 AND length({_day_text}) = 8 THEN try_to_date({_day_text}, 'yyyyMMdd') "
+    f"WHEN {_parts} <> 2 THEN NULL "
+    f"WHEN length({_p1}) = 4 THEN try_cast({_day_text} AS DATE) "
+    f"WHEN btrim({_p2}, '0123456789') = '' THEN "
+    f"CASE WHEN length({_p3}) = 4 THEN try_cast(concat_ws('-', {_p3}, {_p2}, {_p1}) AS DATE) END "
+    f"WHEN length({_p2}) = 3 AND pmod({_month}, 3) = 1 AND {_full_year} BETWEEN 1900 AND 2099 "
+    f"THEN try_cast(concat_ws('-', {_full_year}, ({_month} + 2) DIV 3, {_p1}) AS DATE) END"
 )
 
 # Dashes and underscores count as spaces; a leading two-digit code before text is dropped. The cleaned text

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import quality
+from ..session import tune
 from ..sources import staging
 from . import accounts, audit, branches, ledger, risk
 
@@ -31,7 +32,7 @@ class Warehouse:
     """Paths and writers of one warehouse root in shared storage."""
 
     def __init__(self, spark: SparkSession, staging_root: str, root: str):
-        self.spark, self.staging_root, self.root = spark, staging_root, root
+        self.spark, self.staging_root, self.root = tune(spark), staging_root, root
 
     def _try_read(self, path: str) -> DataFrame | None:
         try:
@@ -43,8 +44,10 @@ class Warehouse:
         """The staging tables that exist."""
         found = {}
         for name in names:
-            if self._try_read(f"{self.staging_root}/{name}") is not None:
+            try:
                 found[name] = staging.read_staged(self.spark, self.staging_root, name)
+            except AnalysisException:
+                continue
         return found
 
     def table(self, name: str) -> DataFrame | None:

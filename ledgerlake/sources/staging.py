@@ -66,10 +66,13 @@ def stage(df: DataFrame, root: str, table: str) -> None:
 
 
 def read_staged(spark: SparkSession, root: str, table: str) -> DataFrame:
-    """Partition values come back as text; blank ones are stored as NULL and read as empty."""
-    df = spark.read.option("basePath", f"{root}/{table}").parquet(f"{root}/{table}")
-    keys = [k for k in PARTITIONS if k in df.columns]
-    return df.withColumns({k: F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys})
+    """Partition values stay text (``00001`` is not 1); blank ones are stored as NULL and read as empty."""
+    path = f"{root}/{table}"
+    keys = [*PARTITIONS, "source_file"]
+    found = spark.read.parquet(path).schema
+    schema = T.StructType([T.StructField(f.name, T.StringType()) if f.name in keys else f for f in found.fields])
+    df = spark.read.schema(schema).parquet(path)
+    return df.withColumns({k: F.coalesce(F.col(k), F.lit("")) for k in PARTITIONS if k in df.columns})
 
 
 def widen(df: DataFrame, columns: list[str]) -> DataFrame:

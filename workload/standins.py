@@ -6,6 +6,8 @@ the same dirty text. ``{name}`` stands for a given table.
 
 from __future__ import annotations
 
+from ledgerlake.session import tune
+
 GIVEN = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages",
     "benchmark", "labels", "conversations",
@@ -240,10 +242,12 @@ class Tables:
     """Given tables and stand-ins of one data folder, as DataFrames."""
 
     def __init__(self, spark, folder: str):
-        self.spark, self.folder = spark, folder
+        self.spark, self.folder, self._given = tune(spark), folder, {}
 
     def given(self, name: str):
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        if name not in self._given:
+            self._given[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self._given[name]
 
     def sql(self, text: str):
         used = {n: self.given(n) for n in GIVEN if "{" + n + "}" in text}
