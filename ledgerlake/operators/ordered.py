@@ -17,20 +17,20 @@ PATH, LINE_NO = "path", "line_no"
 def carry_forward(lines: DataFrame, values: dict[str, Column], block_lines: int = BLOCK_LINES) -> DataFrame:
     """Adds each value, filled down from the last line of the file where it was not NULL."""
     names = list(values)
-    base = lines.withColumns(values).withColumn("_block", F.floor(F.col(LINE_NO) / block_lines))
-    inside = Window.partitionBy(PATH, "_block").orderBy(LINE_NO)
+    base = lines.withColumns(values).withColumn("_span", F.floor(F.col(LINE_NO) / block_lines))
+    inside = Window.partitionBy(PATH, "_span").orderBy(LINE_NO)
     local = base.withColumns({n: F.last(n, ignorenulls=True).over(inside) for n in names})
-    ends = base.groupBy(PATH, "_block").agg(
+    ends = base.groupBy(PATH, "_span").agg(
         *[F.max_by(n, F.when(F.col(n).isNotNull(), F.col(LINE_NO))).alias(f"_{n}") for n in names]
     )
-    before = Window.partitionBy(PATH).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(PATH).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
     entry = ends.select(
-        PATH, "_block", *[F.last(f"_{n}", ignorenulls=True).over(before).alias(f"_in_{n}") for n in names]
+        PATH, "_span", *[F.last(f"_{n}", ignorenulls=True).over(before).alias(f"_in_{n}") for n in names]
     )
     return (
-        local.join(entry, [PATH, "_block"], "left")
+        local.join(entry, [PATH, "_span"], "left")
         .withColumns({n: F.coalesce(F.col(n), F.col(f"_in_{n}")) for n in names})
-        .drop("_block", *[f"_in_{n}" for n in names])
+        .drop("_span", *[f"_in_{n}" for n in names])
     )
 
 
