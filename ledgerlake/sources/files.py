@@ -81,28 +81,19 @@ def _broken(content: bytes) -> str | None:
 
 
 def _decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Lines of the batch's files in frames of bounded size; small files share a frame."""
+    rows: list[tuple] = []
     for batch in batches:
         for path, content in zip(batch["path"], batch["content"]):
             error = _broken(content)
-            if error:
-                yield pd.DataFrame([(path, 0, None, error)], columns=["path", "line_no", "line", "error"])
-                continue
-            chunk: list[str] = []
-            start = 0
-            for line in _text_lines(content):
-                chunk.append(line)
-                if len(chunk) == CHUNK:
-                    yield _frame(path, start, chunk)
-                    start, chunk = start + CHUNK, []
-            if chunk:
-                yield _frame(path, start, chunk)
-
-
-def _frame(path: str, start: int, chunk: list[str]) -> pd.DataFrame:
-    return pd.DataFrame({
-        "path": path, "line_no": range(start, start + len(chunk)), "line": chunk,
-        "error": pd.Series([None] * len(chunk), dtype=object),
-    })
+            found = [(0, None)] if error else enumerate(_text_lines(content))
+            for number, line in found:
+                rows.append((path, number, line, error))
+                if len(rows) == CHUNK:
+                    yield pd.DataFrame(rows, columns=["path", "line_no", "line", "error"])
+                    rows = []
+    if rows:
+        yield pd.DataFrame(rows, columns=["path", "line_no", "line", "error"])
 
 
 def decode_files(files: DataFrame) -> DataFrame:

@@ -246,9 +246,15 @@ class Tables:
 
     def given(self, name: str):
         if name not in self._given:
-            self._given[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+            self._given[name] = self._spread(self.spark.read.parquet(f"{self.folder}/{name}.parquet"))
         return self._given[name]
 
+    def _spread(self, df):
+        """A table read in fewer tasks than there are cores is dealt out to all of them, because cleansing text
+        costs far more than moving it. Larger tables already come in enough splits and are left alone."""
+        cores = self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
     def sql(self, text: str):
         used = {n: self.given(n) for n in GIVEN if "{" + n + "}" in text}
         return self.spark.sql(text, **used)
