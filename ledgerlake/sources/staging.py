@@ -68,11 +68,11 @@ def stage(df: DataFrame, root: str, table: str) -> None:
 def read_staged(spark: SparkSession, root: str, table: str) -> DataFrame:
     """Partition values stay text (``00001`` is not 1); blank ones are stored as NULL and read as empty."""
     path = f"{root}/{table}"
-    keys = [*PARTITIONS, "source_file"]
     found = spark.read.parquet(path).schema
+    # Partition columns come last, in partition order; a table stored flat keeps its columns as they are.
+    keys = next((k for k in (list(PARTITIONS), ["source_file"]) if found.names[-len(k):] == k), [])
     schema = T.StructType([T.StructField(f.name, T.StringType()) if f.name in keys else f for f in found.fields])
-    df = spark.read.schema(schema).parquet(path)
-    return df.withColumns({k: F.coalesce(F.col(k), F.lit("")) for k in PARTITIONS if k in df.columns})
+    return spark.read.schema(schema).parquet(path).withColumns({k: F.coalesce(F.col(k), F.lit("")) for k in keys})
 
 
 def widen(df: DataFrame, columns: list[str]) -> DataFrame:
