@@ -60,6 +60,12 @@ _GATE = [DASHES, "'ACCOUNT NUMBER   HEADER'", DASHES]
 ORDERS = "{orders} join {customer} on o_custkey = c_custkey"
 ORDERS_PLAIN = ORDERS.replace("{", "").replace("}", "")
 
+# One section per order status in every branch's file.
+_SECTIONS = (
+    "(select distinct case o_orderstatus when 'F' then 1 when 'O' then 2 else 3 end as place, o_orderstatus as name, c_nationkey from "
+    + ORDERS + ") c"
+)
+
 # ---------------------------------------------------------------- LAY-01 fixed width behind a gate
 
 _DEP = _report("IN0586", "IN0586-01", _GATE, _detail(
@@ -82,7 +88,7 @@ def fixed_width(t):
 _FLOW_LINE = " || ' | ' || ".join([
     "cast(l_linenumber as string)", code("l_orderkey", 12), money("l_extendedprice"), "''", "'5.00'", "''", plain("l_quantity"), "''", plain("l_tax"), "'1.00'"])
 _FLOWS = _report("GB7376", "GB7376", [], _detail("GB7376", "1000000 * (p_partkey + 1)", "'  PROD CODE : ' || p_brand || '   PROD DESC : ' || p_name || ' '",
-    "{part} cross join {nation}", "n_nationkey"), _detail(
+    "(select distinct p_partkey, p_brand, p_name, s_nationkey from {lineitem} join {part} on l_partkey = p_partkey join {supplier} on l_suppkey = s_suppkey) x", "s_nationkey"), _detail(
     "GB7376", "1000000 * (l_partkey + 1) + 1 + l_orderkey * 10 + l_linenumber", _FLOW_LINE, "{lineitem} join {supplier} on l_suppkey = s_suppkey", "s_nationkey"))
 
 
@@ -96,7 +102,7 @@ def pipes(t):
 
 
 _CLASSED = _report("GL7044", "GL7044-01", [], _detail("GL7044", "10000000 * place", "'GL CLASS CODE 00001INR' || upper(name) || ' ' || name || ' Loan'",
-    "(select 1 as place, 'F' as name union all select 2, 'O' union all select 3, 'P') c cross join {nation}", "n_nationkey"), _detail(
+    _SECTIONS, "c_nationkey"), _detail(
     "GL7044", "10000000 * (case o_orderstatus when 'F' then 1 when 'O' then 2 else 3 end) + 1 + o_orderkey",
     pad(("cast(o_orderkey as string)", 10), (code("o_custkey", 12), 18), (code("o_orderkey", 12), 14), ("c_name", 38), (money("o_totalprice"), 20), ("'0.00'", 13), ("'1.50  9.25'", 23), ("'0'", 19), ("'1'", 20)) + " || '2.00'",
     ORDERS, "c_nationkey"), _detail("GL7044", "40000000 + n_nationkey", "'====> TOTAL'", "{nation}", "n_nationkey"))
@@ -139,7 +145,7 @@ def gap_fallback(t):
 # ---------------------------------------------------------------- LAY-06 records of four lines
 
 _ARREARS = _report("BR2498", "BR2498-01", [], _detail("BR2498", "10000000 * place", "'PRODUCT DESCRIPTION: LOAN ' || name",
-    "(select 1 as place, 'F' as name union all select 2, 'O' union all select 3, 'P') c cross join {nation}", "n_nationkey"), *[_detail(
+    _SECTIONS, "c_nationkey"), *[_detail(
         "BR2498", f"10000000 * (case o_orderstatus when 'F' then 1 when 'O' then 2 else 3 end) + 1 + o_orderkey * 5 + {i}", line, ORDERS, "c_nationkey") for i, line in enumerate([
             f"'   ' || {code('o_orderkey', 12)} || '  ' || {plain('o_totalprice')} || '  1.00 2.00 3.00 4.00 5.00 6.00'", f"'      ' || {plain('o_totalprice')} || ' 8.00 9.00 10.00 11.00 12.00'",
             "'    13.00 14.00 15.00 16.00 17.00 18.00'", "'   19.00 20.00'"])])
