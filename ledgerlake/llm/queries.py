@@ -6,7 +6,8 @@ import os
 
 from pyspark.sql import functions as F
 
-from . import bpe, curve_packing, quality_rules, secret_scan, url_filter
+from . import bpe, curve_packing, jaccard_join, license_scan, line_dedup, lsh_search, quality_model, quality_rules, secret_scan, url_filter
+from .line_dedup import line_gone
 from .registry import query, table
 
 #: The folder of the public tokenizers; a parameter of every query that needs one.
@@ -43,3 +44,37 @@ def op10_bpe(spark, folder):
 def op7_packing(spark, folder):
     packed = curve_packing.packed(table(spark, folder, "documents"), WORD_BPE)
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query("op5_line_dedup")
+def op5_line_dedup(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    out = line_dedup.marked(docs)
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    runs = F.transform("removed_runs", lambda r: F.concat_ws("-", r["first"], r["last"]))
+    gone = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda k: line_gone(F.col("removed_runs"), k))
+    n_gone = F.when(F.col("removed_runs").isNull(), F.lit(0)).otherwise(F.size(gone)).cast("bigint")
+    return out.select("doc_id", F.size(lines).cast("bigint").alias("n_lines"), n_gone.alias("n_removed"), F.coalesce(F.array_join(runs, ","), F.lit("")).alias("removed"))
+
+
+@query("op6_jaccard_join")
+def op6_jaccard_join(spark, folder):
+    return jaccard_join.classes(table(spark, folder, "documents"))
+
+
+@query("op4_nearest_neighbours")
+def op4_nearest_neighbours(spark, folder):
+    return lsh_search.search(table(spark, folder, "embeddings"), F.col("id") % 20 == 0)
+
+
+@query("op1_quality_classifier")
+def op1_quality_classifier(spark, folder):
+    docs = table(spark, folder, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    model = quality_model.fitted(docs, table(spark, folder, "labels"), ~held_out)
+    return quality_model.scored(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query("op2_license_scans")
+def op2_license_scans(spark, folder):
+    return license_scan.scanned(table(spark, folder, "documents"))
