@@ -7,7 +7,7 @@ document picks its own l: the one with the least estimated cost of its prefix an
 l shared shingles being asked of each. A pair is a candidate when its prefixes share the smaller of the two l.
 
 The work that does not grow with the square of a group: equal sets become one node before anything is joined; a shingle's
-documents are first compared with one of them, the hub that shares most with each; links found so join documents into components;
+documents are first compared with a few of them, hubs in random order; links found so join documents into components;
 and full candidates are then sought only between different components, over shingles that more than one component has.
 Every link is confirmed on the whole sets. The bucket counts have a fixed size, whatever the input.
 
@@ -27,8 +27,12 @@ from .common import LOWER, components, mixed, shingles, signed, slices, stored,
 
 WIDTH, SHARE = 5, 75  # words of a shingle; least similarity in hundredths
 BUCKETS = 1 << 18
-#: What a candidate costs beside one shingle of a prefix.
-CANDIDATE_COST = 40
+#: What a candidate costs beside one shingle of a prefix: its whole set has to be met, and that much at least.
+LEAST_COST = 40
+#: The least l is this part of a set: so much longer a prefix costs little and asks for as many shared shingles.
+LEAST_PART = 8
+#: Hubs that a node is compared with in each round, and rounds, before the full search between components.
+HUBS, ROUNDS = 4, 2
 UNIT_BYTES = 8 << 20
 MOST_SEEN = 500_000
 
@@ -87,28 +91,33 @@ def described(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, np.ndarr
     return made.filter("counts is null").drop("counts"), counts
 
 
-def prefix(one: np.ndarray, crowd: np.ndarray, local: np.ndarray) -> tuple[np.ndarray, int]:
-    """The prefix of a set and its l. ``crowd``: the class of each shingle's bucket; ``local``: other sets of the batch
+def prefix(one: np.ndarray, crowd: np.ndarray, local: np.ndarray) -> tuple[np.ndarray, int, int]:
+    """The prefix of a set, its l and the place of its last shingle in the order of all, in 16 bits. ``crowd``: the class of each shingle's bucket; ``local``: other sets of the batch
     that have it."""
     n = len(one)
     order, least = np.lexsort((one, crowd)), least_shared(n)
     partners = np.cumsum(np.maximum(local, (1 << crowd.astype(np.int64)) - 1)[order])
     best, chosen = None, 1
-    l = 1
+    l = max(1, n // LEAST_PART)
     while l <= least:
         size = n - least + l
-        cost = size + CANDIDATE_COST * int(partners[size - 1]) / l
+        cost = size + max(LEAST_COST, n) * int(partners[size - 1]) / l
         if best is None or cost < best:
             best, chosen = cost, l
         l *= 2
-    return one[order[: n - least + chosen]], chosen
+    last = order[n - least + chosen - 1]
+    return one[order[: n - least + chosen]], chosen, int(crowd[last]) << 11 | int(one[last] >> np.uint64(53))
+
+
+def heavy_buckets(counts: np.ndarray) -> np.ndarray:
+    return counts > 8 * counts.mean() + 64
 
 
 def postings(docs: DataFrame, counts: np.ndarray, text: str) -> DataFrame:
-    """``(token, node, n, l, heavy)`` of all prefixes; copies inside one task come once."""
+    """``(token, node, n, l, end, heavy)`` of all prefixes; copies inside one task come once."""
     mean = counts.mean()
     excess = np.maximum(counts - mean - 4 * np.sqrt(mean + 1), 0)
-    crowded = docs.sparkSession.sparkContext.broadcast((np.floor(np.log2(1 + excess)).astype(np.int8), counts > 8 * mean + 64))
+    crowded = docs.sparkSession.sparkContext.broadcast((np.floor(np.log2(1 + excess)).astype(np.int8), heavy_buckets(counts)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         crowd, heavy = crowded.value
@@ -125,36 +134,51 @@ def postings(docs: DataFrame, counts: np.ndarray, text: str) -> DataFrame:
                 if not own:
                     continue
                 every, times = np.unique(np.concatenate(list(own.values())), return_counts=True)
-                columns: list[list] = [[], [], [], []]
+                columns: list[list] = [[], [], [], [], []]
                 for node, one in own.items():
                     local = times[np.searchsorted(every, one)] - 1
-                    kept, l = prefix(one, crowd[(one >> np.uint64(46)).astype(np.int64)], local)
-                    for c, v in zip(columns, (kept, node, len(one), l), strict=True):
+                    kept, l, end = prefix(one, crowd[(one >> np.uint64(46)).astype(np.int64)], local)
+                    for c, v in zip(columns, (kept, node, len(one), l, end), strict=True):
                         c.append(v)
                 sizes = [len(x) for x in columns[0]]
                 token = np.concatenate(columns[0])
-                rest = [np.repeat(np.array(c, dtype=t), sizes) for c, t in zip(columns[1:], (np.int64, np.int32, np.int32), strict=True)]
+                rest = [np.repeat(np.array(c, dtype=t), sizes) for c, t in zip(columns[1:], (np.int64, np.int32, np.int32, np.int32), strict=True)]
                 for at in range(0, len(token), 1 << 18):
                     part = slice(at, at + (1 << 18))
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(token[part])), *[pa.array(c[part]) for c in rest], pa.array(heavy[(token[part] >> np.uint64(46)).astype(np.int64)])], ["token", "node", "n", "l", "heavy"])
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(token[part])), *[pa.array(c[part]) for c in rest], pa.array(heavy[(token[part] >> np.uint64(46)).astype(np.int64)])], ["token", "node", "n", "l", "end", "heavy"])
 
-    return docs.select(text).mapInArrow(run, "token bigint, node bigint, n int, l int, heavy boolean")
+    return docs.select(text).mapInArrow(run, "token bigint, node bigint, n int, l int, end int, heavy boolean")
 
 
-def shared(posted: DataFrame) -> DataFrame:
-    """``(token, node, n, l, hub)`` of tokens that more than one node has; the hub is the smallest of them. Tokens of
+def shared(posted: DataFrame, any_heavy: bool) -> DataFrame:
+    """``(token, node, n, l, end)`` of tokens that more than one node has. Tokens of
     ordinary buckets, whose number of rows the bucket counts bound, are looked at together; crowded ones by an aggregate
-    that is combined before the shuffle and a join that can be split."""
+    that is combined before the shuffle and a join that can be split. The rows of copies in other tasks go in the same step."""
     near = Window.partitionBy("token")
-    light = posted.filter("not heavy").withColumns({"hub": F.min("node").over(near), "top": F.max("node").over(near)}).filter("hub <> top")
-    crowded = posted.filter("heavy")
-    ends = crowded.groupBy("token").agg(F.min("node").alias("hub"), F.max("node").alias("top")).filter("hub <> top")
-    both = light.select("token", "node", "n", "l", "hub").unionAll(crowded.join(ends, "token").select("token", "node", "n", "l", "hub"))
-    return stored(both, "shared").dropDuplicates(["token", "node"])
-
-
-def confirmed(pairs: DataFrame, whole: DataFrame) -> DataFrame:
-    """Of pairs ``(a, b)`` those whose sets reach the threshold; ``whole``: ``(node, set)``."""
+    light = posted.filter("not heavy").withColumns({"low": F.min("node").over(near), "top": F.max("node").over(near)}).filter("low <> top")
+    light = light.dropDuplicates(["token", "node"]).select("token", "node", "n", "l", "end")
+    if not any_heavy:
+        return stored(light, "posted")
+    crowded = stored(posted.filter("heavy"), "crowded")
+    ends = crowded.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("top")).filter("low <> top")
+    met = crowded.join(ends, "token").dropDuplicates(["token", "node"]).select("token", "node", "n", "l", "end")
+    return stored(light.unionAll(met), "posted")
+
+
+def promising(posted: DataFrame) -> DataFrame:
+    """The rows of nodes that can be in a candidate pair: a node's shared tokens reach its own l or the least l among
+    the nodes that it shares one with."""
+    least = posted.groupBy("token").agg(F.min("l").alias("low"))
+    nodes = posted.join(least, "token").groupBy("node").agg(F.count("*").alias("n_shared"), F.min("low").alias("low"))
+    return posted.join(nodes.filter(F.col("n_shared") >= F.col("low")).select("node"), "node", "left_semi")
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, one: DataFrame, key: str, text: str) -> DataFrame:
+    """Of pairs ``(a, b)`` those whose sets reach the threshold; ``one``: a document for each node. Only the sets of
+    the pairs' nodes are made."""
+    pairs = stored(pairs, "pairs")
+    nodes = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
+    whole = whole_sets(docs, stored(one.join(nodes, "node").select("doc"), "wanted"), key, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,31 +210,58 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataF
     return stored(chosen.mapInArrow(run, "node bigint, set binary").dropDuplicates(["node"]), "whole")
 
 
+def met_by_hubs(posted: DataFrame, component: DataFrame | None, turn: int) -> DataFrame:
+    """Pairs of a node and, for each of ``HUBS`` random orders, the hub that shares most tokens with it; a token's hub is its
+    first node in that order. Only tokens of more than one component count. There are no more pairs than ``HUBS`` a node."""
+    known = posted.withColumn("component", F.col("node"))
+    if component is not None:
+        known = posted.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    hubs = [F.min_by("node", F.xxhash64("node", F.lit(turn * HUBS + k))).alias(f"hub{k}") for k in range(HUBS)]
+    ends = known.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), *hubs).filter("low <> high")
+    met = known.join(ends, "token").select("node", "l", F.posexplode(F.array(*[f"hub{k}" for k in range(HUBS)])).alias("k", "hub")).filter("node <> hub")
+    met = met.groupBy("node", "hub", "k").agg(F.count("*").alias("both"), F.min("l").alias("l"))
+    best = met.groupBy("node", "k").agg(F.max_by("hub", F.struct("both", "hub")).alias("hub"))
+    return best.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+
+
 def between(posted: DataFrame, component: DataFrame) -> DataFrame:
-    """Candidate pairs of nodes in different components."""
-    known = posted.join(component, "node", "left").select("token", "node", "n", "l", F.coalesce("component", "node").alias("component"))
-    ends = known.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("token")
-    open_ = stored(known.join(ends, "token", "left_semi"), "open")
-    a, b = (open_.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "l", "component")]) for s in "ab")
+    """Candidate pairs of nodes in different components. A pair shares r tokens of its prefixes at least, r being the smaller
+    l; so it still shares one when each node lays its r - 1 most frequent tokens aside, by the exact frequencies that are
+    known now. Pairs that meet in the rest are counted over all tokens. Where x's prefix ends before y's in the order of
+    all shingles, each shingle of x's prefix that y's lacks is one that y lacks; the threshold allows n_x less the least
+    overlap of them."""
+    known = posted.join(component, "node", "left").select("token", "node", "n", "l", "end", F.coalesce("component", "node").alias("component"))
+    ends = known.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("often"))
+    open_ = stored(known.join(ends.filter("low <> high").select("token", "often"), "token"), "open")
+    asks = F.least("l", F.greatest(F.lit(1), F.floor(F.ceil(SHARE * F.col("n") / 100) / LEAST_PART)))
+    place = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("often"), "token"))
+    rest = stored(open_.withColumn("place", place).filter(F.col("place") >= asks).select("token", "node", "n", "component"), "rest")
+    a, b = (rest.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "component")]) for s in "ab")
     fits = (a["node_a"] < b["node_b"]) & (a["component_a"] != b["component_b"]) & (100 * a["n_a"] >= SHARE * b["n_b"]) & (100 * b["n_b"] >= SHARE * a["n_a"])
-    met = a.join(b, (a["token"] == b["token"]) & fits).groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
-    return met.agg(F.count("*").alias("both"), F.min(F.least("l_a", "l_b")).alias("least")).filter("both >= least").select("a", "b")
+    met = stored(a.join(b, (a["token"] == b["token"]) & fits).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), "met")
+    lists = open_.groupBy("node").agg(F.collect_list("token").alias("tokens"), *[F.min(c).alias(c) for c in ("n", "l", "end")])
+    for s in "ab":
+        met = met.join(lists.select(F.col("node").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("tokens", "n", "l", "end")]), s)
+    met = met.withColumn("both", F.size(F.array_intersect("tokens_a", "tokens_b")))
+    overlap = F.ceil(SHARE * (F.col("n_a") + F.col("n_b")) / (100 + SHARE))
+    asked = lambda s: overlap - F.ceil(SHARE * F.col(f"n_{s}") / 100) + F.col(f"l_{s}")
+    least = F.when(F.col("end_a") < F.col("end_b"), asked("a")).when(F.col("end_b") < F.col("end_a"), asked("b")).otherwise(F.least(asked("a"), asked("b")))
+    return met.filter((F.col("both") >= F.least("l_a", "l_b")) & (F.col("both") >= least)).select("a", "b")
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(key, n_shingles, component_id)`` of each row; the component's id is its smallest key (an integer)."""
     docs = docs.select(key, text)
     described_, counts = described(docs, key, text)
-    posted = shared(postings(docs, counts, text))
-    posted = stored(posted, "posted")
+    posted = shared(postings(docs, counts, text), bool(heavy_buckets(counts).any()))
+    posted = stored(promising(posted), "promising")
     one = stored(described_.filter("n > 0").groupBy("node").agg(F.min("doc").alias("doc")), "nodes")
-    wanted = one.join(posted.select("node").distinct(), "node", "left_semi").select("doc")
-    whole = whole_sets(docs, wanted, key, text)
-    meets = posted.filter("node <> hub").groupBy(F.col("hub").alias("a"), F.col("node").alias("b")).count()
-    best = meets.groupBy("b").agg(F.max_by("a", F.struct("count", "a")).alias("a")).select("a", "b")
-    links = stored(confirmed(best, whole), "first")
-    joined = components(links)
-    more = stored(confirmed(stored(between(posted, joined), "between"), whole), "second")
+    links, joined = None, None
+    for turn in range(ROUNDS):
+        found = confirmed(met_by_hubs(posted, joined, turn), docs, one, key, text)
+        links = stored(found if links is None else links.unionAll(found), "first")
+        joined = components(links)
+    more = stored(confirmed(between(posted, joined), docs, one, key, text), "second")
     if more.limit(1).count():
         joined = components(links.unionAll(more))
     node = one.join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "doc")
