@@ -24,6 +24,9 @@ _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``. Where none is named, a session on one machine gets a temporary one;
     on a cluster the executors would not see it, so that is an error."""
@@ -32,9 +35,7 @@ def shared_folder(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    made = "file://" + tempfile.mkdtemp(prefix="ledgerlake-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    return _OWN.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="ledgerlake-"))
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
