@@ -8,13 +8,12 @@ from pyspark.sql import functions as F
 from ..functions import numbers
 from . import scope as sc
 
-# Columns hidden in the explorer, default order columns, page size cap.
+# Columns hidden in the explorer, default order columns.
 HIDDEN = ("ID", "SR_NO")
 ORDER_PRIORITY = (
     "CURRENT_BALANCE", "BAL_OUTSTAND", "TOTAL_OUTSTANDING", "OUTSTANDING", "TOTAL_AMOUNT", "AMOUNT",
     "BALANCE", "DR_BALANCE", "CR_BALANCE", "NPA", "VALUE",
 )
-PAGE_CAP = 1000
 
 
 def matching_rows(df: DataFrame, branch: str = "ALL", text: str = "") -> DataFrame:
@@ -33,13 +32,13 @@ def order_column(columns: list[str], asked: str = "") -> str:
 
 def page(df: DataFrame, branch: str = "ALL", text: str = "", sort_by: str = "", descending: bool = False,
          number: int = 1, size: int = 50) -> DataFrame:
-    """One page of the matching rows, with the total of all matches on each row."""
+    """One page of the matching rows, of the size asked for, with the total of all matches on each row."""
     rows = matching_rows(df, branch, text)
     key = numbers.sortable(order_column(rows.columns, sort_by))
     order = key.desc_nulls_last() if descending else key.asc_nulls_first()
     total = rows.agg(F.count("*")).scalar()
     shown = rows.orderBy(order, *[F.col(c).asc_nulls_first() for c in rows.columns])
     return (
-        shown.offset(max(0, (number - 1) * size)).limit(max(1, min(size, PAGE_CAP)))
+        shown.offset(max(0, (number - 1) * size)).limit(max(1, size))
         .withColumn("total_records", total)
     )

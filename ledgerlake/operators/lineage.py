@@ -4,17 +4,26 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share."""
+    named = spark.conf.get(SETTING, None)
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise ValueError(f"set {SETTING} to a folder that driver and executors share")
+    return named or tempfile.mkdtemp(prefix="run-")
+
+
 def settled(df: DataFrame) -> DataFrame:
     """Compute once and keep in the cluster's shared checkpoint folder.
 
-    The folder is the session's setting; only a session without one (a local test) gets its own.
+    The folder is the session's setting; only a session on one machine that has none (a local test) gets its own. On a
+    cluster the executors would not see that one, so there a missing setting is an error.
     """
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get(SETTING, None) or tempfile.mkdtemp(prefix="run-"))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()

@@ -22,8 +22,10 @@ def office_codes(network: DataFrame) -> DataFrame:
     names = network.select(office.alias("REGIONAL_OFFICE")).distinct()
     place = F.when(F.upper("REGIONAL_OFFICE") == "HEAD OFFICE", 0).when(F.upper("REGIONAL_OFFICE") == "UNASSIGNED", 999).otherwise(1)
     number = F.row_number().over(Window.orderBy(place, "REGIONAL_OFFICE"))
-    # Two digits, as in the reference: from the hundredth office on, the last two.
-    return names.select("REGIONAL_OFFICE", F.concat(F.lit("RO"), F.right(F.concat(F.lit("00"), number), F.lit(2))).alias("RO_CODE"))
+    # Two digits at least: a cut code would give two offices, and the users who may see them, one code.
+    digits = number.cast("string")
+    padded = F.lpad(digits, F.greatest(F.length(digits), F.lit(2)), F.lit("0"))
+    return names.select("REGIONAL_OFFICE", F.concat(F.lit("RO"), padded).alias("RO_CODE"))
 
 
 def branch_rows(network: DataFrame) -> DataFrame:

@@ -189,7 +189,7 @@ def loan_irregular(lines: DataFrame) -> DataFrame:
     dated = F.col("_b").rlike(day)
     rows = rows.withColumn("_c", F.when(dated, F.split(strip(F.regexp_extract("_b", day, 3)), r"\s{2,}")))
     figures = F.coalesce(F.col("_c"), F.array().cast("array<string>"))
-    more = F.split(strip(F.array_join(F.slice(figures, 5, 2000), " ")), r"\s+")
+    more = F.split(strip(F.array_join(F.slice(figures, 5, F.greatest(F.size(figures) - 4, F.lit(0))), " ")), r"\s+")
     first = "OUTSTANDING THEO_BAL IRREGULARITY INTEREST".split()
     last = "INSTALMENT EMI_NONEMI OLD_BAD_IND NEW_BAD_IND DATE".split()
     return rows.select(
@@ -487,12 +487,6 @@ def vouchers_0344(lines: DataFrame) -> DataFrame:
     ).filter("ACCOUNT_NUMBER <> ''")
 
 
-_SUPPLEMENT_SKIP = (
-    ("TRANSFER", "ACCOUNT NO"), ("CUSTOMER/BGL ACCT NAME",), ("CASH", "CLEARING", "TRANSFER"), ("CREDITS", "DEBITS"),
-    ("SR_NO", "ACCT_NO"), ("TOT VOUCH",), ("TOTAL",),
-)
-
-
 def supplementary(lines: DataFrame) -> DataFrame:
     """The account number anchors the line: credits to its left, name and debits to its right."""
     rows = body(lines, "-_= <>|", 2).filter(printable(bare_text()) & ~inferred.is_header(bare_text()))
@@ -758,7 +752,7 @@ def interest_projection(lines: DataFrame) -> DataFrame:
         F.min_by(after(F.split_part(bare_text(), F.lit("FORM"), F.lit(1)), "PAN NO:"), F.when(pan, F.col("line_no"))).alias("PAN_NO"),
     ).select(
         "path", "_block", part(F.transform("_p", lambda p: p["text"]), 0).alias("CUSTOMER_NAME"),
-        F.array_join(F.transform(F.slice("_p", 2, 10000), lambda p: p["text"]), " ").alias("CUSTOMER_ADDRESS"),
+        F.array_join(F.transform(F.slice("_p", F.lit(2), F.greatest(F.size("_p") - 1, F.lit(0))), lambda p: p["text"]), " ").alias("CUSTOMER_ADDRESS"),
         F.coalesce("DOB", F.lit("")).alias("DOB"), F.coalesce("PAN_NO", F.lit("")).alias("PAN_NO"),
     )
     closes = has_any(raw_line(), ("CUSTOMER TOTAL", "TOTAL INTEREST PAID", "ASSURING YOU OF OUR BEST SERVICES", "REPORT ID"))

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 from functools import reduce
 
 from pyspark.sql import functions as F
 
 from ledgerlake.functions import labels
-from ledgerlake.operators import joining, quality
+from ledgerlake.operators import joining, lineage, quality
 from ledgerlake.plans import accounts, audit, branches, ledger, risk, schemas, warehouse
 
 from . import oracle as o
@@ -447,8 +446,7 @@ def shared_folder(spark) -> str:
     """A new folder below the cluster's shared one; a local one only where none is named (tests)."""
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="run-")
-    return f"{base}/{uuid.uuid4().hex}"
+    return f"{lineage.shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
 _STAGED = f"{ACCOUNT_SOURCES} {RISK_SOURCES} {GL_SOURCES} {AUDIT_SOURCES}"
