@@ -114,7 +114,7 @@ def heavy_buckets(counts: np.ndarray) -> np.ndarray:
 
 
 def postings(docs: DataFrame, counts: np.ndarray, text: str) -> DataFrame:
-    """``(token, node, n, l, end, heavy)`` of all prefixes; copies inside one task come once."""
+    """``(token, node, n, l, end, pos, heavy)`` of all prefixes, ``pos`` being the place in the order of the set; copies inside one task come once."""
     mean = counts.mean()
     excess = np.maximum(counts - mean - 4 * np.sqrt(mean + 1), 0)
     crowded = docs.sparkSession.sparkContext.broadcast((np.floor(np.log2(1 + excess)).astype(np.int8), heavy_buckets(counts)))
@@ -143,25 +143,26 @@ def postings(docs: DataFrame, counts: np.ndarray, text: str) -> DataFrame:
                 sizes = [len(x) for x in columns[0]]
                 token = np.concatenate(columns[0])
                 rest = [np.repeat(np.array(c, dtype=t), sizes) for c, t in zip(columns[1:], (np.int64, np.int32, np.int32, np.int32), strict=True)]
+                rest.append(np.concatenate([np.arange(k, dtype=np.int32) for k in sizes]))
                 for at in range(0, len(token), 1 << 18):
                     part = slice(at, at + (1 << 18))
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(token[part])), *[pa.array(c[part]) for c in rest], pa.array(heavy[(token[part] >> np.uint64(46)).astype(np.int64)])], ["token", "node", "n", "l", "end", "heavy"])
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(token[part])), *[pa.array(c[part]) for c in rest], pa.array(heavy[(token[part] >> np.uint64(46)).astype(np.int64)])], ["token", "node", "n", "l", "end", "pos", "heavy"])
 
-    return docs.select(text).mapInArrow(run, "token bigint, node bigint, n int, l int, end int, heavy boolean")
+    return docs.select(text).mapInArrow(run, "token bigint, node bigint, n int, l int, end int, pos int, heavy boolean")
 
 
 def shared(posted: DataFrame, any_heavy: bool) -> DataFrame:
-    """``(token, node, n, l, end)`` of tokens that more than one node has. Tokens of
+    """``(token, node, n, l, end, pos)`` of tokens that more than one node has. Tokens of
     ordinary buckets, whose number of rows the bucket counts bound, are looked at together; crowded ones by an aggregate
     that is combined before the shuffle and a join that can be split. The rows of copies in other tasks go in the same step."""
     near = Window.partitionBy("token")
     light = posted.filter("not heavy").withColumns({"low": F.min("node").over(near), "top": F.max("node").over(near)}).filter("low <> top")
-    light = light.dropDuplicates(["token", "node"]).select("token", "node", "n", "l", "end")
+    light = light.dropDuplicates(["token", "node"]).select("token", "node", "n", "l", "end", "pos")
     if not any_heavy:
         return stored(light, "posted")
     crowded = stored(posted.filter("heavy"), "crowded")
     ends = crowded.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("top")).filter("low <> top")
-    met = crowded.join(ends, "token").dropDuplicates(["token", "node"]).select("token", "node", "n", "l", "end")
+    met = crowded.join(ends, "token").dropDuplicates(["token", "node"]).select("token", "node", "n", "l", "end", "pos")
     return stored(light.unionAll(met), "posted")
 
 
@@ -210,6 +211,19 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataF
     return stored(chosen.mapInArrow(run, "node bigint, set binary").dropDuplicates(["node"]), "whole")
 
 
+def possible(pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """Of pairs ``(a, b)`` the candidates: their whole prefixes share the smaller l at least. Where x's prefix ends before y's in
+    the order of all shingles, each shingle of x's prefix that y's lacks is one that y lacks; the threshold allows n_x less
+    the least overlap of them. So whole sets, many times as long, are made for few of the pairs that meet."""
+    for s in "ab":
+        pairs = pairs.join(prefixes.select(F.col("node").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("tokens", "n", "l", "end")]), s)
+    both = F.size(F.array_intersect("tokens_a", "tokens_b"))
+    overlap = F.ceil(SHARE * (F.col("n_a") + F.col("n_b")) / (100 + SHARE))
+    asked = lambda s: overlap - F.ceil(SHARE * F.col(f"n_{s}") / 100) + F.col(f"l_{s}")
+    least = F.when(F.col("end_a") < F.col("end_b"), asked("a")).when(F.col("end_b") < F.col("end_a"), asked("b")).otherwise(F.least(asked("a"), asked("b")))
+    return pairs.filter((both >= F.least("l_a", "l_b")) & (both >= least)).select("a", "b")
+
+
 def met_by_hubs(posted: DataFrame, component: DataFrame | None, turn: int) -> DataFrame:
     """Pairs of a node and, for each of ``HUBS`` random orders, the hub that shares most tokens with it; a token's hub is its
     first node in that order. Only tokens of more than one component count. There are no more pairs than ``HUBS`` a node."""
@@ -225,28 +239,30 @@ def met_by_hubs(posted: DataFrame, component: DataFrame | None, turn: int) -> Da
 
 
 def between(posted: DataFrame, component: DataFrame) -> DataFrame:
-    """Candidate pairs of nodes in different components. A pair shares r tokens of its prefixes at least, r being the smaller
-    l; so it still shares one when each node lays its r - 1 most frequent tokens aside, by the exact frequencies that are
-    known now. Pairs that meet in the rest are counted over all tokens. Where x's prefix ends before y's in the order of
-    all shingles, each shingle of x's prefix that y's lacks is one that y lacks; the threshold allows n_x less the least
-    overlap of them."""
-    known = posted.join(component, "node", "left").select("token", "node", "n", "l", "end", F.coalesce("component", "node").alias("component"))
+    """Candidate pairs of nodes in different components.
+
+    Let x be the larger set of a pair and y the smaller one. A pair that links shares 2 * 0.75 / 1.75 of y's shingles at
+    least and 0.75 of x's. So with r = max(1, m / LEAST_PART), which neither l is below, its first r shared shingles lie among the
+    first m - ceil(0.857 m) + r of y and the first n - ceil(0.75 n) + r of x. The one of these r that the fewest nodes have is
+    still there after y has laid its r - 1 most frequent ones aside, and x as many as any y asks; only on such rows do
+    pairs meet. What follows such a shingle in both orders, with r, has to reach the overlap that the threshold asks."""
+    known = posted.join(component, "node", "left").select("token", "node", "n", "pos", F.coalesce("component", "node").alias("component"))
     ends = known.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("often"))
     open_ = stored(known.join(ends.filter("low <> high").select("token", "often"), "token"), "open")
-    asks = F.least("l", F.greatest(F.lit(1), F.floor(F.ceil(SHARE * F.col("n") / 100) / LEAST_PART)))
-    place = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("often"), "token"))
-    rest = stored(open_.withColumn("place", place).filter(F.col("place") >= asks).select("token", "node", "n", "component"), "rest")
-    a, b = (rest.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "component")]) for s in "ab")
-    fits = (a["node_a"] < b["node_b"]) & (a["component_a"] != b["component_b"]) & (100 * a["n_a"] >= SHARE * b["n_b"]) & (100 * b["n_b"] >= SHARE * a["n_a"])
-    met = stored(a.join(b, (a["token"] == b["token"]) & fits).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), "met")
-    lists = open_.groupBy("node").agg(F.collect_list("token").alias("tokens"), *[F.min(c).alias(c) for c in ("n", "l", "end")])
-    for s in "ab":
-        met = met.join(lists.select(F.col("node").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("tokens", "n", "l", "end")]), s)
-    met = met.withColumn("both", F.size(F.array_intersect("tokens_a", "tokens_b")))
-    overlap = F.ceil(SHARE * (F.col("n_a") + F.col("n_b")) / (100 + SHARE))
-    asked = lambda s: overlap - F.ceil(SHARE * F.col(f"n_{s}") / 100) + F.col(f"l_{s}")
-    least = F.when(F.col("end_a") < F.col("end_b"), asked("a")).when(F.col("end_b") < F.col("end_a"), asked("b")).otherwise(F.least(asked("a"), asked("b")))
-    return met.filter((F.col("both") >= F.least("l_a", "l_b")) & (F.col("both") >= least)).select("a", "b")
+    n, pos = F.col("n"), F.col("pos")
+    asked_of = lambda size: F.greatest(F.lit(1), F.floor(size / LEAST_PART)).cast("int")
+    as_larger = pos < n - F.ceil(SHARE * n / 100) + asked_of(n)
+    as_smaller = pos < n - F.ceil(2 * SHARE * n / (100 + SHARE)) + asked_of(n)
+    frequent = Window.partitionBy("node").orderBy(F.desc("often"), "token").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    place = lambda inside: F.sum(inside.cast("int")).over(frequent)
+    placed = open_.select("token", "node", "n", "pos", "component", as_larger.alias("larger"), as_smaller.alias("smaller"), place(as_larger).alias("at_larger"), place(as_smaller).alias("at_smaller"))
+    larger = F.col("larger") & (F.col("at_larger") >= asked_of(F.ceil(SHARE * n / 100)))
+    smaller = F.col("smaller") & (F.col("at_smaller") >= asked_of(n))
+    rest = stored(placed.select("token", "node", "n", "component", (n - pos - 1).alias("behind"), asked_of(n).alias("r"), larger.alias("larger"), smaller.alias("smaller")).filter("larger or smaller"), "rest")
+    a, b = (rest.filter(role).select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "component", "behind", "r")]) for role, s in (("larger", "a"), ("smaller", "b")))
+    enough = b["r_b"] + F.least(a["behind_a"], b["behind_b"]) >= F.ceil(SHARE * (a["n_a"] + b["n_b"]) / (100 + SHARE))
+    fits = ((b["n_b"] < a["n_a"]) | ((b["n_b"] == a["n_a"]) & (b["node_b"] < a["node_a"]))) & (a["component_a"] != b["component_b"]) & (100 * b["n_b"] >= SHARE * a["n_a"]) & enough
+    return a.join(b, (a["token"] == b["token"]) & fits).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -255,13 +271,14 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     described_, counts = described(docs, key, text)
     posted = shared(postings(docs, counts, text), bool(heavy_buckets(counts).any()))
     posted = stored(promising(posted), "promising")
+    prefixes = stored(posted.groupBy("node").agg(F.collect_list("token").alias("tokens"), *[F.min(c).alias(c) for c in ("n", "l", "end")]), "prefixes")
     one = stored(described_.filter("n > 0").groupBy("node").agg(F.min("doc").alias("doc")), "nodes")
     links, joined = None, None
     for turn in range(ROUNDS):
-        found = confirmed(met_by_hubs(posted, joined, turn), docs, one, key, text)
+        found = confirmed(possible(met_by_hubs(posted, joined, turn), prefixes), docs, one, key, text)
         links = stored(found if links is None else links.unionAll(found), "first")
         joined = components(links)
-    more = stored(confirmed(between(posted, joined), docs, one, key, text), "second")
+    more = stored(confirmed(possible(between(posted, joined), prefixes), docs, one, key, text), "second")
     if more.limit(1).count():
         joined = components(links.unionAll(more))
     node = one.join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "doc")
