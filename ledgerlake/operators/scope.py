@@ -31,7 +31,9 @@ def day_of(df: DataFrame, column: str) -> Column:
 
 
 def newest_day(df: DataFrame, column: str = "PROC_DATE") -> Column:
-    return df.agg(F.max(day_of(df, column))).scalar()
+    """Report text is parsed once for each value that occurs, not for each row."""
+    days = df if isinstance(df.schema[column].dataType, T.DateType) else df.select(column).distinct()
+    return days.agg(F.max(day_of(days, column))).scalar()
 
 
 def in_branch(df: DataFrame, scope: str | None = "ALL", network: DataFrame | None = None,

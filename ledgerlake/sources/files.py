@@ -101,22 +101,25 @@ def decode_files(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(_decode, DECODED)
 
 
-def text_lines(spark: SparkSession, folder: str, glob: str = "*.txt") -> DataFrame:
-    raw = (
-        spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(folder)
-        .select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_split"),
-                F.make_valid_utf8("value").alias("line"))
-        .withColumn("_seq", F.monotonically_increasing_id())
+def text_lines(spark: SparkSession, folder: str, glob: str = "*.txt", reports_only: bool = False) -> DataFrame:
+    """Numbered lines of the plain text files; ``reports_only``: those of a nightly run (``report_path``).
+
+    The path filter lies below the numbering, where Spark can apply it to the list of files. Row ids are
+    consecutive within a split, so a line's number follows from its split's first id: lines are neither sorted nor ranked,
+    they only meet a table of one row a split.
+    """
+    path = F.col("_metadata.file_path")
+    found = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(folder)
+    if reports_only:
+        found = found.filter(report_path(path, folder))
+    raw = found.select(
+        path.alias("path"), F.col("_metadata.file_block_start").alias("_split"), F.make_valid_utf8("value").alias("line"),
+        F.monotonically_increasing_id().alias("_seq"),
     )
-    # The sequence only orders rows of one split, which one task reads from start to end.
-    in_split = Window.partitionBy("path", "_split").orderBy("_seq")
-    sizes = raw.groupBy("path", "_split").agg(F.count("*").alias("_n"))
+    sizes = raw.groupBy("path", "_split").agg(F.count("*").alias("_n"), F.min("_seq").alias("_first"))
     before = Window.partitionBy("path").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("path", "_split", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    numbered = raw.withColumn("_n", F.row_number().over(in_split))
-    return numbered.join(offsets, ["path", "_split"]).select(
-        "path", (F.col("_offset") + F.col("_n") - 1).alias("line_no"), "line"
-    )
+    starts = sizes.select("path", "_split", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    return raw.join(starts, ["path", "_split"]).select("path", (F.col("_seq") + F.col("_shift")).alias("line_no"), "line")
 
 
 def read_reports(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -127,6 +130,5 @@ def read_reports(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame
         .filter(report_path(F.col("path"), folder))
     )
     decoded = decode_files(zipped)
-    lines = text_lines(spark, folder).filter(report_path(F.col("path"), folder)).unionByName(
-        decoded.filter("error IS NULL").drop("error"))
+    lines = text_lines(spark, folder, reports_only=True).unionByName(decoded.filter("error IS NULL").drop("error"))
     return lines, decoded.filter("error IS NOT NULL").select("path", "error")
