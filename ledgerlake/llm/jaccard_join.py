@@ -152,18 +152,20 @@ def postings(docs: DataFrame, counts: np.ndarray, text: str) -> DataFrame:
 
 
 def shared(posted: DataFrame, any_heavy: bool) -> DataFrame:
-    """``(token, node, n, l, end, pos)`` of tokens that more than one node has. Tokens of
-    ordinary buckets, whose number of rows the bucket counts bound, are looked at together; crowded ones by an aggregate
-    that is combined before the shuffle and a join that can be split. The rows of copies in other tasks go in the same step."""
-    near = Window.partitionBy("token")
-    light = posted.filter("not heavy").withColumns({"low": F.min("node").over(near), "top": F.max("node").over(near)}).filter("low <> top")
-    light = light.dropDuplicates(["token", "node"]).select("token", "node", "n", "l", "end", "pos")
+    """``(token, node, n, l, end, pos)`` of tokens that more than one node has. Sets are made and sent once, for all tokens: those
+    of ordinary buckets, whose number of rows the bucket counts bound, are looked at together; a row of a crowded bucket goes
+    by token and node, so that no task gets all of a frequent token, and is held against an aggregate that is combined before
+    the shuffle, in a join that can be split. The rows of copies in other tasks go in the same step."""
+    columns = ["token", "node", "n", "l", "end", "pos"]
+    apart = posted.select(*columns, F.when(F.col("heavy"), F.col("node")).alias("apart"))
+    near = Window.partitionBy("token", "apart")
+    met = apart.withColumns({"low": F.min("node").over(near), "top": F.max("node").over(near)}).filter("apart is not null or low <> top")
+    met = stored(met.dropDuplicates(["token", "apart", "node"]).select(*columns, "apart"), "posted")
     if not any_heavy:
-        return stored(light, "posted")
-    crowded = stored(posted.filter("heavy"), "crowded")
-    ends = crowded.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("top")).filter("low <> top")
-    met = crowded.join(ends, "token").dropDuplicates(["token", "node"]).select("token", "node", "n", "l", "end", "pos")
-    return stored(light.unionAll(met), "posted")
+        return met.select(*columns)
+    crowded = met.filter("apart is not null").select(*columns)
+    ends = crowded.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("top")).filter("low <> top").select("token")
+    return met.filter("apart is null").select(*columns).unionAll(crowded.join(ends, "token", "left_semi").select(*columns))
 
 
 def promising(posted: DataFrame) -> DataFrame:

@@ -235,3 +235,19 @@ def test_license_scan(spark):
     n = len(AWKWARD)
     assert {(n, 2), (n + 1, 6), *[(n + 3 + k, k) for k in range(len(license_scan.TEMPLATES))]} <= got
     assert not {d for d, _ in got} & {*range(n), n + 2}
+
+
+def test_jaccard_shared_tokens(spark):
+    """Tokens of one node go, copies come once, frequent and ordinary tokens alike."""
+    rows = [(token, node, 9, 1, 0, token % 3, token >= 10) for token in range(20) for node in range(1 + token % 4) for _ in range(2)]
+    rows += [(19, node, 9, 1, 0, 1, True) for node in range(4, 300)]
+    posted = spark.createDataFrame(rows, "token bigint, node bigint, n int, l int, end int, pos int, heavy boolean").repartition(5)
+    nodes = {}
+    for token, node, *_ in rows:
+        nodes.setdefault(token, set()).add(node)
+    wanted = sorted((token, node) for token, of in nodes.items() if len(of) > 1 for node in of)
+    got = jaccard_join.shared(posted, True)
+    assert got.columns == ["token", "node", "n", "l", "end", "pos"]
+    assert sorted((r["token"], r["node"]) for r in got.collect()) == wanted
+    light = posted.filter("not heavy")
+    assert sorted((r["token"], r["node"]) for r in jaccard_join.shared(light, False).collect()) == [x for x in wanted if x[0] < 10]
