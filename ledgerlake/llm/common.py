@@ -148,22 +148,35 @@ def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """Connected components of ``links (a bigint, b bigint)`` as ``(node, component)``, component being its smallest node.
 
-    Each round gives every node the smallest label among its neighbours and then the label of that label, so that
-    long chains shorten by halves. Labels are stored each round; links and labels stay distributed. Hot nodes are met by
-    aggregates that are combined before the shuffle and by joins that can be split. Nodes without a link are not returned."""
+    In each round every node joins its first neighbour in an order drawn anew (a salted hash, which is one to one on bigint);
+    the trees so made are brought to their roots by jumps and become the nodes of the next round. Each tree has two nodes at
+    least, so a round leaves at most half of the nodes, whatever the ids and the shape of the links; rounds go on until no link
+    is left. Links and labels are stored each round and stay distributed. Hot nodes are met by aggregates that are combined
+    before the shuffle and by joins that can be split. Nodes without a link are not returned."""
     both = links.filter("a <> b").select("a", "b").unionAll(links.filter("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b")))
     both = stored(both.distinct(), "links")
-    label = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("component")), "labels")
-    for _ in range(rounds):
-        near = both.join(label.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        low = label.join(near, "node").select("node", F.least("component", "near").alias("low"), F.col("component").alias("old"))
-        up = label.select(F.col("node").alias("low"), F.col("component").alias("up"))
-        new = stored(low.join(up, "low", "left").select("node", F.least("low", F.coalesce("up", "low")).alias("component"), "old"), "labels")
-        moved = new.filter("component <> old").limit(1).count()
-        label = new.select("node", "component")
-        if not moved:
-            return label
-    raise RuntimeError("components did not settle")
+    label = stored(both.select(F.col("a").alias("node")).distinct().select("node", F.col("node").alias("component")), "labels")
+    salt = 0
+    while both.limit(1).count():
+        drawn = lambda c, salt=salt: F.xxhash64(c, F.lit(salt))
+        near = stored(both.groupBy(F.col("a").alias("node")).agg(F.min_by("b", drawn("b")).alias("root")), "near")
+        # Choices can only go round between two nodes that choose each other: the first of them is the root.
+        up = near.select(F.col("node").alias("root"), F.col("root").alias("up"))
+        first = F.when(drawn("node") < drawn("root"), F.col("node")).otherwise(F.col("root"))
+        root = stored(near.join(up, "root").select("node", F.when(F.col("up") == F.col("node"), first).otherwise(F.col("up")).alias("root")), "roots")
+        while True:
+            up = root.select(F.col("node").alias("root"), F.col("root").alias("up"))
+            new = stored(root.join(up, "root").select("node", F.col("up").alias("root"), F.col("root").alias("old")), "roots")
+            root, moved = new.select("node", "root"), new.filter("root <> old").limit(1).count()
+            if not moved:
+                break
+        up = root.select(F.col("node").alias("component"), F.col("root").alias("up"))
+        label = stored(label.join(up, "component", "left").select("node", F.coalesce("up", "component").alias("component")), "labels")
+        a, b = root.select(F.col("node").alias("a"), F.col("root").alias("x")), root.select(F.col("node").alias("b"), F.col("root").alias("y"))
+        both = stored(both.join(a, "a").join(b, "b").filter("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "links")
+        salt += 1
+    least = label.groupBy("component").agg(F.min("node").alias("least"))
+    return stored(label.join(least, "component").select("node", F.col("least").alias("component")), "labels")

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlake.llm import bpe, curve_packing, jaccard_join, license_scan, line_dedup, lsh_search, quality_model, quality_rules, secret_scan, url_filter
+from ledgerlake.llm import bpe, common, curve_packing, jaccard_join, license_scan, line_dedup, lsh_search, quality_model, quality_rules, secret_scan, url_filter
 from ledgerlake.llm.queries import WORD_BPE
 
 needs_vocabulary = pytest.mark.skipif(not os.path.exists(WORD_BPE), reason="the public tokenizer is not here")
@@ -251,3 +251,14 @@ def test_jaccard_shared_tokens(spark):
     assert sorted((r["token"], r["node"]) for r in got.collect()) == wanted
     light = posted.filter("not heavy")
     assert sorted((r["token"], r["node"]) for r in jaccard_join.shared(light, False).collect()) == [x for x in wanted if x[0] < 10]
+
+
+def test_components_of_long_chains(spark):
+    rnd = random.Random(9)
+    ids = [rnd.getrandbits(63) - (1 << 62) for _ in range(1000)]
+    chain, wheel, rising, pairs = ids[:400], ids[400:600], sorted(ids[600:800]), ids[800:]
+    links = [*zip(chain, chain[1:]), *[(wheel[0], x) for x in wheel], *zip(rising, rising[1:]), *zip(pairs[::2], pairs[1::2])]
+    got = common.components(spark.createDataFrame(links, "a bigint, b bigint").repartition(3)).collect()
+    want = {x: min(group) for group in (chain, wheel, rising, *zip(pairs[::2], pairs[1::2])) for x in group}
+    assert len(got) == len(want) and {r["node"]: r["component"] for r in got} == want
+    assert common.components(spark.createDataFrame([(1, 1)], "a bigint, b bigint")).count() == 0
