@@ -77,7 +77,8 @@ class Templates:
             low, width = mixed(value ^ seed), 1
             for size in sorted(self.classes):
                 while width < size:
-                    low[: len(low) - width] = np.minimum(low[: len(low) - width], low[width:])
+                    if width < len(low):  # a window that reaches the end holds all that follows
+                        low[: len(low) - width] = np.minimum(low[: len(low) - width], low[width:])
                     width *= 2
                 shortest = min(len(self.sets[k]) for k in self.classes[size])
                 longest = max(len(self.sets[k]) for k in self.classes[size])

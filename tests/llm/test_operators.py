@@ -262,3 +262,14 @@ def test_components_of_long_chains(spark):
     want = {x: min(group) for group in (chain, wheel, rising, *zip(pairs[::2], pairs[1::2])) for x in group}
     assert len(got) == len(want) and {r["node"]: r["component"] for r in got} == want
     assert common.components(spark.createDataFrame([(1, 1)], "a bigint, b bigint")).count() == 0
+
+
+def test_license_scan_short_tables(spark):
+    notice = license_scan.TEMPLATES[6][1]
+    texts = [notice, *[" ".join([notice, *WORDS, *WORDS][:n]) for n in (7, 13, 21, 24, 31)]]
+    scans = license_scan.Templates(license_scan.TEMPLATES)
+    assert all(any(k == 6 and part == 1 for _, k, _, _, part in scans.scan(*license_scan._shingles(license_scan.pa.array([t])))) for t in texts)
+    for some in (texts[:1], texts[1:3], texts[3:]):
+        docs = spark.createDataFrame(list(enumerate(some)), "doc_id bigint, text string").repartition(len(some), "doc_id")
+        got = license_scan.scanned(docs).filter("template = 6 and containment = 1")
+        assert sorted(r["doc_id"] for r in got.collect()) == list(range(len(some)))
