@@ -273,3 +273,30 @@ def test_license_scan_short_tables(spark):
         docs = spark.createDataFrame(list(enumerate(some)), "doc_id bigint, text string").repartition(len(some), "doc_id")
         got = license_scan.scanned(docs).filter("template = 6 and containment = 1")
         assert sorted(r["doc_id"] for r in got.collect()) == list(range(len(some)))
+
+
+def test_search_of_many_projections(spark):
+    """With as many projections as on a table of 33 million rows, no query's probes may stop short of the wanted share."""
+    random_ = np.random.default_rng(11)
+    sample = random_.standard_normal((500, 16))
+    norm = float(np.linalg.norm(sample, axis=1).max())
+    index = lsh_search.Index(16, 33_000_000, norm, sample, 20)
+    assert index.hashes == 8
+    index.near = 0.3
+    for p in index.projected(sample[:5], True)[0]:
+        assert index.probes(p, 0) is None
+    queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(sample[:5])], "id bigint, vec array<double>")
+    assert lsh_search.packs(queries, index, True).count() == 0
+
+
+def test_search_falls_back_to_all_vectors(spark, monkeypatch):
+    vectors = np.random.default_rng(12).standard_normal((3000, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id bigint, embedding array<double>").repartition(4)
+    monkeypatch.setattr(lsh_search, "MOST_PROBES", 2)
+    monkeypatch.setattr(lsh_search, "BUCKET", 100)
+    got = lsh_search.search(df, F.col("id") % 100 == 0).toPandas()
+    for q in range(0, 3000, 100):
+        score = (vectors * vectors[q]).sum(1)
+        score[q] = -np.inf
+        own = got[got.query_id == q].sort_values("rank")
+        assert own.vec_id.tolist() == np.lexsort((np.arange(3000), -score))[:20].tolist()
