@@ -300,3 +300,11 @@ def test_search_falls_back_to_all_vectors(spark, monkeypatch):
         score[q] = -np.inf
         own = got[got.query_id == q].sort_values("rank")
         assert own.vec_id.tolist() == np.lexsort((np.arange(3000), -score))[:20].tolist()
+
+
+def test_search_blocks_of_queries(spark):
+    queries = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(1100)], "id bigint, vec array<double>").coalesce(1)
+    rows = lsh_search.blocks(queries).collect()
+    ids = [np.frombuffer(r["q_ids"], dtype=np.int64) for r in rows]
+    assert max(map(len, ids)) <= lsh_search.PACK and sorted(np.concatenate(ids).tolist()) == list(range(1100))
+    assert all(np.frombuffer(r["q_vecs"]).reshape(-1, 2)[:, 0].tolist() == i.tolist() for r, i in zip(rows, ids, strict=True))
