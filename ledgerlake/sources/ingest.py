@@ -42,9 +42,12 @@ def _attach(rows: DataFrame, routed: DataFrame) -> DataFrame:
 
 
 def _one_file_per_pair(rows: DataFrame) -> DataFrame:
-    """Of several files with rows for one (date, branch), the last by path replaces the others."""
-    owner = rows.groupBy(*staging.PARTITIONS).agg(F.max("path").alias("path"))
-    return rows.join(owner, ["path", *staging.PARTITIONS], "left_semi")
+    """Of several files with rows for one (date, branch), the last by path replaces the others. Where date or branch is
+    blank, nothing says that two files are the same report, so all rows stay."""
+    known = [F.trim(F.col(c)) != "" for c in staging.PARTITIONS]
+    owner = rows.filter(known[0] & known[1]).groupBy(*staging.PARTITIONS).agg(F.max("path").alias("_last"))
+    kept = rows.join(owner, list(staging.PARTITIONS), "left").filter(F.col("_last").isNull() | (F.col("_last") == F.col("path")))
+    return kept.select(*rows.columns)
 
 
 def ingest(spark: SparkSession, folder: str, root: str, work: str) -> DataFrame:

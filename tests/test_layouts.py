@@ -258,3 +258,9 @@ def test_classification_and_outcomes(make_lines):
     counts = lines.groupBy("path").count().selectExpr("path", "count as records", "count as valid_records", "0L as invalid_records")
     summary = sniff.batch_summary(sniff.file_outcomes(classes, routed, counts)).collect()[0]
     assert (summary.total_files, summary.successful, summary.review, summary.total_records) == (3, 1, 2, 10)
+
+
+def test_files_without_date_or_branch_keep_their_rows(spark):
+    rows = [("a", "2025-04-28", "00001", 1), ("b", "2025-04-28", "00001", 2), ("a", "", "", 3), ("b", "", "", 4), ("a", "2025-04-28", "", 5), ("b", "2025-04-28", "", 6), ("c", None, "00001", 7)]
+    got = ingest._one_file_per_pair(spark.createDataFrame(rows, "path string, PROC_DATE string, BRANCH_CODE string, n int"))
+    assert got.columns == ["path", "PROC_DATE", "BRANCH_CODE", "n"] and sorted(r.n for r in got.collect()) == [2, 3, 4, 5, 6, 7]
