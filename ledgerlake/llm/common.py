@@ -21,7 +21,6 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 
 _OWN: dict[str, str] = {}
@@ -67,9 +66,9 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets - offsets[0], np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]]
 
 
-def spans(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text number, first byte and end byte of each word."""
-    solid, edge = ~WHITE[data], np.zeros(len(data) + 1, dtype=bool)
+def spans(offsets: np.ndarray, data: np.ndarray, inside: np.ndarray = ~WHITE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text number, first byte and end byte of each word, a run of bytes that ``inside`` marks."""
+    solid, edge = inside[data], np.zeros(len(data) + 1, dtype=bool)
     edge[offsets] = True
     before, after = np.zeros_like(solid), np.zeros_like(solid)
     before[1:], after[:-1] = solid[:-1], solid[1:]
@@ -85,32 +84,33 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-_POWERS: list[np.ndarray] = []
+_PLACE = np.uint64(0xD1B54A32D192ED03)
+_TAIL = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 
 
-def _powers(n: int) -> list[np.ndarray]:
-    """Powers of the base and of its inverse, kept for the next slice."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        made = []
-        for x in (_BASE, _BACK):
-            power = np.full(max(n, 1 << 20), x, dtype=np.uint64)
-            power[0] = 1
-            with np.errstate(over="ignore"):
-                made.append(np.multiply.accumulate(power))
-        _POWERS[:] = made
-    return _POWERS
-
-
-def hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans, from prefix sums of one polynomial over all bytes."""
+def hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of byte spans: each piece of eight bytes is mixed by itself and again with its place, and the sum of
+    the pieces is mixed with the length. Pieces meet only after mixing, so spans of few or regular bytes do not collide."""
     if not len(begin):
         return np.zeros(0, dtype=np.uint64)
+    padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
+    at = np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+    salt = np.uint64(pow(int(_BASE), seed + 1, 1 << 64))
+    length = end - begin
+
+    def piece(from_: np.ndarray, left: np.ndarray, place: np.ndarray | int) -> np.ndarray:
+        return mixed(mixed((at[from_] & _TAIL[np.clip(left, 0, 8)]) ^ salt) + np.asarray(place, dtype=np.uint64) * _PLACE)
+
     with np.errstate(over="ignore"):
-        power, back = _powers(len(data))
-        total = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.multiply(data, power[: len(data)], out=total[1:], dtype=np.uint64)
-        np.add.accumulate(total, out=total)
-        return mixed((total[end] - total[begin]) * back[begin] + (end - begin).astype(np.uint64))
+        total = piece(begin, length, 0)
+        long = np.flatnonzero(length > 8)
+        if len(long):
+            more = (length[long] - 1) >> 3
+            first = np.cumsum(more) - more
+            place = np.arange(int(more.sum())) - np.repeat(first, more) + 1
+            from_ = np.repeat(begin[long], more) + 8 * place
+            total[long] += np.add.reduceat(piece(from_, np.repeat(end[long], more) - from_, place), first)
+        return mixed(total + length.astype(np.uint64) * salt)
 
 
 def shingles(offsets: np.ndarray, data: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:

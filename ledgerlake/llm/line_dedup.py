@@ -6,7 +6,7 @@ so any run of lines that two places share and that has ``window_words`` words sh
 joined: each later place with the first one (by document, row and line). The match is extended line by line in both
 directions, and the later run is deleted. A run inside one document may not overlap its source.
 
-Only hashes are joined (8 bytes a line); the texts meet the deleted runs once. A gram or source that very many documents
+Only hashes are joined (8 bytes a line); texts meet the deleted runs once, and only where they are to be cut. A gram or source that very many documents
 have is counted before the shuffle, and the join on it can be split.
 
 Defined cases: a null text has no lines and stays null; blank lines are passed over when runs are compared and go with a
@@ -22,10 +22,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _powers, hashes, mixed, signed, slices, spans, stored, utf8
+from .common import _BASE, hashes, mixed, signed, slices, spans, stored, utf8
 
 GRAM_WORDS, WINDOW_WORDS = 40, 50
 
+_BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base and of its inverse, for hashes of runs of lines from prefix sums. Lines are mixed hashes, and a gram
+    has ``GRAM_WORDS`` lines at most, so it is no sum of many regular terms."""
+    out = []
+    for x in (_BASE, _BACK):
+        power = np.full(n, x, dtype=np.uint64)
+        power[:1] = 1
+        with np.errstate(over="ignore"):
+            out.append(np.multiply.accumulate(power))
+    return out[0], out[1]
+
 
 def line_hashes(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of each line with a word: text number, line number in its text, hash of its words, number of words."""
@@ -39,7 +53,7 @@ def line_hashes(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.n
     count = np.diff(np.append(first, len(text)))
     place = np.arange(len(text)) - np.repeat(first, count)
     with np.errstate(over="ignore"):
-        whole = np.add.reduceat(hashes(data, begin, end) * _powers(int(place.max()) + 1)[0][place], first)
+        whole = np.add.reduceat(mixed(hashes(data, begin, end) + place.astype(np.uint64) * _BASE), first)
         return text[first], line_in_text[first], mixed(whole + count.astype(np.uint64)), count
 
 
@@ -158,11 +172,27 @@ def removals(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     return least.join(rows, ["doc", "mark"]).filter("losing = rows").select("doc", "mark", "least.runs")
 
 
-def marked(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows with all columns and ``removed_runs``, null where nothing is deleted."""
-    gone = stored(removals(docs, key, text), "removals").select(F.col("doc").alias("_doc"), F.col("mark").alias("_mark"), F.col("runs").alias("removed_runs"))
-    mark = F.xxhash64(F.coalesce(docs[text], F.lit("")))
-    return docs.drop("removed_runs").join(gone, docs[key].eqNullSafe(gone["_doc"]) & (mark == gone["_mark"]), "left").drop("_doc", "_mark")
+def marked(docs: DataFrame, key: str = "doc_id", text: str = "text", runs: str = "removed_runs") -> DataFrame:
+    """The rows with all columns and ``runs``, null where nothing is deleted; an input column of that name is replaced."""
+    doc, mark = (_unused(docs, name) for name in ("doc", "mark"))
+    gone = stored(removals(docs, key, text), "removals").select(F.col("doc").alias(doc), F.col("mark").alias(mark), F.col("runs").alias(runs))
+    here = F.xxhash64(F.coalesce(docs[text], F.lit("")))
+    return docs.drop(runs).join(gone, docs[key].eqNullSafe(gone[doc]) & (here == gone[mark]), "left").drop(doc, mark)
+
+
+def summaries(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(key, n_lines, removed_runs)`` of each row. Line counts meet the runs; texts stay where they are."""
+    gone = stored(removals(docs, key, text), "removals")
+    n_lines = F.size(F.split(F.coalesce(text, F.lit("")), "\n")).cast("bigint")
+    rows = docs.select(F.col(key).alias("key"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("here"), n_lines.alias("n_lines"))
+    met = rows.join(gone, rows["key"].eqNullSafe(gone["doc"]) & (rows["here"] == gone["mark"]), "left")
+    return met.select(F.col("key").alias(key), "n_lines", F.col("runs").alias("removed_runs"))
+
+
+def _unused(docs: DataFrame, name: str) -> str:
+    while name.lower() in map(str.lower, docs.columns):
+        name += "_"
+    return name
 
 
 def line_gone(runs, k):
@@ -172,6 +202,7 @@ def line_gone(runs, k):
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows with all columns, later repeated runs deleted from the text; rows left without a word are dropped if
     something was deleted from them."""
-    rest = F.array_join(F.filter(F.split(text, "\n"), lambda _, k: ~line_gone(F.col("removed_runs"), k)), "\n")
-    out = marked(docs, key, text).withColumn(text, F.when(F.col("removed_runs").isNotNull(), rest).otherwise(F.col(text)))
-    return out.filter(F.col("removed_runs").isNull() | F.rlike(text, F.lit(r"[^ \t-\r]"))).select(docs.columns)
+    runs = _unused(docs, "removed_runs")
+    rest = F.array_join(F.filter(F.split(text, "\n"), lambda _, k: ~line_gone(F.col(runs), k)), "\n")
+    out = marked(docs, key, text, runs).withColumn(text, F.when(F.col(runs).isNotNull(), rest).otherwise(F.col(text)))
+    return out.filter(F.col(runs).isNull() | F.rlike(text, F.lit(r"[^ \t-\r]"))).select(docs.columns)

@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from . import bpe, curve_packing, jaccard_join, license_scan, line_dedup, lsh_search, quality_model, quality_rules, secret_scan, url_filter
+from . import bpe, curve_packing, jaccard_join, lexical_tree, license_scan, line_dedup, lsh_search, negative_mining, quality_model, quality_rules, secret_scan, streaming_dedup, url_filter
 from .line_dedup import line_gone
 from .registry import query, table
 
@@ -48,13 +48,11 @@ def op7_packing(spark, folder):
 
 @query("op5_line_dedup")
 def op5_line_dedup(spark, folder):
-    docs = table(spark, folder, "documents").select("doc_id", "text")
-    out = line_dedup.marked(docs)
-    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    out = line_dedup.summaries(table(spark, folder, "documents"))
     runs = F.transform("removed_runs", lambda r: F.concat_ws("-", r["first"], r["last"]))
-    gone = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda k: line_gone(F.col("removed_runs"), k))
+    gone = F.filter(F.sequence(F.lit(0), (F.col("n_lines") - 1).cast("int")), lambda k: line_gone(F.col("removed_runs"), k))
     n_gone = F.when(F.col("removed_runs").isNull(), F.lit(0)).otherwise(F.size(gone)).cast("bigint")
-    return out.select("doc_id", F.size(lines).cast("bigint").alias("n_lines"), n_gone.alias("n_removed"), F.coalesce(F.array_join(runs, ","), F.lit("")).alias("removed"))
+    return out.select("doc_id", "n_lines", n_gone.alias("n_removed"), F.coalesce(F.array_join(runs, ","), F.lit("")).alias("removed"))
 
 
 @query("op6_jaccard_join")
@@ -78,3 +76,20 @@ def op1_quality_classifier(spark, folder):
 @query("op2_license_scans")
 def op2_license_scans(spark, folder):
     return license_scan.scanned(table(spark, folder, "documents"))
+
+
+@query("op11_negative_mining", negative_mining.mine_sql())
+def op11_negative_mining(spark, folder):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negative_mining.mine(table(spark, folder, "embeddings"), F.col("id") % 100 == 0, label)
+
+
+@query("op12_lexical_search", lexical_tree.search_sql())
+def op12_lexical_search(spark, folder):
+    return lexical_tree.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op13_exact_dedup", streaming_dedup.groups_sql())
+def op13_exact_dedup(spark, folder):
+    found = streaming_dedup.groups(spark, f"{folder}/documents.parquet")
+    return found.select(F.col("key").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
