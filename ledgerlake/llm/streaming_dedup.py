@@ -27,8 +27,11 @@ from .common import shared_folder, stored
 
 #: Files that one micro-batch takes in.
 FILES_PER_BATCH = 10_000
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk; files of a store are not allocated ahead, since there is one store for each shuffle partition.
+STATE_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 #: The state's values in the order of ``_gathered``; an aggregate by maximum holds its value and what it is ordered by.
 VALUES = "struct<keep:bigint,file:bigint,by_file:bigint,row:bigint,by_row:bigint,n:bigint>"
 
@@ -68,8 +71,9 @@ def state_of(spark: SparkSession, path: str, key: str = "doc_id", text: str = "t
     folder = state or f"{shared_folder(spark)}/ledgerlake/dedup-state-{uuid.uuid4().hex}"
     schema = spark.read.parquet(path).schema
     arriving = spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES_PER_BATCH).parquet(_glob(path))
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    before = {name: spark.conf.get(name, None) for name in STATE_SETTINGS}
+    for name, setting in STATE_SETTINGS.items():
+        spark.conf.set(name, setting)
     try:
         met = _gathered(_rows(arriving, key, text, digest).drop("text"), "digest")
         query = met.writeStream.format("noop").outputMode("update").option("checkpointLocation", folder).trigger(availableNow=True).start()
@@ -78,10 +82,11 @@ def state_of(spark: SparkSession, path: str, key: str = "doc_id", text: str = "t
         value = F.col("value").cast(VALUES)
         return stored(held.select(F.col("key")["digest"].alias("digest"), *(value[c].alias(c) for c in ("keep", "file", "row", "n"))), "dedup-held")
     finally:
-        if before is None:
-            spark.conf.unset(PROVIDER)
-        else:
-            spark.conf.set(PROVIDER, before)
+        for name, setting in before.items():
+            if setting is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, setting)
 
 
 def groups(spark: SparkSession, path: str, key: str = "doc_id", text: str = "text", state: str | None = None, digest: Digest = sha) -> DataFrame:
