@@ -1,22 +1,22 @@
 """Reports whose columns must be read from their own header.
 
-Only a handful of header lines per file reach Python, to find column names and limits; the
-data lines are cut by Spark with those limits. Rows come as (path, line_no, cells), where
+Everything is a column expression. A report's marker lines (rules, titles, page furniture) are found by filters on the
+stored lines; of each report only the few lines around its rule are brought together, and its column limits and names
+are one small array. The data lines meet that array once and are cut by it. Rows come as (path, line_no, cells), where
 ``cells`` maps column name to text, because columns differ from file to file.
-"""
 
-from __future__ import annotations
+Title lines that a later page repeats are not rows."""
 
-import re
-from collections.abc import Iterator
+from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from ..functions.pieces import (
+    NAMED, cell_starts, dash_runs, gap_ends, ink_runs, opened, or_else, pieces, pipes, spans, starts, tidy, titled, under, unrepeated,
+)
 from ..functions.text import BLANKS, has_any, made_of, strip
-from ..operators import ordered
+from ..operators import occupancy, ordered
 from .lines import grid_as_blanks, without_boilerplate
 
 
@@ -24,28 +24,20 @@ def raw_line() -> Column:
     return F.col("line")
 
 
-OPEN_END = 10**9
-COLUMNS = "array<struct<name:string,start:int,end:int>>"
-_COLUMN_TYPE = T.ArrayType(T.StructType(
-    [T.StructField("name", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
-_PART_TYPE = T.ArrayType(T.StructType(
-    [T.StructField("i", T.IntegerType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()),
-     T.StructField("part", T.StringType())]))
-Limits = list[tuple[str, int, int]]
-
-
 # ---------------------------------------------------------------- cutting
 
 def cut_cells(rows: DataFrame, columns: DataFrame, clean=None) -> DataFrame:
-    """Cuts each line by its file's column limits."""
+    """Cuts each line by its file's columns; ``_titles``, where there, are lines that are not rows."""
 
     def value(c: Column) -> Column:
-        raw = F.substring(raw_line(), c["start"] + 1, c["end"] - c["start"])
-        raw = F.btrim(raw, F.lit(BLANKS))
+        raw = under(raw_line(), c)
         return clean(raw) if clean else raw
 
+    met = rows.join(columns, "path")
+    if "_titles" in columns.columns:
+        met = met.filter(~F.array_contains(F.transform("_titles", strip), strip(raw_line())))
     cells = F.map_from_arrays(F.transform("_columns", lambda c: c["name"]), F.transform("_columns", value))
-    return rows.join(columns, "path").select("path", "line_no", cells.alias("cells"))
+    return met.select("path", "line_no", cells.alias("cells"))
 
 
 def pick(rows: DataFrame, names: list[str]) -> DataFrame:
@@ -58,185 +50,123 @@ def long_form(rows: DataFrame) -> DataFrame:
     return rows.select("path", F.col("line_no").alias("row_no"), F.explode("cells").alias("column_name", "value"))
 
 
-def unique_names(names: list[str]) -> list[str]:
-    """Repeated names get _1, _2, ... in order of appearance."""
-    taken: set[str] = set()
-    out = []
-    for name in names:
-        candidate, n = name, 0
-        while candidate in taken:
-            n += 1
-            candidate = f"{name}_{n}"
-        taken.add(candidate)
-        out.append(candidate)
-    return out
-
-
-def tidy(text: str, empty: str) -> str:
-    return re.sub(r"[^A-Za-z0-9]+", "_", text).strip("_").upper() or empty
-
-
-def _limits_at(marks: list[int]) -> list[tuple[int, int]]:
-    return list(zip(marks, marks[1:] + [OPEN_END]))
-
+def _near(lines: DataFrame, places: DataFrame, above: int, below: int) -> DataFrame:
+    """``places`` with ``_near``: the lines from ``above`` lines over ``_at`` to ``below`` under it, as (n, line), n counted from it."""
+    n = (F.col("line_no") - F.col("_at")).cast("int")
+    around = lines.select("path", "line_no", "line").join(places, "path").filter(n.between(-above, below))
+    found = around.groupBy("path", "_at").agg(F.array_sort(F.collect_list(F.struct(n.alias("n"), F.rtrim("line").alias("line")))).alias("_near"))
+    return places.join(found, ["path", "_at"])
 
-def _pipe_limits(header: str) -> list[tuple[int, int]]:
-    marks = [0] + [i + 1 for i, ch in enumerate(header) if ch == "|"]
-    return _limits_at([m for m in marks if m < len(header.rstrip())])
 
+def _texts(near: Column) -> Column:
+    return F.transform(near, lambda x: x["line"])
 
-def _gap_marks(header: str) -> list[int]:
-    """A column starts at the last blank of each run of two or more."""
-    return [m.end() - 1 for m in re.finditer(" {2,}", header)]
 
+# ---------------------------------------------------------------- columns under a rule of dash groups, or under titles beside a solid rule
 
-def _dash_runs(rule: str) -> list[tuple[int, int]]:
-    return [m.span() for m in re.finditer("-+", rule)]
-
-
-# ---------------------------------------------------------------- headers above or between rules
-
+# Words that mark page furniture, a framed title box, and lines below the header that are no rows.
 _FURNITURE = ("REPORT ID:", "PROC DATE", "RUN DATE", "BRANCH CODE", "BRANCH NAME", "PAGE NO", "AREA:")
 _BOX_WORDS = _FURNITURE + ("BRANCH NO",)
 _DATA_SKIP = ("REPORT ID:", "RUN DATE:", "PROC DATE", "PAGE NO", "AREA:", "** END", "GRAND TOTAL", "BRANCH TOTAL")
 _LOOK = 4
 
 
-def _is_dashes(text: str) -> bool:
-    solid = text.replace(" ", "").rstrip()
-    return len(solid) > 10 and set(solid) == {"-"}
-
-
-def _header_from_rules(window: pd.DataFrame) -> pd.DataFrame:
-    """Column limits and the last header line of one file, from the ten lines around its rule."""
-    path, at, above = window["path"].iloc[0], int(window["_at"].iloc[0]), window["_above"].iloc[0]
-    near = {int(n): str(t).rstrip() for n, t in zip(window["line_no"], window["line"])}
-    rule = near[at]
-    closing = next((n for n in range(at + 1, at + 1 + _LOOK) if _is_dashes(near.get(n, ""))), None)
-    runs = _dash_runs(rule)
-    titles: list[str] = []
-    if len(runs) == 1:
-        if closing:
-            titles = [near[n] for n in range(at + 1, closing) if n in near]
-        elif above:
-            titles = [above]
-        if titles and "|" in titles[0]:
-            runs = _pipe_limits(titles[0])
-        elif titles and _gap_marks(titles[0]):
-            others = titles[1:]
-            free = [m for m in _gap_marks(titles[0]) if all(m >= len(o) or o[m] == " " for o in others)]
-            runs = _limits_at([0] + free)
-    if not titles:
-        for n in range(at - 1, at - 1 - _LOOK, -1):
-            text = near.get(n, "")
-            if not text.strip() or set(text.strip()) <= set("-= ") or any(w in text.upper() for w in _FURNITURE):
-                break
-            titles.insert(0, text)
-    if runs:
-        runs[-1] = (runs[-1][0], OPEN_END)
-    names = []
-    for i, (start, end) in enumerate(runs):
-        pieces = [p for p in (t[start:end].strip() for t in titles) if p]
-        names.append(tidy("_".join(pieces), f"COL_{i}") if pieces else f"COL_{i}")
-    columns = [{"name": n, "start": s, "end": e} for n, (s, e) in zip(unique_names(names), runs)]
-    return pd.DataFrame({"path": [path], "_columns": [columns], "_from": [closing or at]})
-
-
-def _rule_lines(lines: DataFrame) -> DataFrame:
-    """(path, _at): the rule that defines the columns of each file."""
-    packed = F.replace(raw_line(), F.lit(" "), F.lit(""))
-    grouped = (F.length(packed) > 10) & made_of(packed, "-") & raw_line().rlike("-+ +-+ +-+")
-    best = lines.filter(grouped).groupBy("path").agg(F.min("line_no").alias("_grouped"))
-    solid = lines.filter((F.length(F.rtrim(raw_line())) > 20) & made_of(strip(raw_line()), "-=")).select("path", F.col("line_no").alias("_at"))
-    # A rule followed by page furniture (up to the next rule or blank) frames a title box, not columns.
-    ahead = solid.select("path", "_at", F.explode(F.sequence(F.col("_at") + 1, F.col("_at") + _LOOK)).alias("line_no"))
+def _all_dashes(line: Column) -> Column:
+    """Over ten dashes, blanks aside."""
+    packed = F.replace(line, F.lit(" "), F.lit(""))
+    return (F.length(packed) > 10) & made_of(packed, "-")
+
+
+def _defining_rules(lines: DataFrame) -> DataFrame:
+    """``(path, _at)``: of each file the first rule of three or more dash groups, else the first solid rule that
+    is not the top of a box around page furniture."""
     text = strip(raw_line())
-    seen = ahead.join(lines, ["path", "line_no"], "left").groupBy("path", "_at").agg(
-        F.min(F.when(has_any(F.upper(raw_line()), _BOX_WORDS), F.col("line_no"))).alias("_box"),
-        F.min(F.when((text == "") | made_of(text, "-="), F.col("line_no"))).alias("_stop"),
+    kind = (
+        F.when(_all_dashes(raw_line()) & raw_line().rlike("-+ +-+ +-+"), "groups")
+        .when((F.length(F.rtrim(raw_line())) > 20) & made_of(text, "-="), "solid")
+        .when((text == "") | made_of(text, "-="), "stop")
+        .when(has_any(F.upper(raw_line()), _BOX_WORDS), "box")
     )
-    boxed = F.col("_box").isNotNull() & (F.col("_stop").isNull() | (F.col("_box") < F.col("_stop")))
-    plain = seen.filter(~boxed).groupBy("path").agg(F.min("_at").alias("_solid"))
-    return best.join(plain, "path", "full_outer").select("path", F.coalesce("_grouped", "_solid").alias("_at"))
+    marks = lines.select("path", "line_no", kind.alias("kind")).filter("kind is not null")
+    # What each solid rule meets first in the lines under it decides whether it tops a box.
+    solid = marks.filter("kind = 'solid'").select("path", F.col("line_no").alias("_at"))
+    meets = solid.withColumn("line_no", F.explode(F.sequence(F.col("_at") + 1, F.col("_at") + _LOOK))).join(marks.filter("kind <> 'groups'"), ["path", "line_no"])
+    boxed = meets.groupBy("path", "_at").agg(F.min_by("kind", "line_no").alias("first")).filter("first = 'box'")
+    first = lambda rows, name: rows.groupBy("path").agg(F.min("_at").alias(name))
+    plain = first(solid.join(boxed, ["path", "_at"], "left_anti"), "_solid")
+    grouped = first(marks.filter("kind = 'groups'").withColumnRenamed("line_no", "_at"), "_grouped")
+    return grouped.join(plain, "path", "full_outer").select("path", F.coalesce("_grouped", "_solid").alias("_at"))
 
 
 def dash_columns(lines: DataFrame) -> DataFrame:
-    rules = _rule_lines(lines)
+    rules = _defining_rules(lines)
     text = strip(raw_line())
-    title = (text != "") & ~made_of(text, "-= ") & ~has_any(F.upper(raw_line()), _FURNITURE)
-    around = lines.join(rules, "path")
-    above = around.filter(title & (F.col("line_no") < F.col("_at"))).groupBy("path").agg(
-        F.max_by(F.rtrim(raw_line()), "line_no").alias("_above"))
-    window = around.filter(F.col("line_no").between(F.col("_at") - _LOOK, F.col("_at") + _LOOK + 1)).join(above, "path", "left")
-    columns = window.groupBy("path").applyInPandas(_header_from_rules, f"path string, _columns {COLUMNS}, _from bigint")
+    furniture = lambda line: has_any(F.upper(line), _FURNITURE)
+    unruled = lambda line: (strip(line) != "") & ~made_of(strip(line), "-= ")
+    over = lines.filter(unruled(raw_line()) & ~furniture(raw_line())).join(rules, "path").filter("line_no < _at")
+    above = over.groupBy("path").agg(F.max_by(F.rtrim(raw_line()), "line_no").alias("_above"))
+    heads = _near(lines, rules, _LOOK, _LOOK).join(above, "path", "left")
+
+    near = F.col("_near")
+    rule = F.get(F.filter(near, lambda x: x["n"] == 0), F.lit(0))["line"]
+    heads = heads.withColumns({
+        "_closing": F.array_min(F.transform(F.filter(near, lambda x: (x["n"] > 0) & _all_dashes(x["line"])), lambda x: x["n"])),
+        "_ends": F.coalesce(F.array_max(F.transform(F.filter(near, lambda x: (x["n"] < 0) & ~(unruled(x["line"]) & ~furniture(x["line"]))), lambda x: x["n"])), F.lit(-_LOOK - 1)),
+        "_groups": dash_runs(rule),
+    })
+    # Under a solid rule the titles give the limits: those between it and the closing one, else the nearest above.
+    beside = F.when(
+        F.col("_closing").isNotNull(), _texts(F.filter(near, lambda x: (x["n"] > 0) & (x["n"] < F.col("_closing")))),
+    ).otherwise(F.when(F.col("_above").isNotNull(), F.array("_above")).otherwise(F.array().cast("array<string>")))
+    heads = heads.withColumn("_beside", F.when(F.size("_groups") == 1, beside).otherwise(F.array().cast("array<string>")))
+    first = F.get("_beside", F.lit(0))
+    free = F.filter(gap_ends(first), lambda m: F.forall("_beside", lambda t: (m >= F.length(t)) | (F.substring(t, m + 1, 1) == " ")))
+    groups = F.transform("_groups", lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end")))
+    heads = heads.withColumns({
+        "_spans": F.when(first.contains("|"), spans(cell_starts(first))).when(F.size(gap_ends(first)) > 0, spans(F.concat(F.array(F.lit(0)), free))).otherwise(opened(groups)),
+        "_titles": F.when(F.size("_beside") > 0, F.col("_beside")).otherwise(_texts(F.filter(near, lambda x: (x["n"] < 0) & (x["n"] > F.col("_ends"))))),
+    })
+    columns = heads.select("path", (F.col("_at") + F.coalesce("_closing", F.lit(0))).alias("_from"), unrepeated(titled(F.col("_spans"), F.col("_titles"))).alias("_columns"), "_titles")
+
     upper = F.upper(text)
-    data = lines.join(columns.select("path", "_from"), "path").filter(
-        (F.col("line_no") > F.col("_from")) & (text != "") & ~made_of(text, " -=|") & ~text.rlike(r"[\x00-\x08\x0a-\x1f]")
-        & ~has_any(upper, _DATA_SKIP) & ~upper.startswith("TOTAL") & ~upper.contains("TOT VOUCH")).drop("_from")
-    rows = cut_cells(data, columns.drop("_from"))
+    data = lines.filter(
+        (text != "") & ~made_of(text, " -=|") & ~text.rlike(r"[\x00-\x08\x0a-\x1f]")
+        & ~has_any(upper, _DATA_SKIP) & ~upper.startswith("TOTAL") & ~upper.contains("TOT VOUCH"))
+    rows = cut_cells(data.join(columns.select("path", "_from"), "path").filter("line_no > _from").drop("_from"), columns.drop("_from"))
     return rows.filter(F.exists(F.map_values("cells"), lambda v: v != ""))
 
 
-# ---------------------------------------------------------------- columns from blank positions
-
-def inked_positions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(path, pos) of every non-blank position, once per batch and file."""
-    for batch in batches:
-        out = []
-        for path, lines in batch.groupby("path")["line"]:
-            inked: set[int] = set()
-            for line in lines:
-                inked.update(m.start() for m in re.finditer("[^ ]", line))
-            out.append(pd.DataFrame({"path": path, "pos": sorted(inked)}))
-        yield pd.concat(out) if out else pd.DataFrame({"path": [], "pos": []})
-
-
-@F.pandas_udf(_COLUMN_TYPE)
-def _blank_limits(header: pd.Series, positions: pd.Series) -> pd.Series:
-    """Runs of inked positions are columns; limits lie midway between runs; names come from the header."""
-
-    def one(title: str, inked) -> list[dict]:
-        inked = sorted(int(i) for i in inked)
-        runs: list[list[int]] = []
-        for pos in inked:
-            if runs and pos == runs[-1][1]:
-                runs[-1][1] = pos + 1
-            else:
-                runs.append([pos, pos + 1])
-        marks = [0] + [(a[1] + b[0]) // 2 for a, b in zip(runs, runs[1:])]
-        found: list[tuple[str, int, int]] = []
-        for start, end in _limits_at(marks):
-            name = title[start:end].strip()
-            if name:
-                found.append((tidy(name, "COL"), start, end))
-            elif found:
-                found[-1] = (found[-1][0], found[-1][1], end)
-        names = unique_names([f[0] for f in found])
-        return [{"name": n, "start": s, "end": e} for n, (_, s, e) in zip(names, found)]
-
-    return pd.Series([one(h, p) for h, p in zip(header, positions)])
+# ---------------------------------------------------------------- columns from the positions that are blank on every line
+
+def _named_or_spilled(columns: Column, header: Column) -> Column:
+    """Columns named by the header; one without a name belongs to the column on its left, or to none if it is the first."""
+
+    def add(done: Column, column: Column) -> Column:
+        name, n = under(header, column), F.size(done)
+        named = F.struct(or_else(tidy(name), "COL").alias("name"), column["start"].alias("start"), column["end"].alias("end"))
+        left = F.get(done, n - 1)
+        wider = F.struct(left["name"].alias("name"), left["start"].alias("start"), column["end"].alias("end"))
+        return F.when(name != "", F.array_append(done, named)).when(n > 0, F.array_append(F.slice(done, 1, n - 1), wider)).otherwise(done)
+
+    return F.aggregate(columns, F.array().cast(NAMED), add)
 
 
 def blank_columns(lines: DataFrame) -> DataFrame:
+    """The line under the first rule is the header, the lines under the second one data; columns part midway between inked runs."""
     rows = without_boilerplate(grid_as_blanks(lines)).withColumn("text", strip(raw_line()))
-    rule = made_of(F.col("text"), "-")
-    first = rows.filter(rule).groupBy("path").agg(F.min("line_no").alias("_first"))
-    second = (
-        rows.filter(rule).join(first, "path").filter("line_no > _first").groupBy("path", "_first")
-        .agg(F.min("line_no").alias("_second"))
-    )
-    framed = rows.join(second, "path")
-    header = framed.filter("line_no > _first").groupBy("path").agg(F.min_by("line", "line_no").alias("_header"))
-    titles = framed.filter("line_no < _first").select("path", "text").distinct()
+    ruled = rows.filter(made_of(F.col("text"), "-"))
+    first = ruled.groupBy("path").agg(F.min("line_no").alias("_first"))
+    second = ruled.join(first, "path").filter("line_no > _first").groupBy("path", "_first").agg(F.min("line_no").alias("_second"))
+    header = rows.join(second, "path").filter("line_no > _first").groupBy("path", "_first", "_second").agg(F.min_by("line", "line_no").alias("_header"))
+    titles = rows.join(second, "path").filter("line_no < _first").select("path", "text").distinct()
     data = (
-        framed.filter((F.col("line_no") > F.col("_second")) & ~rule).join(titles, ["path", "text"], "left_anti")
-        .join(header, "path").filter(F.col("text") != strip(F.col("_header"))).select("path", "line_no", "line")
-    )
-    inked = data.select("path", "line").union(
-        header.join(data.select("path").distinct(), "path", "left_semi").select("path", "_header"))
-    positions = inked.mapInPandas(inked_positions, "path string, pos int").groupBy("path").agg(
-        F.collect_set("pos").alias("_pos"))
-    columns = positions.join(header, "path").select("path", _blank_limits("_header", "_pos").alias("_columns"))
+        rows.filter(~made_of(F.col("text"), "-")).join(header, "path").filter((F.col("line_no") > F.col("_second")) & (F.col("text") != strip("_header")))
+        .join(titles, ["path", "text"], "left_anti").select("path", "line_no", "line")
+    )
+    shown = data.select("path", "line").unionAll(header.join(data.select("path").distinct(), "path", "left_semi").select("path", F.col("_header").alias("line")))
+    inked = occupancy.ink(occupancy.occupancy(shown, "path"), "path").join(header, "path").withColumn("_runs", ink_runs(F.col("ink")))
+    midway = F.transform("_runs", lambda r, i: F.when(i == 0, 0).otherwise(F.floor((F.get("_runs", i - 1)["end"] + r["start"]) / 2)).cast("int"))
+    columns = inked.withColumn("_spans", spans(midway)).select("path", unrepeated(_named_or_spilled(F.col("_spans"), F.col("_header"))).alias("_columns"))
     return cut_cells(data, columns)
 
 
@@ -261,30 +191,6 @@ def is_header(text: Column) -> Column:
     )
 
 
-@F.pandas_udf(_COLUMN_TYPE)
-def _ruled_limits(rule: pd.Series, header: pd.Series) -> pd.Series:
-
-    def one(dashes: str, title: str | None) -> list[dict]:
-        title = title or ""
-        runs = _dash_runs(dashes.rstrip())
-        if len(runs) > 1:
-            limits = _limits_at([s for s, _ in runs])
-        elif "|" in title and len(_pipe_limits(title)) > 1:
-            limits = _pipe_limits(title)
-        else:
-            limits = _limits_at([0] + _gap_marks(title))
-        words: list[str] = []
-        if len(title.strip()) > 5:
-            words = [w.strip() for w in re.split(r"\|" if "|" in title else " {2,}", title) if w.strip()]
-        names = []
-        for i in range(len(limits)):
-            raw = words[i] if i < len(words) else f"COL_{i}"
-            names.append("".join(ch for ch in raw if ch.isalnum() or ch == "_").upper() or f"COL_{i}")
-        return [{"name": n, "start": s, "end": e} for n, (s, e) in zip(unique_names(names), limits)]
-
-    return pd.Series([one(r, h) for r, h in zip(rule, header)])
-
-
 def _rules(lines: DataFrame) -> DataFrame:
     text = strip(raw_line())
     return lines.filter(made_of(text, "- ") & (F.length(text) > _RULE_MIN)).select("path", "line_no")
@@ -306,19 +212,26 @@ def _last_near_rule(rules: DataFrame) -> DataFrame:
 
 
 def _first_rule_under_pipes(rules: DataFrame, lines: DataFrame) -> DataFrame:
-    previous = lines.select("path", (F.col("line_no") + 1).alias("line_no"), F.col("line").alias("_prev"))
-    seen = rules.join(previous, ["path", "line_no"], "left")
-    return seen.groupBy("path").agg(
-        F.coalesce(F.min(F.when(F.col("_prev").contains("|"), F.col("line_no"))), F.min("line_no")).alias("_at"))
+    over = lines.filter(raw_line().contains("|")).select("path", (F.col("line_no") + 1).alias("line_no"), F.lit(True).alias("_piped"))
+    seen = rules.join(over, ["path", "line_no"], "left")
+    return seen.groupBy("path").agg(F.coalesce(F.min(F.when(F.col("_piped"), F.col("line_no"))), F.min("line_no")).alias("_at"))
 
 
 def _cut_by_rule(lines: DataFrame, target: DataFrame) -> DataFrame:
-    titles = lines.select("path", (F.col("line_no") + 1).alias("_at"), F.col("line").alias("_title"))
-    rules = lines.select("path", F.col("line_no").alias("_at"), F.col("line").alias("_rule"))
-    columns = (
-        target.join(rules, ["path", "_at"]).join(titles, ["path", "_at"], "left")
-        .select("path", _ruled_limits("_rule", "_title").alias("_columns"))
-    )
+    """Columns start where the groups of the rule start, else behind the pipes or gaps of the title line over it, which names them in order."""
+    heads = _near(lines, target, 1, 0)
+    beside = lambda k: F.coalesce(F.get(F.filter("_near", lambda x: x["n"] == k), F.lit(0))["line"], F.lit(""))
+    heads = heads.select("path", beside(0).alias("_rule"), beside(-1).alias("_title"))
+    groups, piped, title = dash_runs(F.col("_rule")), cell_starts(F.col("_title")), F.col("_title")
+    marks = F.when(F.size(groups) > 1, starts(groups)).when(title.contains("|") & (F.size(piped) > 1), piped).otherwise(F.concat(F.array(F.lit(0)), gap_ends(title)))
+    words = F.transform(F.when(title.contains("|"), F.split(title, r"\|")).otherwise(F.split(title, " {2,}")), strip)
+    words = F.when(F.length(strip(title)) > 5, F.filter(words, lambda w: w != "")).otherwise(F.array().cast("array<string>"))
+    heads = heads.withColumns({"_spans": spans(marks), "_words": words})
+    name = lambda i: or_else(F.upper(F.regexp_replace(F.coalesce(F.get("_words", i), F.lit("")), r"[^\p{L}\p{N}_]", "")), F.concat(F.lit("COL_"), i.cast("string")))
+    named = F.transform("_spans", lambda c, i: F.struct(name(i).alias("name"), c["start"].alias("start"), c["end"].alias("end")))
+    titles = F.when(F.size("_words") > 0, F.array("_title")).otherwise(F.array().cast("array<string>"))
+    columns = heads.select("path", unrepeated(named).alias("_columns"), titles.alias("_titles"))
+
     rows = without_boilerplate(lines).withColumn("text", strip(raw_line())).filter("text <> ''")
     rule = made_of(F.col("text"), "-_= <>|")
     rows = ordered.after_marker(rows, rule, 2).filter(
@@ -346,67 +259,84 @@ def piped_ruled_columns(lines: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- grids and piped tables
 
-@F.pandas_udf(_PART_TYPE)
-def _grid_parts(header: pd.Series, rule: pd.Series) -> pd.Series:
-    """For each grid column, the header cell above it (cells may span several columns)."""
+#: A rule further below the first title than this does not close the header; the first row with a digit ends it then, or
+#: the first title line if that row is as far.
+HEADER_ROWS = 12
+
+
+def _header_end(marks: DataFrame) -> DataFrame:
+    """``(path, _first, _end)`` from marks (path, line_no, kind in 'rule', 'title', 'digits'): the last line of the header. It
+    ends with the last rule over the first row with a digit, of the rules under the first title line."""
+    first = marks.groupBy("path").agg(F.min(F.when(F.col("kind") != "rule", F.col("line_no"))).alias("_first"), F.max(F.when(F.col("kind") == "rule", F.col("line_no"))).alias("_last_rule"))
+    below = marks.join(first.filter("_first is not null and _last_rule is not null"), "path").filter("line_no > _first or line_no = _last_rule")
+    closes = F.coalesce(F.min(F.when((F.col("kind") == "rule") & (F.col("line_no") > F.col("_first")), F.col("line_no"))), F.max("_last_rule"))
+    row = F.min(F.when((F.col("kind") == "digits") & (F.col("line_no") > F.col("_first")), F.col("line_no")))
+    closed = below.groupBy("path", "_first").agg(closes.alias("_closes"), row.alias("_row"))
+    late = (F.col("_closes") - F.col("_first") > HEADER_ROWS) & (F.col("_row").isNull() | (F.col("_row") < F.col("_closes")))
+    ended = F.when(F.col("_row") - F.col("_first") <= HEADER_ROWS, F.col("_row") - 1).otherwise(F.col("_first"))
+    closed = closed.withColumn("_closes", F.when(late, ended).otherwise(F.col("_closes"))).drop("_row")
+    after = marks.join(closed, "path").filter("line_no > _closes")
+    rows = after.filter("kind = 'digits'").groupBy("path").agg(F.min("line_no").alias("_row"))
+    again = after.filter((F.col("kind") == "rule") & (F.col("line_no") - F.col("_closes") <= HEADER_ROWS)).join(rows, "path").filter("line_no < _row").groupBy("path").agg(F.max("line_no").alias("_again"))
+    return closed.join(again, "path", "left").select("path", "_first", F.coalesce("_again", "_closes").alias("_end"))
+
 
-    def one(line: str, marks_line: str) -> list[dict]:
-        marks = [i for i, ch in enumerate(marks_line) if ch in "|+"]
-        out = []
-        for i, (a, b) in enumerate(zip(marks, marks[1:])):
-            left, right = line.rfind("|", 0, a + 1), line.find("|", b)
-            cell = line[left + 1:right].strip() if left >= 0 and right >= 0 else ""
-            name = tidy(cell, "COL") if cell and not set(cell) <= set("- ") else None
-            out.append({"i": i, "start": a + 1, "end": b, "part": name})
-        return out
+def _marks(rows: DataFrame, rule: Column) -> DataFrame:
+    return rows.select("path", "line_no", F.when(rule, "rule").when(raw_line().rlike("[0-9]"), "digits").otherwise("title").alias("kind"))
 
-    return pd.Series([one(h, r) for h, r in zip(header, rule)])
+
+def _title_lines(rows: DataFrame, ends: DataFrame) -> DataFrame:
+    """``(path, line, line_no)``: the different title lines of each header, at their first place."""
+    return rows.join(ends, "path").filter("line_no <= _end").groupBy("path", "line").agg(F.min("line_no").alias("line_no"))
 
 
 def grid_columns(lines: DataFrame) -> DataFrame:
+    """Columns lie between the marks of a rule; each is named by the title cells that overlap it, from the top."""
     rows = without_boilerplate(lines).filter(raw_line().contains("|"))
-    rule = made_of(F.replace(raw_line(), F.lit(" "), F.lit("")), "|-+")
-    last = rows.filter(rule).groupBy("path").agg(F.max("line_no").alias("_at"), F.max_by("line", "line_no").alias("_rule"))
-    grid = rows.join(last, "path")
-    # The rule itself joins the header lines so that a grid without titles still has its columns.
-    parts = grid.filter(F.col("line_no") <= F.col("_at")).select(
-        "path", "line_no", F.inline(_grid_parts("line", "_rule")))
-    named = parts.groupBy("path", "i", "start", "end").agg(
-        F.array_sort(F.collect_list(F.when(F.col("part").isNotNull(), F.struct("line_no", "part")))).alias("_p"))
-    name = F.array_join(F.transform("_p", lambda p: p["part"]), "_")
-    named = named.withColumn("name", F.coalesce(F.nullif(name, F.lit("")), F.concat(F.lit("COL_"), F.col("i") + 1)))
+    ruled = made_of(F.replace(raw_line(), F.lit(" "), F.lit("")), "|-+")
+    marks = _marks(rows, ruled)
+    ends = _header_end(marks)
+    rules = rows.filter(ruled).join(ends, "path")
+    rule = rules.groupBy("path").agg(F.coalesce(F.max_by("line", F.when(F.col("line_no") <= F.col("_end"), F.col("line_no"))), F.min_by("line", "line_no")).alias("_rule"))
+    at = pipes(F.col("_rule"), "|+")
+    limits = F.transform(F.slice(at, 1, F.greatest(F.size(at) - 1, F.lit(0))), lambda a, i: F.struct(i.alias("i"), (a + 1).alias("start"), F.get(at, i + 1).alias("end")))
+    limits = rule.select("path", F.inline(limits))
+    titles = _title_lines(rows.filter(~ruled), ends)
+    # A title cell reaches from one pipe to the next, and counts for every column that it overlaps; a line
+    # counts for a column only if its pipes reach over the whole of it.
+    cell_at = pipes(raw_line())
+    cells = titles.filter(F.size(cell_at) > 1).select(
+        "path", "line_no", F.element_at(cell_at, 1).alias("_left"), F.element_at(cell_at, -1).alias("_right"),
+        F.inline(F.transform(F.slice(cell_at, 1, F.size(cell_at) - 1), lambda a, i: F.struct((a + 1).alias("from"), F.get(cell_at, i + 1).alias("to")))),
+        "line").withColumn("_cell", strip(F.substring("line", F.col("from") + 1, F.col("to") - F.col("from")))).drop("line")
+    cells = cells.filter((F.col("_cell") != "") & ~made_of(F.col("_cell"), "- "))
+    over = limits.join(cells, "path", "left").filter(
+        F.col("_cell").isNull() | ((F.col("from") < F.col("end")) & (F.col("to") > F.col("start") - 1) & (F.col("_left") < F.col("start")) & (F.col("_right") >= F.col("end"))))
+    parts = over.filter("_cell is not null").groupBy("path", "i", "line_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("from", "_cell"))), lambda p: p["_cell"]), "_").alias("_part"))
+    named = parts.groupBy("path", "i").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", or_else(tidy(F.col("_part")), "COL").alias("part")))), lambda p: p["part"]), "_").alias("name"))
+    named = limits.join(named, ["path", "i"], "left").withColumn("name", F.coalesce("name", F.concat(F.lit("COL_"), (F.col("i") + 1).cast("string"))))
     # Two columns under the same titles are one name; the rightmost wins.
-    named = named.groupBy("path", "name").agg(F.max_by(F.struct("i", "start", "end"), "i").alias("_c"))
-    columns = named.groupBy("path").agg(F.array_sort(F.collect_list(F.struct(
-        F.col("_c.i").alias("i"), "name", F.col("_c.start").alias("start"), F.col("_c.end").alias("end")))).alias("_columns"))
-    data = grid.filter((F.col("line_no") > F.col("_at")) & ~rule).select("path", "line_no", "line")
+    last = named.groupBy("path", "name").agg(F.max("i").alias("i"))
+    columns = named.join(last, ["path", "name", "i"]).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("i", "name", "start", "end"))).alias("_columns"))
+    data = rows.filter(~ruled).join(ends, "path").filter("line_no > _end").join(titles.select("path", "line"), ["path", "line"], "left_anti").select("path", "line_no", "line")
     return cut_cells(data, columns, lambda v: F.rtrim(v, F.lit("|")))
 
 
-def _piped_header(window: pd.DataFrame) -> pd.DataFrame:
-    names: list[str] = []
-    for line in window.sort_values("line_no")["line"]:
-        for cell in (c.strip() for c in line.split("|")):
-            if cell and (not names or names[-1] != tidy(cell, "COL")):
-                names.append(tidy(cell, "COL"))
-    return pd.DataFrame({"path": [window["path"].iloc[0]], "_names": [names]})
-
-
 def pipe_columns(lines: DataFrame) -> DataFrame:
+    """Cells by their order; names from the title cells over the first rule, a name that follows itself taken once."""
     rows = without_boilerplate(lines).withColumn("text", strip(raw_line())).filter("text <> ''")
-    cell_line = raw_line().contains("|")
-    first = rows.filter(cell_line).groupBy("path").agg(F.min("line_no").alias("_first"))
-    gate = (
-        rows.filter(made_of(F.col("text"), "-")).join(first, "path").filter("line_no > _first")
-        .groupBy("path").agg(F.min("line_no").alias("_gate"))
-    )
-    piped = rows.filter(cell_line).join(gate, "path")
-    names = piped.filter("line_no < _gate").select("path", "line_no", "line").groupBy("path").applyInPandas(
-        _piped_header, "path string, _names array<string>")
-    cells = F.transform(F.split(F.btrim(F.col("text"), F.lit("|")), r"\|"), lambda c: F.btrim(c, F.lit(BLANKS)))
-    data = piped.filter("line_no > _gate").join(names, "path").withColumn("_cells", cells)
-    lead = F.upper(F.btrim(F.regexp_replace(F.get("_cells", F.lit(0)), "[^A-Za-z0-9]+", "_"), F.lit("_")))
-    data = data.filter(F.coalesce(F.nullif(lead, F.lit("")), F.lit("COL")) != F.get("_names", F.lit(0)))
+    ruled = made_of(F.col("text"), "-")
+    ends = _header_end(_marks(rows.filter(ruled | raw_line().contains("|")), ruled))
+    piped = rows.filter(raw_line().contains("|"))
+    titles = _title_lines(piped, ends)
+    cells = F.filter(F.transform(F.split("line", r"\|"), strip), lambda c: c != "")
+    lined = titles.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("line_no", F.transform(cells, lambda c: or_else(tidy(c), "COL")).alias("names")))).alias("_lines"), F.collect_set(strip("line")).alias("_titles"))
+    names = F.flatten(F.transform("_lines", lambda x: x["names"]))
+    lined = lined.withColumn("_all", names).select("path", "_titles", F.filter("_all", lambda n, i: (i == 0) | (n != F.get("_all", i - 1))).alias("_names"))
+    values = F.transform(F.split(F.btrim(F.col("text"), F.lit("|")), r"\|"), lambda c: F.btrim(c, F.lit(BLANKS)))
+    data = piped.join(ends.select("path", "_end"), "path").filter("line_no > _end").join(lined, "path").withColumn("_cells", values)
+    lead = or_else(tidy(F.get("_cells", F.lit(0))), "COL")
+    data = data.filter(~F.array_contains("_titles", F.col("text")) & (lead != F.get("_names", F.lit(0))))
     # Of equal names the last column wins.
     kept = F.filter(
         F.sequence(F.lit(0), F.size("_names") - 1),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip
 from .files import file_name
-from .inferred import inked_positions
+from ..operators import occupancy
 
 # Candidate delimiters, in order of preference, and the scoring weights.
 DELIMITERS = ("|", "==", "\t", ",", ";", ":", "::")
@@ -96,8 +96,7 @@ def structure(lines: DataFrame) -> DataFrame:
     )
     even = (F.col("lo") > 0) & (F.col("hi") - F.col("lo") <= 2)
     even_lines = rows.join(shape.filter(even).select("path", "lo"), "path").select("path", F.expr("left(line, lo)").alias("line"))
-    inked = even_lines.mapInPandas(inked_positions, "path string, pos int").distinct().groupBy("path").agg(
-        F.count("*").alias("inked"))
+    inked = occupancy.inked_count(occupancy.occupancy(even_lines, "path"), "path")
     blank = F.col("lo") - F.coalesce("inked", F.lit(0))
     fixed = F.when((F.col("n") > 2) & (blank > 5), 0.95).otherwise(0.8)
     gapped = F.col("gapped") / F.col("n") > 0.5
