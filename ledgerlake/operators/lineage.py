@@ -7,22 +7,22 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+_OWN: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share."""
-    named = spark.conf.get(SETTING, None)
-    if not named and not spark.sparkContext.master.startswith("local["):
+    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it. A session on one machine that
+    names none (a test) has one of its own; on a cluster the executors would not see that, so there it is an error."""
+    named = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
+    if named:
+        return named.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
         raise ValueError(f"set {SETTING} to a folder that driver and executors share")
-    return named or tempfile.mkdtemp(prefix="run-")
+    return _OWN.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="run-"))
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """Compute once and keep in the cluster's shared checkpoint folder.
-
-    The folder is the session's setting; only a session on one machine that has none (a local test) gets its own. On a
-    cluster the executors would not see that one, so there a missing setting is an error.
-    """
+    """Compute once and keep in the shared folder."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The allowed codes of the warehouse columns.
@@ -31,10 +31,15 @@ def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("rows")).filter("rows > 1")
 
 
+def missing_list(required: list[str]) -> Column:
+    """The required columns that are NULL, comma-separated; empty where the row is complete."""
+    gaps = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in required]))
+    return F.array_join(gaps, ",")
+
+
 def missing_values(df: DataFrame, required: list[str]) -> DataFrame:
     """Rows lacking a required value, with the list of the missing columns."""
-    gaps = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in required]))
-    return df.withColumn("missing", F.array_join(gaps, ",")).filter("missing <> ''")
+    return df.withColumn("missing", missing_list(required)).filter("missing <> ''")
 
 
 def split_missing(df: DataFrame, required: list[str]) -> tuple[DataFrame, DataFrame]:

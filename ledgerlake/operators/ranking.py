@@ -40,9 +40,10 @@ def both_ends(df: DataFrame, by: str, tiebreak: list[str], k: int) -> DataFrame:
 
 
 def latest_row(df: DataFrame, keys: list[str], order: list[str], keep: list[str]) -> DataFrame:
-    """Newest row per key by a declared order, as a mergeable aggregate (no sort, no full groups in memory)."""
-    picked = F.max_by(F.struct(*keep), F.struct(*order)).alias("_row")
-    return df.groupBy(*keys).agg(picked).select(*keys, *[F.col(f"_row.{c}").alias(c) for c in keep])
+    """Newest row per key by a declared order; all but one row a key and task go before the shuffle (group limit). A NULL in
+    the order is oldest."""
+    newest = F.row_number().over(Window.partitionBy(*keys).orderBy(*[F.desc_nulls_last(c) for c in order]))
+    return df.select(*keys, *[c for c in keep if c not in keys], *[c for c in order if c not in (*keys, *keep)]).withColumn("_nth", newest).filter("_nth = 1").select(*keys, *keep)
 
 
 def with_share(df: DataFrame, measure: str, out: str = "share", digits: int = 2) -> DataFrame:

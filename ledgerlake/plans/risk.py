@@ -1,15 +1,14 @@
 """Loan risk and delinquency facts from seven overlapping reports.
 
 The reference inserts the reports one after another, skipping accounts already there, and updates
-rows in between. Here every row carries its report's place in that order, and one mergeable
-aggregate per (date, account) picks the foremost row and its enrichment: one shuffle instead
-of five anti joins and two update joins, combined before it, so a busy key costs nothing. Arrears
+rows in between. Here every row carries its report's place in that order, and the foremost row of each (date, account) is picked
+by a ranked window that is limited before the shuffle: one wide shuffle instead of five anti joins. Arrears
 and drawing power enrich only the rows that were there when the reference applied them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import cleanse, labels
@@ -121,37 +120,39 @@ def _of(table: str) -> Column:
     return F.col("_place") == PLACE[table]
 
 
-def foremost(rows: DataFrame) -> DataFrame:
-    """Per (date, account): the foremost report's row, its copies, the arrears and drawing-power values.
+def _first(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """One row per key. Spark drops the others before the shuffle too, so a busy key costs nothing."""
+    place = F.row_number().over(Window.partitionBy(*KEYS).orderBy(*order))
+    return rows.withColumn("_nth", place).filter("_nth = 1").drop("_nth")
 
-    Of several rows of one report the smallest by value stands for all; ``copies`` counts them.
-    """
+
+def foremost(rows: DataFrame, with_copies: bool = False) -> DataFrame:
+    """Per (date, account) the foremost report's row with its ``_place``, ``slabs`` and ``power``: the arrears and
+    drawing-power values. Of several rows of one report the smallest by value stands for all, of several updates the greatest;
+    ``copies`` counts the rows of the chosen report. All parts are partitioned by the key, so they meet without another shuffle."""
     fields = [c for c in LOAN_RISK if c not in KEYS]
-    inserted = F.col("_place") < PLACE[DRAWING]
-    grouped = rows.groupBy(*KEYS).agg(
-        F.min(F.when(inserted, F.struct("_place", *fields))).alias("row"),
-        F.max(F.when(_of(ARREARS), F.struct(*SLABS, "ARREARS_3Y_PLUS"))).alias("slabs"),
-        F.max(F.when(_of(DRAWING), F.struct(*DRAWING_VALUES))).alias("power"),
-        *[F.count_if(_of(t)).alias(f"n_{PLACE[t]}") for t in PRECEDENCE],
-    ).filter("row IS NOT NULL")
-    copies = F.lit(0)
-    for table in PRECEDENCE:
-        copies = F.when(F.col("row._place") == PLACE[table], F.col(f"n_{PLACE[table]}")).otherwise(copies)
-    return grouped.withColumn("copies", copies)
+    best = _first(rows.filter(F.col("_place") < PLACE[DRAWING]), [F.col("_place"), *map(F.col, fields)])
+    for table, name, values in ((ARREARS, "slabs", (*SLABS, "ARREARS_3Y_PLUS")), (DRAWING, "power", DRAWING_VALUES)):
+        update = _first(rows.filter(_of(table)).select(*KEYS, *values), [F.desc(v) for v in values])
+        best = best.join(update.select(*KEYS, F.struct(*values).alias(name)), KEYS, "left")
+    if with_copies:
+        counts = rows.groupBy(*KEYS, "_place").agg(F.count("*").alias("copies"))
+        best = best.join(counts, [*KEYS, "_place"])
+    return best
 
 
 def loan_risk(staged: dict[str, DataFrame], day: str | None = None, with_copies: bool = False) -> DataFrame:
     """The fact rows; ``with_copies`` adds how often the chosen report lists the account."""
     complete, _ = quality.split_missing(candidate_rows(staged, day), KEYS)
-    best = foremost(complete)
-    place = F.col("row._place")
+    best = foremost(complete, with_copies)
+    place = F.col("_place")
     has_slabs = F.col("slabs").isNotNull() & (place < PLACE[ARREARS])
     has_power = F.col("power").isNotNull() & (place <= PLACE[ARREARS])
 
     def value(c: str) -> Column:
         if c in KEYS:
             return F.col(c)
-        own = F.col(f"row.{c}")
+        own = F.col(c)
         if c in (*SLABS, "ARREARS_3Y_PLUS"):
             return F.when(has_slabs, F.col(f"slabs.{c}")).otherwise(own)
         if c == "OUTSTANDING":

@@ -1,18 +1,22 @@
 """Load jobs: staging tables to warehouse tables, full or for one day, with a run log.
 
-Facts are stored by date (accounts also by category), so a day is replaced by writing its
-directory. Keys are checked before anything is written; a failed job leaves the table as it was.
-"""
+A load writes its rows once, into a folder of its own run, by date. Incomplete rows lie beside the others, as the
+quarantine. Keys and codes are checked there, and only then is the run committed: one row appended to the table's commit log says
+which run holds, wholly or for the days (and categories) that it covers. Readers take for each date the newest committed run, by a
+filter on partition folders. So a load that fails at any point leaves the table as it was, two loads do not
+meet in one folder, and a reader never sees half a load."""
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 from datetime import datetime, timezone
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import quality
 from ..session import tune
@@ -21,7 +25,9 @@ from . import accounts, audit, branches, ledger, risk
 
 BRANCHES, ACCOUNTS, RISK = "DIM_BRANCH_HIERARCHY", "FACT_ACCOUNT_SNAPSHOT", "FACT_LOAN_RISK_DELINQUENCY"
 GL, AUDIT, OPENED, CLOSED = "FACT_GL_PRODUCT_SUMMARY", "FACT_AUDIT_EXCEPTIONS", "FACT_ACCOUNT_OPENED", "FACT_ACCOUNT_CLOSED"
-RUN_LOG, QUARANTINE = "ETL_RUN_LOG", "_QUARANTINE"
+RUN_LOG, COMMITS = "ETL_RUN_LOG", "_COMMITS"
+RUN, STATE = "load_run", "load_state"
+COMMIT_SCHEMA = "run string, covers string, row_schema string, rows bigint, committed_at timestamp"
 LOG_SCHEMA = (
     "run_id string, procedure_name string, snapshot_date string, status string, rows_affected bigint, error_message string, "
     "started_at timestamp, completed_at timestamp"
@@ -50,8 +56,49 @@ class Warehouse:
                 continue
         return found
 
+    def commits(self, name: str) -> list:
+        """The commits that still say something, newest first: none behind the newest one of the whole table, and of those that
+        cover the same the newest."""
+        log = self._try_read(f"{self.root}/{COMMITS}/{name}")
+        if log is None:
+            return []
+        log = log.withColumn("order", F.row_number().over(Window.partitionBy("covers").orderBy(F.desc("committed_at"), "run")))
+        out = []
+        # One row for each day and category loaded since the last full load.
+        for commit in log.filter("order = 1").orderBy(F.desc("committed_at"), "run").collect():
+            out.append(commit)
+            if not json.loads(commit.covers):
+                break
+        return out
+
+    def _rows(self, name: str, state: str) -> DataFrame | None:
+        found = self.commits(name)
+        if not found:
+            return None
+        schema = T.StructType.fromJson(json.loads(found[0].row_schema))
+        full = T.StructType([*schema.fields, T.StructField(RUN, T.StringType()), T.StructField(STATE, T.StringType())])
+        holds = F.lit(None).cast("string")
+        for commit in reversed(found):
+            covered = F.lit(True)
+            for column, values in json.loads(commit.covers).items():
+                covered = covered & F.col(column).cast("string").isin(*values)
+            holds = F.when(covered, F.lit(commit.run)).otherwise(holds)
+        runs = [c.run for c in found]
+        # The list of runs prunes folders without a look at the dates.
+        return self.spark.read.schema(full).option("basePath", f"{self.root}/{name}").parquet(f"{self.root}/{name}").filter(
+            F.col(RUN).isin(*runs) & (F.col(STATE) == state) & (F.col(RUN) == holds)).drop(RUN, STATE)
+
     def table(self, name: str) -> DataFrame | None:
-        return self._try_read(f"{self.root}/{name}")
+        """The committed rows; a table that no load has written is read as it is."""
+        rows = self._rows(name, "complete")
+        return self._try_read(f"{self.root}/{name}") if rows is None and not self._has_log(name) else rows
+
+    def quarantine(self, name: str) -> DataFrame | None:
+        """Rows that the loads which hold have left out, with the list of what they lack."""
+        return self._rows(name, "broken")
+
+    def _has_log(self, name: str) -> bool:
+        return self._try_read(f"{self.root}/{COMMITS}/{name}") is not None
 
     def log(self, run: dict) -> None:
         self.spark.createDataFrame([run], LOG_SCHEMA).coalesce(1).write.mode("append").parquet(f"{self.root}/{RUN_LOG}")
@@ -62,28 +109,37 @@ class Warehouse:
 
     # ------------------------------------------------------------ writing
 
-    def checked(self, df: DataFrame, name: str, keys: list[str] | None, required: list[str], codes: list[str], day: str | None) -> DataFrame:
-        """The rows as a stored draft without incomplete rows; duplicate keys or unknown codes stop the load."""
-        draft_path = f"{self.root}/_draft/{name}"
-        df.write.mode("overwrite").parquet(draft_path)
-        draft = self.spark.read.parquet(draft_path)
-        complete, broken = quality.split_missing(draft, required)
-        broken.write.mode("overwrite").parquet(f"{self.root}/{QUARANTINE}/{name}/run={day or 'full'}")
+    def publish(self, df: DataFrame, name: str, required: list[str], partitions: list[str] = (), covers: dict[str, list[str]] | None = None,
+                keys: list[str] | None = None, codes: list[str] = (), check: Callable[[DataFrame], None] | None = None) -> int:
+        """Write, check, commit; returns the number of complete rows. ``covers``: the values of partition columns that the load
+        replaces, all if none. Duplicate keys or unknown codes stop the load before the commit."""
+        run, partitions = uuid.uuid4().hex, list(partitions)
+        missing = quality.missing_list(required)
+        rows = df.withColumn("missing", missing).withColumn(STATE, F.when(F.col("missing") == "", "complete").otherwise("broken"))
+        path = f"{self.root}/{name}/{RUN}={run}"
+        spread = rows.hint("rebalance", STATE, *partitions) if partitions else rows
+        spread.write.partitionBy(STATE, *partitions).parquet(path)
+        schema = T.StructType([*[f for f in rows.schema.fields if f.name not in (*partitions, STATE)], *[f for f in rows.schema.fields if f.name in partitions]])
+        full = T.StructType([*schema.fields, T.StructField(STATE, T.StringType())])
+        complete = self.spark.read.schema(full).parquet(path).filter(F.col(STATE) == "complete")
         if keys:
             quality.require_empty(quality.duplicate_keys(complete, keys), f"{name}: duplicate keys {keys}")
         for code in codes:
             quality.require_empty(quality.code_violations(complete, code), f"{name}: unknown {code}")
-        return complete
+        if check:
+            check(complete)
+        count = complete.count()  # from the files' footers
+        self.commit(name, run, covers or {}, schema, count)
+        return count
 
-    def replace(self, df: DataFrame, name: str, partitions: list[str], day: str | None) -> int:
-        """Full: the whole table. Day: that day's directory, also when it becomes empty."""
-        path, keys = f"{self.root}/{name}", partitions
-        if day:
-            path, keys = f"{path}/SNAPSHOT_DATE={day}", [p for p in partitions if p != "SNAPSHOT_DATE"]
-            df = df.drop("SNAPSHOT_DATE")
-        writer = (df.hint("rebalance", *keys) if keys else df).write.mode("overwrite")
-        (writer.partitionBy(*keys) if keys else writer).parquet(path)
-        return df.count()
+    def commit(self, name: str, run: str, covers: dict[str, list[str]], schema: T.StructType, rows: int) -> None:
+        """One file appended: the load is there or is not."""
+        row = (run, json.dumps(covers, sort_keys=True), schema.json(), rows, datetime.now(timezone.utc))
+        self.spark.createDataFrame([row], COMMIT_SCHEMA).coalesce(1).write.mode("append").parquet(f"{self.root}/{COMMITS}/{name}")
+
+
+def _day(day: str | None) -> dict[str, list[str]]:
+    return {"SNAPSHOT_DATE": [day]} if day else {}
 
 
 def _job(name: str, work: Callable[[Warehouse, str | None], int]):
@@ -103,56 +159,45 @@ def _job(name: str, work: Callable[[Warehouse, str | None], int]):
 
 
 def _branches(w: Warehouse, day: str | None) -> int:
-    network = w.table("BRANCH_NETWORK")
-    merged = branches.load_hierarchy(network, w.table(BRANCHES))
-    draft = w.checked(merged, BRANCHES, ["BRANCH_CODE"], ["BRANCH_CODE"], [], None)
-    return w.replace(draft, BRANCHES, [], None)
+    merged = branches.load_hierarchy(w.table("BRANCH_NETWORK"), w.table(BRANCHES))
+    return w.publish(merged, BRANCHES, ["BRANCH_CODE"], keys=["BRANCH_CODE"])
 
 
 def _accounts(w: Warehouse, day: str | None) -> int:
     staged = w.staged(accounts.BUILDERS)
     if not staged:
         return 0
-    draft = w.checked(
-        accounts.account_snapshot(staged, day), ACCOUNTS, ["SNAPSHOT_DATE", "ACCOUNT_NO", "ACCOUNT_CATEGORY"],
-        ["SNAPSHOT_DATE", "ACCOUNT_NO", "BRANCH_CODE"], ["ACCOUNT_CATEGORY"], day)
-    if day is None:
-        return w.replace(draft, ACCOUNTS, ["SNAPSHOT_DATE", "ACCOUNT_CATEGORY"], None)
-    rows = 0
-    # At most three categories; one whose report is absent keeps its rows.
-    for table in staged:
-        category = accounts.CATEGORY_OF[table]
-        part = draft.filter(F.col("ACCOUNT_CATEGORY") == category).drop("SNAPSHOT_DATE", "ACCOUNT_CATEGORY")
-        part.write.mode("overwrite").parquet(f"{w.root}/{ACCOUNTS}/SNAPSHOT_DATE={day}/ACCOUNT_CATEGORY={category}")
-        rows += part.count()
-    return rows
+    # On a day, a category whose report is absent keeps its rows.
+    covers = _day(day) | ({"ACCOUNT_CATEGORY": sorted(accounts.CATEGORY_OF[t] for t in staged)} if day else {})
+    return w.publish(
+        accounts.account_snapshot(staged, day), ACCOUNTS, ["SNAPSHOT_DATE", "ACCOUNT_NO", "BRANCH_CODE"], ["SNAPSHOT_DATE", "ACCOUNT_CATEGORY"], covers,
+        ["SNAPSHOT_DATE", "ACCOUNT_NO", "ACCOUNT_CATEGORY"], ["ACCOUNT_CATEGORY"])
 
 
 def _risk(w: Warehouse, day: str | None) -> int:
     staged = w.staged([*risk.PRECEDENCE, risk.DRAWING])
     if not any(t in staged for t in risk.PRECEDENCE):
         return 0
-    draft = w.checked(
-        risk.loan_risk(staged, day, with_copies=True), RISK, None, ["SNAPSHOT_DATE", "ACCOUNT_NO", "BRANCH_CODE"], [], day)
-    quality.require_empty(draft.filter("copies > 1").select(*risk.KEYS, "copies"), f"{RISK}: duplicate keys {risk.KEYS}")
-    return w.replace(draft.drop("copies"), RISK, ["SNAPSHOT_DATE"], day)
+
+    def once(complete: DataFrame) -> None:
+        quality.require_empty(complete.filter("copies > 1").select(*risk.KEYS, "copies"), f"{RISK}: duplicate keys {risk.KEYS}")
+
+    return w.publish(
+        risk.loan_risk(staged, day, with_copies=True), RISK, ["SNAPSHOT_DATE", "ACCOUNT_NO", "BRANCH_CODE"], ["SNAPSHOT_DATE"], _day(day), check=once)
 
 
 def _ledger(w: Warehouse, day: str | None) -> int:
     staged = w.staged([ledger.TOTALS, ledger.BALANCES, ledger.FLOWS])
     if not staged:
         return 0
-    draft = w.checked(ledger.gl_summary(staged, day), GL, ledger.KEYS, ledger.KEYS, [], day)
-    return w.replace(draft, GL, ["SNAPSHOT_DATE"], day)
+    return w.publish(ledger.gl_summary(staged, day), GL, ledger.KEYS, ["SNAPSHOT_DATE"], _day(day), ledger.KEYS)
 
 
 def _audit(w: Warehouse, day: str | None) -> int:
     staged = w.staged(audit.BUILDERS)
     if not staged:
         return 0
-    draft = w.checked(
-        audit.audit_exceptions(staged, day), AUDIT, None, ["SNAPSHOT_DATE", "BRANCH_CODE"], ["EXCEPTION_TYPE", "SEVERITY"], day)
-    return w.replace(draft, AUDIT, ["SNAPSHOT_DATE"], day)
+    return w.publish(audit.audit_exceptions(staged, day), AUDIT, ["SNAPSHOT_DATE", "BRANCH_CODE"], ["SNAPSHOT_DATE"], _day(day), codes=["EXCEPTION_TYPE", "SEVERITY"])
 
 
 def _movement(source: str, target: str, build, date_column: str):
@@ -161,8 +206,7 @@ def _movement(source: str, target: str, build, date_column: str):
         if not staged:
             return 0
         rows = staging.widen(staged[source], [date_column, "ACCOUNT_NUMBER", "ACCOUNT_NAME", "PRODUCT", "BALANCE"])
-        draft = w.checked(build(rows), target, None, [date_column, "ACCOUNT_NO", "BRANCH_CODE"], ["ACCOUNT_CATEGORY"], None)
-        return w.replace(draft, target, [], None)
+        return w.publish(build(rows), target, [date_column, "ACCOUNT_NO", "BRANCH_CODE"], codes=["ACCOUNT_CATEGORY"])
 
     return work
 

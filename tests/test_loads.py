@@ -99,3 +99,52 @@ def test_duplicate_keys_stop_the_load(house, spark):
 def test_incremental_needs_a_day(house):
     with pytest.raises(ValueError):
         warehouse.incremental_load(house, "")
+
+
+def test_a_load_that_fails_before_its_commit_changes_nothing(house, spark, monkeypatch):
+    warehouse.full_load(house)
+    before = _content(house, warehouse.ACCOUNTS)
+
+    def lost(*_):
+        raise RuntimeError("lost between write and commit")
+
+    with monkeypatch.context() as m:
+        m.setattr(house, "commit", lost)
+        with pytest.raises(RuntimeError):
+            warehouse.load_accounts(house, "2025-04-28")
+    assert _content(house, warehouse.ACCOUNTS) == before
+    reader = house.table(warehouse.ACCOUNTS)
+    warehouse.load_accounts(house, "2025-04-28")
+    assert sorted(str(r) for r in reader.select(*sorted(reader.columns)).collect()) == before  # a reader that began before the commit
+
+
+def test_a_day_load_replaces_its_categories_only(house, spark, tmp_path):
+    warehouse.load_accounts(house)
+    rows = house.table(warehouse.ACCOUNTS).filter("SNAPSHOT_DATE = '2025-04-28'")
+    loans = rows.filter("ACCOUNT_CATEGORY = 'LOAN'").count()
+    one = spark.read.parquet(f"{house.staging_root}/{accounts.DEPOSITS}").filter("PROC_DATE = '28/04/2025'").orderBy("ACCOUNT_NUMBER").limit(1)
+    one.write.parquet(f"{tmp_path}/small/{accounts.DEPOSITS}")
+    part = warehouse.Warehouse(spark, f"{tmp_path}/small", house.root)
+    assert warehouse.load_accounts(part, "2025-04-28") == 1
+    after = part.table(warehouse.ACCOUNTS).filter("SNAPSHOT_DATE = '2025-04-28'")
+    assert after.filter("ACCOUNT_CATEGORY = 'DEPOSIT'").count() == 1 and after.filter("ACCOUNT_CATEGORY = 'LOAN'").count() == loans > 0
+    one.limit(0).write.mode("overwrite").parquet(f"{tmp_path}/small/{accounts.DEPOSITS}")
+    assert warehouse.load_accounts(part, "2025-04-28") == 0
+    assert part.table(warehouse.ACCOUNTS).filter("SNAPSHOT_DATE = '2025-04-28' and ACCOUNT_CATEGORY = 'DEPOSIT'").count() == 0
+
+
+def test_incomplete_rows_are_set_aside(house, spark, tmp_path):
+    rows = _statement(spark, [{"ACCT_NO": "1", "PROC_DATE": "28/04/2025", "BRANCH_CODE": "1"}, {"ACCT_NO": "2", "PROC_DATE": "28/04/2025", "BRANCH_CODE": ""}])
+    rows.write.parquet(f"{tmp_path}/odd/{risk.STATEMENT}")
+    odd = warehouse.Warehouse(spark, f"{tmp_path}/odd", f"{tmp_path}/odd_dw")
+    assert warehouse.load_risk(odd) == 1
+    assert [(r.ACCOUNT_NO, r.missing) for r in odd.quarantine(warehouse.RISK).collect()] == [("2", "BRANCH_CODE")]
+
+
+def test_dashboards_read_only_their_day(house):
+    from ledgerlake.plans import dashboards
+
+    warehouse.load_accounts(house)
+    plan = dashboards.business_mix(house.table(warehouse.ACCOUNTS))._jdf.queryExecution().executedPlan().toString()
+    # The newest day, a subquery, is a partition filter of the scan: no filter is left above it.
+    assert "isnotnull(SNAPSHOT_DATE" in plan.split("PartitionFilters: ")[1].split("PushedFilters")[0] and "Subquery" in plan and "Filter (" not in plan, plan

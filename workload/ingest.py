@@ -51,7 +51,7 @@ def pad(*cells: tuple[str, int]) -> str:
 
 
 def parsed(t, text: str, table: str, *columns: str):
-    rows = t.sql(text)
+    rows = t.lines(text)
     out = LAYOUTS[table](rows)
     return metadata.attach(out, metadata.extract_metadata(rows)).select(*columns)
 
@@ -138,7 +138,7 @@ _BREACHES = _report("IN0670", "IN0670-01", [DASHES, "'TRAN-CODE  RESULT  JRNL'"]
     {money('l_extendedprice')} as AMOUNT, case l_returnflag when 'R' then '' else 'LIMIT' end as ERROR_DESC, '27,911.00+' as OUTSTANDING, '0.00' as LIMIT_AMOUNT,
     'CUST ' || cast(l_suppkey as string) as CUSTOMER_NAME from lineitem""")
 def gap_fallback(t):
-    rows = LAYOUTS["EXCEPTION_REPORT_DEPD0670"](t.sql(_BREACHES))
+    rows = LAYOUTS["EXCEPTION_REPORT_DEPD0670"](t.lines(_BREACHES))
     return rows.select("TRAN_CODE", "JRNL_NO", "ACCOUNT_NO", "AMOUNT", "ERROR_DESC", "OUTSTANDING", "LIMIT_AMOUNT", "CUSTOMER_NAME")
 
 
@@ -154,7 +154,7 @@ _ARREARS = _report("BR2498", "BR2498-01", [], _detail("BR2498", "10000000 * plac
 @query("lay_06_multi_line", f"""select {code('o_orderkey', 12)} as LOAN_ACCOUNT, {plain('o_totalprice')} as ACCOUNT_BALANCE, '1.00' as ARREARS_1D_28D, {plain('o_totalprice')} as ARREARS_6M_1Y,
     '17.00' as ARREARS_10Y_15Y, '20.00' as AC_BAL_15Y_ABOVE, 'LOAN ' || o_orderstatus as PRODUCT_DESCRIPTION from orders""")
 def multi_line(t):
-    rows = LAYOUTS["ARREARS_BREAK_UP_LOND2498"](t.sql(_ARREARS))
+    rows = LAYOUTS["ARREARS_BREAK_UP_LOND2498"](t.lines(_ARREARS))
     return rows.select("LOAN_ACCOUNT", "ACCOUNT_BALANCE", "ARREARS_1D_28D", "ARREARS_6M_1Y", "ARREARS_10Y_15Y", "AC_BAL_15Y_ABOVE", "PRODUCT_DESCRIPTION")
 
 
@@ -169,7 +169,7 @@ _LETTERS = " union all ".join(
 @query("lay_07_letter", f"""select 'letter/' || {code('c_custkey', 8)} || '.txt' as path, cast(c_nationkey as string) as BRANCH_CODE_NAME, '28/04/2025' as LETTER_DATE, c_name as CUSTOMER_NAME,
     {code('c_custkey', 12)} as ACCOUNT_NUMBER, {money('c_acctbal')} as AMOUNT_APPROVED, '' as PRODUCT from customer""")
 def letters(t):
-    rows = LAYOUTS["LOANS_SANCTION_LETTER"](t.sql(_LETTERS))
+    rows = LAYOUTS["LOANS_SANCTION_LETTER"](t.lines(_LETTERS))
     return rows.select("path", "BRANCH_CODE_NAME", "LETTER_DATE", "CUSTOMER_NAME", "ACCOUNT_NUMBER", "AMOUNT_APPROVED", "PRODUCT")
 
 
@@ -184,10 +184,74 @@ _INFERRED = _report("NPALIST1", "NPALIST1", [
 @query("lay_08_inferred_columns", f"""select cast(o_orderkey as string) as SR_NO, {code('o_orderkey', 12)} as ACCOUNT_NO, o_orderpriority as DESCRIPT, {money('o_totalprice')} as OUTSTANDING,
     {_file('NPALIST1', 'c_nationkey')} as path from {ORDERS_PLAIN}""")
 def inferred_columns(t):
-    rows = inferred.dash_columns(t.sql(_INFERRED))
+    rows = inferred.dash_columns(t.lines(_INFERRED))
     return inferred.pick(rows, ["SR_NO", "ACCOUNT_NO", "DESCRIPT", "OUTSTANDING"]).drop("line_no")
 
 
+# ---------------------------------------------------------------- each way to infer columns, over two pages
+
+_PAGE = 500_000_000
+
+
+def _two_pages(report: str, report_id: str, head: list[str], line: str, foot: list[str]) -> str:
+    """Odd orders on the first page, even ones on the second; the whole head again on top of it, ``foot`` under both."""
+    parts = []
+    for page in (0, 1):
+        at = page * _PAGE
+        parts += _headers(report, *_title(report_id), *head, start=at)
+        parts.append(_detail(report, f"{at + 100} + o_orderkey", line, f"{ORDERS} where o_orderkey % 2 = {1 - page}", "c_nationkey"))
+        parts += _headers(report, *foot, start=at + _PAGE - 50)
+    return " union all ".join(parts)
+
+
+_WIDE_RULE = "'" + "-" * 78 + "'"
+_CELLS = pad((code("o_orderkey", 12), 19), ("o_orderpriority", 26)) + f" || {money('o_totalprice')}"
+
+
+def _pages_check(report: str, *names: str) -> str:
+    values = (code("o_orderkey", 12), "o_orderpriority", money("o_totalprice"))
+    return f"select {', '.join(f'{v} as {n}' for v, n in zip(values, names))}, {_file(report, 'c_nationkey')} as path from {ORDERS_PLAIN}"
+
+
+def _paged_query(name: str, report: str, way, head: list[str], names: tuple[str, str, str], line: str = _CELLS, foot: tuple[str, ...] = ()) -> None:
+    text = _two_pages(report, report, head, line, list(foot))
+
+    @query(name, _pages_check(report, *names))
+    def read(t):
+        return inferred.pick(way(t.lines(text)), list(names)).drop("line_no")
+
+
+_paged_query("lay_08_dash_groups", "PAGES01", inferred.dash_columns, [
+    "'ACCOUNT            DESCRIPT                  OUTSTANDING'", "'NO'", "'------------------ ------------------------- ---------------'"],
+    ("ACCOUNT_NO", "DESCRIPT", "OUTSTANDING"), foot=("'GRAND TOTAL 5.00'",))
+_paged_query("lay_08_solid_rules", "PAGES02", inferred.dash_columns, [
+    _WIDE_RULE, "'ACCOUNT            DESCRIPT                  OUTSTANDING'", "'NO                 OF LOAN'", _WIDE_RULE],
+    ("ACCOUNT_NO", "DESCRIPT_OF_LOAN", "OUTSTANDING"), foot=(_WIDE_RULE, "'TOTAL  5.00'"))
+_paged_query("lay_08_piped_titles", "PAGES03", inferred.dash_columns, [
+    "'ACCOUNT NO        |DESCRIPT                 |OUTSTANDING'", _WIDE_RULE], ("ACCOUNT_NO", "DESCRIPT", "OUTSTANDING"))
+_paged_query("lay_08_blank_positions", "PAGES04", inferred.blank_columns, [
+    _WIDE_RULE, "'ACCOUNT NO         DESCRIPTIONS              OUTSTANDING'", _WIDE_RULE], ("ACCOUNT_NO", "DESCRIPTIONS", "OUTSTANDING"))
+_paged_query("lay_08_last_rule", "PAGES05", inferred.ruled_columns, [
+    _WIDE_RULE, "'ACCOUNT NO         DESCRIPT                  OUTSTANDING'", "'------------------ ------------------------- ---------------'"],
+    ("ACCOUNTNO", "DESCRIPT", "OUTSTANDING"))
+_paged_query("lay_08_under_pipes", "PAGES06", inferred.piped_ruled_columns, [
+    _WIDE_RULE, "'ACCOUNT NO        |DESCRIPT                 |OUTSTANDING'", _WIDE_RULE], ("ACCOUNTNO", "DESCRIPT", "OUTSTANDING"),
+    line=f"rpad({code('o_orderkey', 12)}, 18, ' ') || '|' || rpad(o_orderpriority, 25, ' ') || '|' || {money('o_totalprice')}")
+
+_GRID_LINE = f"'| ' || {code('o_orderkey', 12)} || ' | ' || rpad(o_orderpriority, 16, ' ') || ' | ' || lpad({money('o_totalprice')}, 16, ' ') || ' |'"
+_GRID_RULE = "'|--------------|------------------|------------------|'"
+_paged_query("lay_02_grid", "PAGES07", inferred.grid_columns, [
+    _GRID_RULE, "'| ACCOUNT      | LOAN                                |'", "'| NO           | PRIORITY         | BALANCE          |'", _GRID_RULE],
+    ("ACCOUNT_NO", "LOAN_PRIORITY", "LOAN_BALANCE"), line=_GRID_LINE, foot=(_GRID_RULE, "'END OF PAGE'"))
+_paged_query("lay_02_late_gate", "PAGES08", inferred.grid_columns, ["'| ACCOUNT NO   | PRIORITY         | BALANCE          |'"],
+    ("ACCOUNT_NO", "PRIORITY", "BALANCE"), line=_GRID_LINE, foot=(_GRID_RULE,))
+_PIPED_LINE = f"'| ' || {code('o_orderkey', 12)} || ' | ' || o_orderpriority || ' | ' || {money('o_totalprice')} || ' |'"
+_paged_query("lay_02_piped_header", "PAGES09", inferred.pipe_columns, ["'| ACCOUNT NO | PRIORITY | BALANCE |'", "'-----------------'"],
+    ("ACCOUNT_NO", "PRIORITY", "BALANCE"), line=_PIPED_LINE, foot=("'-----------------'",))
+_paged_query("lay_02_piped_late_gate", "PAGES10", inferred.pipe_columns, ["'| ACCOUNT NO | PRIORITY | BALANCE |'"],
+    ("ACCOUNT_NO", "PRIORITY", "BALANCE"), line=_PIPED_LINE, foot=("'-----------------'",))
+
+
 # ---------------------------------------------------------------- LAY-09 and file-level rules
 
 _NAMES = " union all ".join(
@@ -246,7 +310,7 @@ _META = " union all ".join(
     case c_mktsegment when 'MACHINERY' then '00001' else cast(c_nationkey as string) end as BRANCH_CODE,
     case c_mktsegment when 'MACHINERY' then 'HEAD OFFICE' else 'Town ' || cast(c_nationkey as string) end as BRANCH_NAME, '01/04/2025' as PROC_DATE, 110::bigint as line_count from customer""")
 def file_metadata(t):
-    return metadata.extract_metadata(t.sql(_META))
+    return metadata.extract_metadata(t.lines(_META))
 
 
 _ROUTED = """select 'in/' || case o_orderpriority when '1-URGENT' then 'x' when '2-HIGH' then 'transfer_supplementary' when '3-MEDIUM' then 'all_SHADOW' when '4-NOT SPECIFIED' then 'loan_shadow_file' else 'depd0903' end
@@ -373,7 +437,7 @@ def classification_report(t):
 
 @query("src_15_batch_summary")
 def batch_summary(t):
-    rows = t.sql(_NPA)
+    rows = t.lines(_NPA)
     classes = sniff.classify(sniff.delimiters(rows), sniff.structure(rows), metadata.extract_metadata(rows))
     counted = staging.validate(staging.normalize(LAYOUTS["NPA_STMT"](rows))).groupBy("path").agg(
         F.count("*").alias("records"), F.count_if("is_valid").alias("valid_records"), F.count_if(~F.col("is_valid")).alias("invalid_records"))

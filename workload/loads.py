@@ -452,43 +452,85 @@ def shared_folder(spark) -> str:
 _STAGED = f"{ACCOUNT_SOURCES} {RISK_SOURCES} {GL_SOURCES} {AUDIT_SOURCES}"
 
 
+def _stage(t) -> str:
+    """The folder of all staging tables."""
+    def make(root: str) -> None:
+        sources = {table: t(n) for n, table in _TABLES.items()} | {"ACCOUNT_OPENED_REPORT": t("opened"), "ACCOUNT_CLOSED_REPORT": t("closed")}
+        for table, df in sources.items():
+            df.write.parquet(f"{root}/{table}")
+
+    return t.place("staging tables", make)
+
+
 def _warehouse(t) -> warehouse.Warehouse:
     root = shared_folder(t.spark)
     t("network").write.mode("overwrite").parquet(f"{root}/dw/BRANCH_NETWORK")
-    sources = {table: t(n) for n, table in _TABLES.items()} | {"ACCOUNT_OPENED_REPORT": t("opened"), "ACCOUNT_CLOSED_REPORT": t("closed")}
-    for table, df in sources.items():
-        df.write.mode("overwrite").parquet(f"{root}/stage/{table}")
-    return warehouse.Warehouse(t.spark, f"{root}/stage", f"{root}/dw")
+    return warehouse.Warehouse(t.spark, _stage(t), f"{root}/dw")
+
 
+_LOADS = {warehouse.ACCOUNTS: warehouse.load_accounts, warehouse.RISK: warehouse.load_risk, warehouse.AUDIT: warehouse.load_audit}
 
-def _counts(w: warehouse.Warehouse, names: list[str]):
-    parts = [w.table(n).agg(F.count("*").alias("rows")).select(F.lit(n).alias("table_name"), "rows") for n in names]
-    return reduce(lambda a, b: a.unionByName(b), parts)
 
+def fact(t, name: str):
+    """A loaded fact of a warehouse that is there before the query: stored by date."""
+    root = t.place(f"fact {name}", lambda path: _LOADS[name](warehouse.Warehouse(t.spark, _stage(t), path)))
+    return warehouse.Warehouse(t.spark, "", root).table(name)
 
-_FACT_COUNTS = {
-    warehouse.BRANCHES: f"select count(*) from {DIM} d", warehouse.ACCOUNTS: f"select count(*) from {ACCOUNTS} a",
-    warehouse.RISK: f"select count(*) from {risk_upto('step_g')} r", warehouse.GL: f"select count(*) from {_GL_ALL} g",
-    warehouse.AUDIT: f"select count(*) from {AUDIT} x", warehouse.OPENED: "select count(*) from opened", warehouse.CLOSED: "select count(*) from closed",
+
+#: Each fact with its date, key and amount columns.
+_MEASURED = {
+    warehouse.BRANCHES: (None, "BRANCH_CODE", None), warehouse.ACCOUNTS: ("SNAPSHOT_DATE", "ACCOUNT_NO", "coalesce(CURRENT_BALANCE, OUTSTANDING)"),
+    warehouse.RISK: ("SNAPSHOT_DATE", "ACCOUNT_NO", "coalesce(BALANCE_OUTSTANDING, OUTSTANDING)"), warehouse.GL: ("SNAPSHOT_DATE", "GL_CLASS_CODE", "TOTAL_DR_BALANCE"),
+    warehouse.AUDIT: ("SNAPSHOT_DATE", "ACCOUNT_NO", None), warehouse.OPENED: ("OPENED_DATE", "ACCOUNT_NO", None), warehouse.CLOSED: ("CLOSED_DATE", "ACCOUNT_NO", None),
 }
 
 
-@query("etl_22_full_load", " union all ".join(f"select '{n}' as table_name, ({sql}) as rows" for n, sql in _FACT_COUNTS.items()),
-       f"network {_STAGED} opened closed")
+def _measures(name: str) -> str:
+    """Rows, keys, the sum of the keys' last digits and of the amounts: the same text on both sides."""
+    day, key, amount = _MEASURED[name]
+    digits = f"sum(cast(coalesce(nullif(regexp_replace({key}, '[^0-9]', '', 'g'), ''), '0') as decimal(38,0)) % 1000003)"
+    return f"""'{name}' as table_name, {f"cast({day} as varchar)" if day else "'-'"} as day, count(*) as rows, count(distinct {key}) as keys,
+        cast({digits} as bigint) as key_sum, {f"cast(coalesce(sum({amount}), 0) as double)" if amount else "0.0::double"} as amount"""
+
+
+def _measured(w: warehouse.Warehouse, names: list[str]):
+    def one(name: str):
+        day, key, amount = _MEASURED[name]
+        rows = w.table(name)
+        digits = F.coalesce(F.nullif(F.regexp_replace(key, "[^0-9]", ""), F.lit("")), F.lit("0")).cast("decimal(38,0)") % 1000003
+        total = F.coalesce(F.sum(F.expr(amount)), F.lit(0)).cast("double") if amount else F.lit(0.0)
+        grouped = rows.groupBy((F.col(day).cast("string") if day else F.lit("-")).alias("day"))
+        out = grouped.agg(F.count("*").alias("rows"), F.count_distinct(key).alias("keys"), F.sum(digits).cast("bigint").alias("key_sum"), total.alias("amount"))
+        return out.select(F.lit(name).alias("table_name"), "day", "rows", "keys", "key_sum", "amount")
+
+    return reduce(lambda a, b: a.unionByName(b), map(one, names))
+
+
+_LOADED = {
+    warehouse.BRANCHES: f"{DIM} d", warehouse.ACCOUNTS: f"{ACCOUNTS} a", warehouse.RISK: f"{risk_upto('step_g')} r", warehouse.GL: f"{_GL_ALL} g", warehouse.AUDIT: f"{AUDIT} x",
+    warehouse.OPENED: f"(select {o.day('OPENED_DATE')} as OPENED_DATE, {o.account_no('ACCOUNT_NUMBER')} as ACCOUNT_NO from opened s) p",
+    warehouse.CLOSED: f"(select {o.day('CLOSED_DATE')} as CLOSED_DATE, {o.account_no('ACCOUNT_NUMBER')} as ACCOUNT_NO from closed s) c",
+}
+
+
+def _loaded(name: str, where: str = "") -> str:
+    return f"select {_measures(name)} from {_LOADED[name]} {where} group by {'2' if _MEASURED[name][0] else 'all'}"
+
+
+@query("etl_22_full_load", " union all ".join(f"(select * from ({_loaded(n)}) q)" for n in _LOADED), f"network {_STAGED} opened closed")
 def full_load(t):
     w = _warehouse(t)
     warehouse.full_load(w)
-    return _counts(w, list(_FACT_COUNTS))
+    return _measured(w, list(_LOADED))
 
 
 _DAY = "where SNAPSHOT_DATE = date '2025-04-15'"
+_DAILY = [warehouse.ACCOUNTS, warehouse.RISK, warehouse.AUDIT]
 
 
-@query("etl_23_incremental_load", f"""select '{warehouse.ACCOUNTS}' as table_name, (select count(*) from {ACCOUNTS} a {_DAY}) as rows union all
-    select '{warehouse.RISK}', (select count(*) from {risk_upto('step_g')} r {_DAY}) union all
-    select '{warehouse.AUDIT}', (select count(*) from {AUDIT} x {_DAY})""", _STAGED)
+@query("etl_23_incremental_load", " union all ".join(f"(select * from ({_loaded(n, _DAY)}) q)" for n in _DAILY), _STAGED)
 def incremental_load(t):
     w = _warehouse(t)
     warehouse.incremental_load(w, "2025-04-15")
     warehouse.incremental_load(w, "2025-04-15")
-    return _counts(w, [warehouse.ACCOUNTS, warehouse.RISK, warehouse.AUDIT])
+    return _measured(w, _DAILY)

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerlake.functions import cleanse, labels, numbers
-from ledgerlake.operators import explore, joining, lineage, profiling, ranking, scope, security
-from ledgerlake.plans import branches, dashboards, risk
+from ledgerlake.operators import explore, joining, profiling, ranking, scope, security
+from ledgerlake.plans import branches, dashboards, risk, warehouse
 
 from . import oracle as o
-from .loads import ACCOUNT_SOURCES, ACCOUNTS, AUDIT, AUDIT_SOURCES, DIM, RISK_SOURCES, risk_upto, staged
+from .loads import ACCOUNT_SOURCES, ACCOUNTS, AUDIT, AUDIT_SOURCES, DIM, RISK_SOURCES, fact, risk_upto, staged
 from .registry import query
 
 DAY = o.day("PROC_DATE")
@@ -110,14 +110,11 @@ def severity_flags(t):
 
 
 def accounts_fact(t):
-    """The loaded fact, kept once: dashboards read it several times."""
-    from ledgerlake.plans import accounts
-
-    return lineage.settled(accounts.account_snapshot(staged(t, *ACCOUNT_SOURCES.split())))
+    return fact(t, warehouse.ACCOUNTS)
 
 
 def risk_fact(t):
-    return lineage.settled(risk.loan_risk(staged(t, *RISK_SOURCES.split())))
+    return fact(t, warehouse.RISK)
 
 
 RISK = risk_upto("step_g")
@@ -151,10 +148,10 @@ def staging_to_region(t):
 
 
 @query("jn_04_full_outer_counts", """select coalesce(d.n, l.n) as name, coalesce(d.c, 0) as deposits, coalesce(l.c, 0) as loans from
-    (select BRANCH_NAME as n, count(distinct ACCOUNT_NUMBER) as c from deposits where ACCOUNT_TYPE = 'SB GENERAL' group by 1) d full join
+    (select BRANCH_NAME as n, count(distinct ACCOUNT_NUMBER) as c from deposits group by 1) d full join
     (select BRANCH_NAME as n, count(distinct ACCOUNT) as c from loan_detail group by 1) l on d.n = l.n""", "deposits loan_detail")
 def full_outer_counts(t):
-    d = t("deposits").filter("ACCOUNT_TYPE = 'SB GENERAL'").groupBy(F.col("BRANCH_NAME").alias("name")).agg(F.count_distinct("ACCOUNT_NUMBER").alias("deposits"))
+    d = t("deposits").groupBy(F.col("BRANCH_NAME").alias("name")).agg(F.count_distinct("ACCOUNT_NUMBER").alias("deposits"))
     loans = t("loan_detail").groupBy(F.col("BRANCH_NAME").alias("name")).agg(F.count_distinct("ACCOUNT").alias("loans"))
     return d.join(loans, "name", "full_outer").fillna(0)
 
@@ -186,10 +183,10 @@ def merge_series(t):
 
 @query("jn_11_lookup_by_day", f"""select cast(a.day as varchar) as day, {o.r2('a.v')} as npa, {o.r2('coalesce(b.v, 0)')} as loans from
     (select {DAY} as day, sum({o.comma_free('OUTSTANDING')}) as v from npa group by 1) a left join
-    (select {DAY} as day, sum({o.comma_free('TOTAL_AMOUNT')}) as v from loan_totals where BRANCH_CODE < '00005' group by 1) b on a.day = b.day""", "npa loan_totals")
+    (select {DAY} as day, sum({o.comma_free('TOTAL_AMOUNT')}) as v from loan_totals group by 1) b on a.day = b.day""", "npa loan_totals")
 def lookup_by_day(t):
     a = t("npa").groupBy(cleanse.date("PROC_DATE").alias("day")).agg(numbers.sum_comma_free("OUTSTANDING").alias("npa"))
-    b = t("loan_totals").filter("BRANCH_CODE < '00005'").groupBy(cleanse.date("PROC_DATE").alias("day")).agg(numbers.sum_comma_free("TOTAL_AMOUNT").alias("loans"))
+    b = t("loan_totals").groupBy(cleanse.date("PROC_DATE").alias("day")).agg(numbers.sum_comma_free("TOTAL_AMOUNT").alias("loans"))
     return a.join(b, "day", "left").fillna(0.0)
 
 

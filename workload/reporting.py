@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgerlake.plans import audit, branches, dashboards, reports
+from ledgerlake.plans import branches, dashboards, reports, warehouse
 from ledgerlake.sources import staging
 
 from . import oracle as o
-from .loads import ACCOUNT_SOURCES, ACCOUNTS, AUDIT, AUDIT_SOURCES, DIM, RISK_SOURCES, staged
+from .loads import ACCOUNT_SOURCES, ACCOUNTS, AUDIT, AUDIT_SOURCES, DIM, RISK_SOURCES, fact
 from .registry import query
 from .relational import _AGEING, RISK, accounts_fact, risk_fact
 
@@ -35,7 +35,7 @@ def d(x: str) -> str:
     (select count(*) from ex where {_LAST} and SEVERITY in ('HIGH', 'CRITICAL')) as CRITICAL_EXCEPTIONS from acc where {_LAST}) q""",
        f"{ACCOUNT_SOURCES} {RISK_SOURCES} {AUDIT_SOURCES}")
 def executive_kpis(t):
-    return dashboards.executive_kpis(accounts_fact(t), risk_fact(t), audit.audit_exceptions(staged(t, *AUDIT_SOURCES.split())))
+    return dashboards.executive_kpis(accounts_fact(t), risk_fact(t), fact(t, warehouse.AUDIT))
 
 
 _AVG = "round(cast(sum(INTEREST_RATE) as double) / count(INTEREST_RATE), 4)"

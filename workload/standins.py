@@ -6,6 +6,10 @@ the same dirty text. ``{name}`` stands for a given table.
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+
+from ledgerlake.operators import lineage
 from ledgerlake.session import tune
 
 GIVEN = (
@@ -238,8 +242,15 @@ STANDINS = {
 }
 
 
+#: Where the stand-ins and report lines of (application, data folder, name) are stored.
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
 class Tables:
-    """Given tables and stand-ins of one data folder, as DataFrames."""
+    """Given tables and stand-ins of one data folder, as DataFrames.
+
+    Stand-ins and report lines are what a bank's night leaves behind: tables and folders that are there before a query starts.
+    They are written to the shared folder at their first use and read from then on, in splits of their own size."""
 
     def __init__(self, spark, folder: str):
         self.spark, self.folder, self._given = tune(spark), folder, {}
@@ -253,8 +264,24 @@ class Tables:
         used = {n: self.given(n) for n in GIVEN if "{" + n + "}" in text}
         return self.spark.sql(text, **used)
 
+    def place(self, name: str, make) -> str:
+        """The folder that ``make`` has filled, once for each session and data folder."""
+        key = (self.spark.sparkContext.applicationId, self.folder, name)
+        if key not in _STORED:
+            path = f"{lineage.shared_folder(self.spark)}/fixtures/{uuid.uuid4().hex}"
+            make(path)
+            _STORED[key] = path
+        return _STORED[key]
+
     def __call__(self, name: str):
-        return self.sql(STANDINS[name])
+        tasks = self.spark.sparkContext.defaultParallelism
+        return self.spark.read.parquet(self.place(name, lambda path: self.sql(STANDINS[name]).repartition(tasks).write.parquet(path)))
+
+    def lines(self, text: str):
+        """The report lines that a query text lays out, stored by file."""
+        name = hashlib.sha256(text.encode()).hexdigest()
+        tasks = self.spark.sparkContext.defaultParallelism
+        return self.spark.read.parquet(self.place(name, lambda path: self.sql(text).repartition(tasks, "path").write.parquet(path)))
 
 
 def with_standins(text: str, *names: str) -> str:
