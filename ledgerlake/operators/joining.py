@@ -64,17 +64,14 @@ def merge_series(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 def contained_codes(classes: DataFrame, products: DataFrame) -> DataFrame:
     """Pairs (GL_CLASS_CODE, PROD_CODE) where the class text contains the product code, ignoring case.
 
-    Works on distinct codes: every substring of a class becomes an equality key, so no pair is
-    formed that does not match, and one busy branch or day cannot gather all pairs.
+    Works on distinct codes: a class gives its pieces of the lengths that product codes have, and those are
+    equality keys. So a class of L characters gives at most L pieces for each length that occurs, no pair is formed that does
+    not match, and one busy branch or day cannot gather all pairs. An empty code is contained in every class.
     """
-    c = classes.select("GL_CLASS_CODE").distinct()
-    p = products.select("PROD_CODE").filter("PROD_CODE IS NOT NULL").distinct()
-    size = F.length("GL_CLASS_CODE")
-    pieces = c.select(
-        "GL_CLASS_CODE",
-        F.explode(F.sequence(F.lit(1), F.greatest(size, F.lit(1)))).alias("_from"),
-    ).select(
-        "GL_CLASS_CODE", "_from",
-        F.explode(F.sequence(F.lit(0), F.length("GL_CLASS_CODE") - F.col("_from") + 1)).alias("_len"),
-    ).select("GL_CLASS_CODE", F.upper(F.expr("substring(GL_CLASS_CODE, _from, _len)")).alias("_key")).distinct()
-    return pieces.join(p.withColumn("_key", F.upper("PROD_CODE")), "_key").select("GL_CLASS_CODE", "PROD_CODE")
+    c = classes.select("GL_CLASS_CODE").filter("GL_CLASS_CODE IS NOT NULL").distinct()
+    p = products.select("PROD_CODE").filter("PROD_CODE IS NOT NULL").distinct().withColumn("_key", F.upper("PROD_CODE"))
+    lengths = p.agg(F.collect_set(F.length("_key"))).scalar()
+    long_enough = c.withColumn("_upper", F.upper("GL_CLASS_CODE")).withColumn("_size", F.explode(lengths)).filter("_size <= length(_upper)")
+    first = F.when(F.col("_size") == 0, F.array(F.lit(1))).otherwise(F.sequence(F.lit(1), F.length("_upper") - F.col("_size") + 1))
+    pieces = long_enough.withColumn("_from", F.explode(first)).select("GL_CLASS_CODE", F.substring("_upper", F.col("_from"), F.col("_size")).alias("_key")).distinct()
+    return pieces.join(p, "_key").select("GL_CLASS_CODE", "PROD_CODE")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import cleanse
-from ..operators import joining, lineage, scope
+from ..operators import joining, scope
 from .schemas import GL_SUMMARY, conform
 
 TOTALS, BALANCES = "GLCC_WISE_SUM_REP", "GLCC_WISE_BAL_REP"
@@ -72,16 +72,13 @@ def matching_flows(summary: DataFrame, flows: DataFrame) -> DataFrame:
     values = list(FLOW_COLUMNS.values())
     candidates = summary.select(*KEYS).join(pairs, "GL_CLASS_CODE").join(
         flows.select("SNAPSHOT_DATE", "BRANCH_CODE", "PROD_CODE", *values), ["SNAPSHOT_DATE", "BRANCH_CODE", "PROD_CODE"])
-    ranked = F.struct((-F.length("PROD_CODE")).alias("_l"), F.col("PROD_CODE").alias("_c"))
-    best = candidates.groupBy(*KEYS).agg(F.min_by(F.struct(*values), ranked).alias("v"))
-    return best.select(*KEYS, *[F.col(f"v.{c}").alias(c) for c in values])
+    longest = F.row_number().over(Window.partitionBy(*KEYS).orderBy(F.length("PROD_CODE").desc(), "PROD_CODE"))
+    return candidates.withColumn("_nth", longest).filter("_nth = 1").select(*KEYS, *values)
 
 
 def gl_summary(staged: dict[str, DataFrame], day: str | None = None) -> DataFrame:
     """Totals, then balances of classes without totals, then flows: matched classes take
     them over, product codes that are no class of their own are added.
-
-    Flows and totals are settled after aggregation, since matching, updating and inserting all use them.
     """
     parts = []
     if TOTALS in staged:
@@ -92,10 +89,9 @@ def gl_summary(staged: dict[str, DataFrame], day: str | None = None) -> DataFram
     summary = parts[0].unionByName(parts[1]) if len(parts) == 2 else parts[0] if parts else None
     if FLOWS not in staged:
         return summary
-    flows = lineage.settled(daily_flows(staged[FLOWS], day))
+    flows = daily_flows(staged[FLOWS], day)
     if summary is None:
         return flows
-    summary = lineage.settled(summary)
     updated = joining.update_from(
         summary, matching_flows(summary, flows), KEYS, {c: F.col(f"s.{c}") for c in FLOW_COLUMNS.values()})
     return updated.unionByName(flows.join(summary.select(*KEYS), KEYS, "left_anti"))

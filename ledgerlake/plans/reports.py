@@ -451,7 +451,7 @@ def report_profile(df: DataFrame, branch: str = ALL) -> DataFrame:
     if column:
         values = profiling.value_frequencies(rows, column)
         out = out.unionByName(values.select(
-            F.lit("value").alias("part"), F.substring("value", 1, 30).alias("name"), F.col("rows").cast("double").alias("total"),
+            F.lit("value").alias("part"), F.col("value").alias("name"), F.col("rows").cast("double").alias("total"),
             F.lit(0.0).alias("average")))
     return out
 

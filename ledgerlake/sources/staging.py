@@ -83,10 +83,16 @@ def widen(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns(named).drop("cells")
 
 
-def read_branch_seed(spark: SparkSession, path: str) -> DataFrame:
-    """Branch network from a JSON array."""
+def read_branch_seed(spark: SparkSession, path: str, array: bool = False) -> DataFrame:
+    """Branch network from JSON lines, read in splits; ``array``: from files that are one JSON array each, such as a seed of
+    some hundred branches."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in BRANCH_COLUMNS])
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+    return spark.read.schema(schema).option("multiLine", array).json(path)
+
+
+def write_branch_seed(network: DataFrame, path: str) -> None:
+    """One JSON object a line."""
+    network.select(*BRANCH_COLUMNS).write.mode("overwrite").json(path)
 
 
 def export_csv(df: DataFrame, path: str) -> None:

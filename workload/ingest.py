@@ -474,8 +474,7 @@ def aligned_columns(t):
 @query("src_20_branch_seed", """select HEAD_OFFICE, REGIONAL_OFFICE, BRANCH_NAME, DISTRICT, ADDRESS, CONTACT_NO, BRANCH_CODE from network""", "network")
 def branch_seed(t):
     root = shared_folder(t.spark)
-    array = t("network").agg(F.to_json(F.collect_list(F.struct(*staging.BRANCH_COLUMNS))).alias("value"))
-    array.write.text(f"{root}/seed")
+    staging.write_branch_seed(t("network"), f"{root}/seed")
     return staging.read_branch_seed(t.spark, f"{root}/seed")
 
 

@@ -268,17 +268,20 @@ def slab_counts(t):
     return dashboards.arrears_ageing(risk_fact(t)).drop("SORT_ORDER")
 
 
-_PROFILE_TEXT = "select l_shipdate, l_returnflag, cast(l_quantity as string) as QTY, case l_returnflag when 'A' then '-' when 'N' then cast(l_tax as string) else 'n/a' end as TAX, cast(l_suppkey as string) as SUPP_ID, ' ' || l_linestatus as BRANCH_STATE from {lineitem}"
+_PROFILE_TEXT = "select *, cast(l_quantity as string) as QTY, case l_returnflag when 'A' then '-' when 'N' then cast(l_tax as string) else 'n/a' end as TAX, cast(l_suppkey as string) as SUPP_ID, ' ' || l_linestatus as BRANCH_STATE from {lineitem}"
 _PROFILE = _PROFILE_TEXT.replace("{lineitem}", "lineitem")
+_FIGURES = "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax QTY TAX".split()
 
 
-@query("agg_12_column_metrics", f"""with p as ({_PROFILE}) select 'QTY' as column_name, 'sum' as kind, {o.r2('sum(try_cast(QTY as double))')} as total,
-    {o.r2('avg(try_cast(QTY as double))')} as average from p union all
-    select 'TAX', 'sum', {o.r2('sum(try_cast(TAX as double))')}, {o.r2('avg(try_cast(TAX as double))')} from p union all
+def _sums(c: str) -> str:
+    return f"select '{c}' as column_name, 'sum' as kind, {o.r2(f'sum(try_cast(cast({c} as varchar) as double))')} as total, {o.r2(f'avg(try_cast(cast({c} as varchar) as double))')} as average from p"
+
+
+@query("agg_12_column_metrics", f"""with p as ({_PROFILE}) {' union all '.join(map(_sums, _FIGURES))} union all
     select 'SUPP_ID', 'distinct', cast(count(distinct SUPP_ID) as double), 0.0 from p union all
     select 'BRANCH_STATE', 'distinct', cast(count(distinct trim(BRANCH_STATE)) as double), 0.0 from p""")
 def column_metrics(t):
-    return profiling.column_metrics(t.sql(_PROFILE_TEXT).drop("l_shipdate", "l_returnflag"))
+    return profiling.column_metrics(t.sql(_PROFILE_TEXT))
 
 
 @query("agg_13_branch_metrics", f"""select BRANCH_CODE, max(BRANCH_NAME) as BRANCH_NAME, 'OUTSTANDING' as metric,
@@ -361,12 +364,28 @@ def custom_order(t):
 _PAGE_KEY = "try_cast(replace(replace(coalesce(CURRENT_BALANCE, '0'), ',', ''), '₹', '') as double)"
 
 
-@query("srt_06_page", f"""select ACCOUNT_NUMBER, ACCOUNT_TYPE, CURRENT_BALANCE, BRANCH_CODE, count(*) over () as total_records from deposits
-    where BRANCH_CODE = '00007' and (ACCOUNT_NUMBER ilike '%4020%' or ACCOUNT_TYPE ilike '%4020%' or CURRENT_BALANCE ilike '%4020%' or BRANCH_CODE ilike '%4020%')
+_DEPOSIT_TEXT = "ACCOUNT_NUMBER ACCOUNT_TYPE CUSTOMER_NAME AVAILABLE_BALANCE UNCLEARED_BALANCE CURRENT_BALANCE \"LIMIT\" TERM INT_RATE STATUS JOINT_HOLD_FLAG REPORT_ID BRANCH_CODE BRANCH_NAME PROC_DATE".split()
+
+
+@query("srt_06_page", f"""select *, count(*) over () as total_records from deposits
+    where BRANCH_CODE = '00007' and ({' or '.join(f"{c} ilike '%4020%'" for c in _DEPOSIT_TEXT)})
     order by {_PAGE_KEY} desc nulls last, ACCOUNT_NUMBER limit 20 offset 20""", "deposits")
 def one_page(t):
-    rows = t("deposits").select("ACCOUNT_NUMBER", "ACCOUNT_TYPE", "CURRENT_BALANCE", "BRANCH_CODE")
-    return explore.page(rows, "00007", "4020", descending=True, number=2, size=20)
+    return explore.page(t("deposits"), "00007", "4020", descending=True, number=2, size=20)
+
+
+_DETAIL_ORDER = "try_cast(replace(replace(coalesce(DR_BALANCE, '0'), ',', ''), '₹', '') as double) nulls first, ACCOUNT"
+
+
+@query("srt_06_far_page", f"select *, count(*) over () as total_records from loan_detail order by {_DETAIL_ORDER} limit 50 offset 12000", "loan_detail")
+def far_page(t):
+    return explore.page(t("loan_detail"), number=241, size=50)
+
+
+@query("srt_06_next_page", f"select * from loan_detail order by {_DETAIL_ORDER} limit 50 offset 50", "loan_detail")
+def next_page(t):
+    first = explore.page_after(t("loan_detail"), None).collect()
+    return explore.page_after(t("loan_detail"), first[-1].asDict() if first else None)
 
 
 @query("srt_07_top_with_others", """with g as (select o_custkey as cust, round(sum(o_totalprice), 2) as v from orders group by 1),

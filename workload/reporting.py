@@ -344,17 +344,22 @@ _PROFILE_COLUMNS = "CUSTOMER_NAME, ACCOUNT_TYPE, CURRENT_BALANCE, INT_RATE, TERM
 
 
 def _metric(c: str) -> str:
-    n = f"try_cast(nullif(trim(replace({c}, ',', '')), '-') as double)"
+    n = f"try_cast(nullif(trim(replace(\"{c}\", ',', '')), '-') as double)"
     return f"select 'sum' as part, '{c}' as name, {o.r2(f'sum({n})')} as total, {o.r2(f'avg({n})')} as average from p having count({n}) > count(*) * 0.1"
 
 
-@query("q_38_report_profile", f"""with p as (select INT_RATE, TERM, CURRENT_BALANCE, CUSTOMER_NAME, BRANCH_CODE from deposits) select 'rows' as part, '' as name, cast(count(*) as double) as total, 0.0::double as average from p
-    union all select * from ({_metric('INT_RATE')}) a union all select * from ({_metric('TERM')}) b union all select * from ({_metric('CURRENT_BALANCE')}) c
-    union all select 'distinct', 'CUSTOMER_NAME', cast(count(distinct trim(CUSTOMER_NAME)) as double), 0.0 from p
-    union all select 'distinct', 'BRANCH_CODE', cast(count(distinct trim(BRANCH_CODE)) as double), 0.0 from p
-    union all select 'value', substring(trim(INT_RATE), 1, 30), cast(count(*) as double), 0.0 from p where regexp_replace(trim(INT_RATE), '[-=>*#_| ]', '', 'g') <> '' group by trim(INT_RATE)""", "deposits")
+_DEPOSIT_KEYS = "ACCOUNT_NUMBER ACCOUNT_TYPE CUSTOMER_NAME REPORT_ID BRANCH_CODE BRANCH_NAME PROC_DATE".split()
+_DEPOSIT_FIGURES = "AVAILABLE_BALANCE UNCLEARED_BALANCE CURRENT_BALANCE LIMIT TERM INT_RATE STATUS JOINT_HOLD_FLAG LOAD_SEQ".split()
+_PROFILED = ", ".join(f'cast("{c}" as varchar) as "{c}"' for c in [*_DEPOSIT_KEYS, *_DEPOSIT_FIGURES])
+_PLAIN = "trim(AVAILABLE_BALANCE)"
+
+
+@query("q_38_report_profile", f"""with p as (select {_PROFILED} from deposits) select 'rows' as part, '' as name, cast(count(*) as double) as total, 0.0::double as average from p
+    {' '.join(f'union all select * from ({_metric(c)}) m' for c in _DEPOSIT_FIGURES)}
+    {' '.join(f"union all select * from (select 'distinct', '{c}', cast(count(distinct trim({c})) as double), 0.0 from p where {c} <> '' having count(*) > 0) d" for c in _DEPOSIT_KEYS)}
+    union all select 'value', {_PLAIN}, cast(count(*) as double), 0.0 from p where regexp_replace({_PLAIN}, '[-=>*#_| ]', '', 'g') <> '' group by {_PLAIN}""", "deposits")
 def report_profile(t):
-    return reports.report_profile(t("deposits").select("INT_RATE", "TERM", "CURRENT_BALANCE", "CUSTOMER_NAME", "BRANCH_CODE"))
+    return reports.report_profile(t("deposits"))
 
 
 @query("q_39_account_metrics", f"""select (select count(*) from opened where {o.day('OPENED_DATE')} >= (select max({o.day('OPENED_DATE')}) from opened) - 90) as opened,
