@@ -2,8 +2,10 @@
 
 Plain text is read by Spark's splittable text source, so one huge file is shared by many
 tasks; lines get dense numbers from the split's offset. ``.gz`` files (not splittable, and
-sometimes mislabelled plain text) are decoded file by file inside the tasks; one such file
-must fit the 2 GB limit of the binary source.
+sometimes mislabelled plain text) are decompressed block by block inside the tasks, each once: the lines
+are stored as they come, and a file that turns out to be damaged ends with a row that says so, whereupon
+none of its lines counts. A ``.gz`` file over the 2 GB limit of the binary source is not opened; it
+is reported like a damaged one.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ from pyspark.sql import functions as F
 
 GZIP_MAGIC = b"\x1f\x8b"
 CHUNK = 20_000
+#: Bytes of a file that the binary source can hold.
+BINARY_LIMIT = 2**31 - 1
 # Fixed value: the control report left out of every run.
 EXCLUDED_NAME = "gend1012.prt2"
 DECODED = "path string, line_no bigint, line string, error string"
@@ -67,53 +71,47 @@ def _text_lines(content: bytes) -> Iterator[str]:
         yield line.rstrip("\r\n")
 
 
-def _broken(content: bytes) -> str | None:
-    """Error text of a damaged gzip file, found before any of its lines is used."""
-    if content[:2] != GZIP_MAGIC:
-        return None
-    try:
-        with gzip.GzipFile(fileobj=io.BytesIO(content)) as f:
-            while f.read(1 << 20):
-                pass
-    except (OSError, EOFError, zlib.error) as e:
-        return f"{type(e).__name__}: {e}"
-    return None
-
-
 def _decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Lines of the batch's files in frames of bounded size; small files share a frame."""
-    rows: list[tuple] = []
+    columns, rows = ["path", "line_no", "line", "error"], []
     for batch in batches:
         for path, content in zip(batch["path"], batch["content"]):
-            error = _broken(content)
-            found = [(0, None)] if error else enumerate(_text_lines(content))
-            for number, line in found:
-                rows.append((path, number, line, error))
-                if len(rows) == CHUNK:
-                    yield pd.DataFrame(rows, columns=["path", "line_no", "line", "error"])
-                    rows = []
+            number = 0
+            try:
+                for number, line in enumerate(_text_lines(content), 1):
+                    rows.append((path, number - 1, line, None))
+                    if len(rows) == CHUNK:
+                        yield pd.DataFrame(rows, columns=columns)
+                        rows = []
+            except (OSError, EOFError, zlib.error) as e:
+                rows.append((path, number, None, f"{type(e).__name__}: {e}"))
     if rows:
-        yield pd.DataFrame(rows, columns=["path", "line_no", "line", "error"])
+        yield pd.DataFrame(rows, columns=columns)
 
 
-def decode_files(files: DataFrame) -> DataFrame:
-    """(path, content) to (path, line_no, line, error); a damaged file gives one error row."""
-    return files.select("path", "content").mapInPandas(_decode, DECODED)
+def decode_files(files: DataFrame, limit: int = BINARY_LIMIT) -> DataFrame:
+    """(path, content) to (path, line_no, line, error), decompressing once: a damaged file gives the lines above the damage
+    and then one error row (see ``whole_files``), one over ``limit`` bytes only an error row."""
+    return files.select("path", F.when(F.length("content") <= limit, F.col("content")).alias("content"), F.length("content").alias("size")).transform(
+        lambda f: f.filter("content IS NOT NULL").select("path", "content").mapInPandas(_decode, DECODED).unionByName(_too_large(f.filter("content IS NULL"), "size")))
 
 
-def text_lines(spark: SparkSession, folder: str, glob: str = "*.txt", reports_only: bool = False) -> DataFrame:
-    """Numbered lines of the plain text files; ``reports_only``: those of a nightly run (``report_path``).
+def _too_large(files: DataFrame, size: str) -> DataFrame:
+    error = F.concat(F.lit("TooLarge: "), F.col(size).cast("string"), F.lit(" bytes"))
+    return files.select("path", F.lit(0).cast("bigint").alias("line_no"), F.lit(None).cast("string").alias("line"), error.alias("error"))
 
-    The path filter lies below the numbering, where Spark can apply it to the list of files. Row ids are
-    consecutive within a split, so a line's number follows from its split's first id: lines are neither sorted nor ranked,
-    they only meet a table of one row a split.
-    """
-    path = F.col("_metadata.file_path")
-    found = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(folder)
-    if reports_only:
-        found = found.filter(report_path(path, folder))
+
+def whole_files(decoded: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(lines of undamaged files, (path, error) of the others) of stored decoded rows."""
+    failed = decoded.filter("error IS NOT NULL").select("path", "error")
+    return decoded.filter("error IS NULL").drop("error").join(failed.select("path"), "path", "left_anti"), failed
+
+
+def _numbered(found: DataFrame) -> DataFrame:
+    """Row ids are consecutive within a split, so a line's number follows from its split's first id: lines are neither sorted
+    nor ranked, they only meet a table of one row a split."""
     raw = found.select(
-        path.alias("path"), F.col("_metadata.file_block_start").alias("_split"), F.make_valid_utf8("value").alias("line"),
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_split"), F.make_valid_utf8("value").alias("line"),
         F.monotonically_increasing_id().alias("_seq"),
     )
     sizes = raw.groupBy("path", "_split").agg(F.count("*").alias("_n"), F.min("_seq").alias("_first"))
@@ -122,13 +120,39 @@ def text_lines(spark: SparkSession, folder: str, glob: str = "*.txt", reports_on
     return raw.join(starts, ["path", "_split"]).select("path", (F.col("_seq") + F.col("_shift")).alias("line_no"), "line")
 
 
-def read_reports(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+def text_lines(spark: SparkSession, folder: str, glob: str = "*.txt", reports_only: bool = False) -> DataFrame:
+    """Numbered lines of the plain text files; ``reports_only``: those of a nightly run (``report_path``). The path filter lies below the
+    numbering, where Spark can apply it to the list of files."""
+    found = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(folder)
+    return _numbered(found.filter(report_path(F.col("_metadata.file_path"), folder)) if reports_only else found)
+
+
+def _decoded(found: DataFrame, work: str, limit: int) -> tuple[DataFrame, DataFrame]:
+    """Lines and failures of binary files (path, length, content), decoded into ``work`` once."""
+    spark = found.sparkSession
+    # The source does not open files that the filter on their length leaves out.
+    rows = decode_files(found.filter(F.col("length") <= limit), limit).unionByName(_too_large(found.filter(F.col("length") > limit), "length"))
+    rows.write.mode("overwrite").parquet(f"{work}/decoded")
+    return whole_files(spark.read.schema(DECODED).parquet(f"{work}/decoded"))
+
+
+def _binary(spark: SparkSession):
+    return spark.read.format("binaryFile")
+
+
+def read_reports(spark: SparkSession, folder: str, work: str, limit: int = BINARY_LIMIT) -> tuple[DataFrame, DataFrame]:
     """(lines, failed files) of a nightly folder."""
-    zipped = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt.gz")
-        .load(folder).select(F.col("_metadata.file_path").alias("path"), "content")
-        .filter(report_path(F.col("path"), folder))
-    )
-    decoded = decode_files(zipped)
-    lines = text_lines(spark, folder, reports_only=True).unionByName(decoded.filter("error IS NULL").drop("error"))
-    return lines, decoded.filter("error IS NOT NULL").select("path", "error")
+    zipped = _binary(spark).option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt.gz").load(folder)
+    zipped = zipped.select(F.col("_metadata.file_path").alias("path"), "length", "content").filter(report_path(F.col("path"), folder))
+    lines, failed = _decoded(zipped, work, limit)
+    return text_lines(spark, folder, reports_only=True).unionByName(lines), failed
+
+
+def read_listed(spark: SparkSession, paths: list[str], work: str, limit: int = BINARY_LIMIT) -> tuple[DataFrame, DataFrame]:
+    """(lines, failed files) of the files listed, plain and zipped."""
+    plain, zipped = [p for p in paths if not p.endswith(".gz")], [p for p in paths if p.endswith(".gz")]
+    nothing = spark.createDataFrame([], DECODED)
+    lines, failed = nothing.drop("error"), nothing.select("path", "error")
+    if zipped:
+        lines, failed = _decoded(_binary(spark).load(zipped).select(F.col("_metadata.file_path").alias("path"), "length", "content"), work, limit)
+    return (lines.unionByName(_numbered(spark.read.text(plain))) if plain else lines), failed

@@ -21,12 +21,14 @@ def routed_files(lines: DataFrame) -> DataFrame:
 
 
 def tables(lines: DataFrame, routed: DataFrame, layouts: list[str]) -> dict[str, DataFrame]:
-    """Staging rows per layout. ``lines`` should be stored by layout (see ``ingest``)."""
+    """Staging rows per layout, with ``superseded``. ``lines`` should be stored by layout (see ``ingest``)."""
     out = {}
     for layout in layouts:
         mine = lines.filter(F.col("layout") == layout).select("path", "line_no", "line")
         rows = parse(mine, layout)
-        if layout not in staging.SHADOW_TABLES:
+        if layout in staging.SHADOW_TABLES:
+            rows = rows.withColumn(SUPERSEDED, F.lit(False))
+        else:
             rows = _one_file_per_pair(_attach(rows, routed))
         rows = rows.withColumn("source_file", files.file_name(F.col("path")))
         out[layout] = staging.align(rows, rows.columns) if layout in LAYOUTS else rows
@@ -41,22 +43,26 @@ def _attach(rows: DataFrame, routed: DataFrame) -> DataFrame:
     return full
 
 
+SUPERSEDED = "superseded"
+
+
 def _one_file_per_pair(rows: DataFrame) -> DataFrame:
-    """Of several files with rows for one (date, branch), the last by path replaces the others. Where date or branch is
-    blank, nothing says that two files are the same report, so all rows stay."""
+    """Adds ``superseded``: of several files with rows for one (date, branch), the last by path replaces the others. Where date or
+    branch is blank, nothing says that two files are the same report, so all rows stay."""
     known = [F.trim(F.col(c)) != "" for c in staging.PARTITIONS]
     owner = rows.filter(known[0] & known[1]).groupBy(*staging.PARTITIONS).agg(F.max("path").alias("_last"))
-    kept = rows.join(owner, list(staging.PARTITIONS), "left").filter(F.col("_last").isNull() | (F.col("_last") == F.col("path")))
-    return kept.select(*rows.columns)
+    judged = rows.join(owner, list(staging.PARTITIONS), "left")
+    return judged.select(*rows.columns, F.coalesce(F.col("_last") != F.col("path"), F.lit(False)).alias(SUPERSEDED))
 
 
-def ingest(spark: SparkSession, folder: str, root: str, work: str) -> DataFrame:
-    """Read, route, parse and stage a folder; returns per-file outcomes (layout NULL = skipped).
+def ingest(spark: SparkSession, folder: str, root: str, work: str, limit: int = files.BINARY_LIMIT) -> DataFrame:
+    """Read, route, parse and stage a folder; returns per-file outcomes (layout NULL = skipped) with the rows of each
+    file that were staged and that another file of the same date and branch has superseded.
 
     Lines are written once, by layout, so that each parser reads only its own files and a lost
     executor never causes the folder to be decoded again. ``work`` is a shared folder.
     """
-    lines, failed = files.read_reports(spark, folder)
+    lines, failed = files.read_reports(spark, folder, work, limit)
     return ingest_lines(spark, lines, root, work).unionByName(
         failed.select("path", "error"), allowMissingColumns=True)
 
@@ -67,11 +73,19 @@ def ingest_lines(spark: SparkSession, lines: DataFrame, root: str, work: str) ->
     routed_files(stored).write.mode("overwrite").parquet(f"{work}/files")
     routed = spark.read.parquet(f"{work}/files")
     split = stored.join(routed.filter("layout IS NOT NULL").select("path", "layout"), "path")
-    split.write.mode("overwrite").partitionBy("layout").parquet(f"{work}/by_layout")
+    split.hint("rebalance", "layout").write.mode("overwrite").partitionBy("layout").parquet(f"{work}/by_layout")
     # At most one name per layout comes to the driver.
     present = [r.layout for r in routed.select("layout").filter("layout IS NOT NULL").distinct().collect()]
+    counts = spark.createDataFrame([], "path string, staged bigint, superseded bigint")
     if present:
         by_layout = spark.read.parquet(f"{work}/by_layout")
         for name, df in tables(by_layout, routed, sorted(present)).items():
-            staging.stage(df, root, name)
-    return routed.select("path", "REPORT_ID", "layout", F.lit(None).cast("string").alias("error"))
+            # Parsed once, superseded rows apart: they are kept and counted, not staged.
+            parsed = f"{work}/parsed/{name}"
+            df.write.mode("overwrite").partitionBy(SUPERSEDED).parquet(parsed)
+            rows = spark.read.schema(df.schema).parquet(parsed)
+            staging.stage(rows.filter(~F.col(SUPERSEDED)).drop(SUPERSEDED), root, name)
+            one = F.count_if(~F.col(SUPERSEDED)).alias("staged"), F.count_if(SUPERSEDED).alias("superseded")
+            counts = counts.unionByName(rows.groupBy("path").agg(*one))
+    outcome = routed.select("path", "REPORT_ID", "layout", F.lit(None).cast("string").alias("error")).join(counts, "path", "left")
+    return outcome.withColumns({c: F.coalesce(c, F.lit(0).cast("bigint")) for c in ("staged", "superseded")})

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,6 +10,8 @@ from pyspark.sql import types as T
 from ..functions.text import strip
 
 PARTITIONS = ("PROC_DATE", "BRANCH_CODE")
+#: The map of inferred columns, and the folder that holds each table's column names.
+CELLS, COLUMNS = "cells", "_COLUMNS"
 SHADOW_TABLES = ("DEP_SHADOW_FILE", "LOAN_SHADOW_FILE")
 BRANCH_COLUMNS = ("HEAD_OFFICE", "REGIONAL_OFFICE", "BRANCH_NAME", "DISTRICT", "ADDRESS", "CONTACT_NO", "BRANCH_CODE")
 # Fixed value: column width of the reference's staging tables; longer text is reported, never cut.
@@ -56,31 +59,57 @@ def stage(df: DataFrame, root: str, table: str) -> None:
     """Replace exactly the (date, branch) pairs present in the rows, whatever file they came from.
 
     Shadow files carry neither; there the file is the unit of replacement. The rebalance hint
-    lets a pair with very many rows be written by several tasks.
+    lets a pair with very many rows be written by several tasks. A table of no rows yet is there too, with its columns: the
+    names are kept beside the table, those of inferred columns from the rows' own.
     """
     keys = ["source_file"] if table in SHADOW_TABLES else list(PARTITIONS)
     (
         df.hint("rebalance", *keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy(*keys).parquet(f"{root}/{table}")
     )
+    if CELLS in df.columns:
+        names = df.select(F.explode(F.map_keys(CELLS)).alias("name")).distinct()
+    else:
+        names = df.sparkSession.createDataFrame([(c,) for c in df.columns], "name string")
+    known = _known_columns(df.sparkSession, root, table)
+    new = names if known is None else names.join(known, "name", "left_anti")
+    if known is None or new.limit(1).count():
+        new.coalesce(1).write.mode("append").parquet(f"{root}/{COLUMNS}/{table}")
+
+
+def _known_columns(spark: SparkSession, root: str, table: str) -> DataFrame | None:
+    try:
+        return spark.read.schema("name string").parquet(f"{root}/{COLUMNS}/{table}")
+    except AnalysisException:
+        return None
 
 
 def read_staged(spark: SparkSession, root: str, table: str) -> DataFrame:
-    """Partition values stay text (``00001`` is not 1); blank ones are stored as NULL and read as empty."""
+    """Partition values stay text (``00001`` is not 1); blank ones are stored as NULL and read as empty. Inferred columns
+    are flat columns, empty where a file does not have them; a table that was staged without rows is empty."""
     path = f"{root}/{table}"
-    found = spark.read.parquet(path).schema
+    known = _known_columns(spark, root, table)
+    names = sorted(r.name for r in known.distinct().collect()) if known is not None else []  # columns of one table
+    try:
+        found = spark.read.parquet(path).schema
+    except AnalysisException:
+        if not names:
+            raise
+        return spark.createDataFrame([], ", ".join(f"`{n}` string" for n in names))
     # Partition columns come last, in partition order; a table stored flat keeps its columns as they are.
     keys = next((k for k in (list(PARTITIONS), ["source_file"]) if found.names[-len(k):] == k), [])
     schema = T.StructType([T.StructField(f.name, T.StringType()) if f.name in keys else f for f in found.fields])
-    return spark.read.schema(schema).parquet(path).withColumns({k: F.coalesce(F.col(k), F.lit("")) for k in keys})
+    rows = spark.read.schema(schema).parquet(path).withColumns({k: F.coalesce(F.col(k), F.lit("")) for k in keys})
+    # A column that is named like one of the file's own (branch, date) keeps the file's value where the row has none.
+    return widen(rows, [n for n in names if n.upper() not in map(str.upper, rows.columns)]) if CELLS in rows.columns else rows
 
 
 def widen(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows whose columns were inferred per file, with the named ones as flat columns."""
-    if "cells" not in df.columns:
-        return df
-    named = {c: F.coalesce(F.try_element_at("cells", F.lit(c)), F.lit("")) for c in columns}
-    return df.withColumns(named).drop("cells")
+    """Rows with the named columns as flat ones, from the map of inferred columns where there is one; absent ones are empty."""
+    if CELLS not in df.columns:
+        return df.withColumns({c: F.lit("") for c in columns if c not in df.columns})
+    named = {c: F.coalesce(F.try_element_at(CELLS, F.lit(c)), F.lit("")) for c in columns}
+    return df.withColumns(named).drop(CELLS)
 
 
 def read_branch_seed(spark: SparkSession, path: str, array: bool = False) -> DataFrame:

@@ -16,31 +16,32 @@ _FILE = "path string, modificationTime timestamp, length bigint, content binary"
 
 
 def arriving_files(spark: SparkSession, folder: str, per_batch: int = 1000) -> DataFrame:
+    """Names of the files that arrive; their contents are not read here."""
     return (
         spark.readStream.format("binaryFile").schema(_FILE).option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.{txt,txt.gz}").option("maxFilesPerTrigger", per_batch).load(folder)
-        .filter(files.report_path(F.col("path"), folder))
+        .select("path").filter(files.report_path(F.col("path"), folder))
     )
 
 
-def _batch(root: str, work: str):
+def _batch(root: str, work: str, limit: int):
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        decoded = files.decode_files(batch)
-        area = f"{work}/batch={batch_id}"
-        decoded.write.mode("overwrite").parquet(f"{area}/decoded")
-        stored = spark.read.parquet(f"{area}/decoded")
-        done = ingest.ingest_lines(spark, stored.filter("error IS NULL").drop("error"), root, area)
+        spark, area = batch.sparkSession, f"{work}/batch={batch_id}"
+        names = [r.path for r in batch.collect()]  # at most ``per_batch``
+        if not names:
+            return
+        lines, failed = files.read_listed(spark, names, area, limit)
+        done = ingest.ingest_lines(spark, lines, root, area)
         skipped = done.filter("layout IS NULL").select("path", F.lit("no layout").alias("error"))
-        stored.filter("error IS NOT NULL").select("path", "error").unionByName(skipped).write.mode(
-            "overwrite").parquet(f"{root}/_quarantine/batch={batch_id}")
+        failed.unionByName(skipped).write.mode("overwrite").parquet(f"{root}/_quarantine/batch={batch_id}")
 
     return run
 
 
-def ingest_arrivals(spark: SparkSession, folder: str, root: str, work: str, per_batch: int = 1000) -> StreamingQuery:
-    """Ingest what is there now and stop; run again for later files. ``work`` is a shared folder."""
+def ingest_arrivals(spark: SparkSession, folder: str, root: str, work: str, per_batch: int = 1000, limit: int = files.BINARY_LIMIT) -> StreamingQuery:
+    """Ingest what is there now and stop; run again for later files. ``work`` is a shared folder. Plain text of any size is read in
+    splits; damaged ``.gz`` files, and those over ``limit`` bytes, go to the quarantine table."""
     return (
-        arriving_files(spark, folder, per_batch).writeStream.foreachBatch(_batch(root, work))
+        arriving_files(spark, folder, per_batch).writeStream.foreachBatch(_batch(root, work, limit))
         .option("checkpointLocation", f"{work}/checkpoint").trigger(availableNow=True).start()
     )

@@ -262,4 +262,86 @@ def test_classification_and_outcomes(make_lines):
 def test_files_without_date_or_branch_keep_their_rows(spark):
     rows = [("a", "2025-04-28", "00001", 1), ("b", "2025-04-28", "00001", 2), ("a", "", "", 3), ("b", "", "", 4), ("a", "2025-04-28", "", 5), ("b", "2025-04-28", "", 6), ("c", None, "00001", 7)]
     got = ingest._one_file_per_pair(spark.createDataFrame(rows, "path string, PROC_DATE string, BRANCH_CODE string, n int"))
-    assert got.columns == ["path", "PROC_DATE", "BRANCH_CODE", "n"] and sorted(r.n for r in got.collect()) == [2, 3, 4, 5, 6, 7]
+    assert got.columns == ["path", "PROC_DATE", "BRANCH_CODE", "n", "superseded"] and sorted(r.n for r in got.collect() if not r.superseded) == [2, 3, 4, 5, 6, 7]
+    assert [r.n for r in got.collect() if r.superseded] == [1]
+
+
+@pytest.mark.parametrize("streamed", [False, True])
+def test_plain_zipped_mislabelled_cut_and_oversized_files(spark, tmp_path, streamed):
+    from ledgerlake.streaming import arrival
+
+    base = tmp_path / "in"
+    base.mkdir()
+    report = lambda branch, n: "\n".join(_report(branch, "28/04/2025", [str(i) for i in range(1, n + 1)])).encode()
+    (base / "plain.txt").write_bytes(report("00001", 400))  # longer than the limit, which is not for plain text
+    (base / "zipped.txt.gz").write_bytes(gzip.compress(report("00002", 3)))
+    (base / "mislabelled.txt.gz").write_bytes(report("00003", 2))
+    (base / "cut.txt.gz").write_bytes(gzip.compress(report("00004", 3))[:-9])
+    (base / "oversized.txt.gz").write_bytes(report("00005", 400))
+    (base / "empty.txt").write_bytes(b"")
+    stage, work, limit = str(tmp_path / "stage"), str(tmp_path / "work"), 20_000
+    if streamed:
+        arrival.ingest_arrivals(spark, str(base), stage, work, per_batch=2, limit=limit).awaitTermination()
+        failed = {r.path.rsplit("/", 1)[-1]: r.error for r in spark.read.parquet(f"{stage}/_quarantine/*").collect()}
+    else:
+        done = ingest.ingest(spark, str(base), stage, work, limit).collect()
+        failed = {r.path.rsplit("/", 1)[-1]: r.error for r in done if r.error}
+        assert {r.path.rsplit("/", 1)[-1]: r.staged for r in done if r.layout} == {"plain.txt": 400, "zipped.txt.gz": 3, "mislabelled.txt.gz": 2}
+    assert set(failed) == {"cut.txt.gz", "oversized.txt.gz"} and failed["oversized.txt.gz"].startswith("TooLarge")
+    staged = staging.read_staged(spark, stage, "DEPOSITS_BALANCE_FILE_DEPD0586")
+    assert {r.BRANCH_CODE: r["count"] for r in staged.groupBy("BRANCH_CODE").count().collect()} == {"00001": 400, "00002": 3, "00003": 2}
+
+
+def test_a_report_without_rows_leaves_its_table(spark, make_lines, tmp_path):
+    lines = make_lines({"a.txt": _report("00061", "28/04/2025", [])})
+    ingest.ingest_lines(spark, lines, str(tmp_path / "stage"), str(tmp_path / "work"))
+    staged = staging.read_staged(spark, str(tmp_path / "stage"), "DEPOSITS_BALANCE_FILE_DEPD0586")
+    assert staged.count() == 0 and {"ACCOUNT_NUMBER", "BRANCH_CODE", "PROC_DATE"} <= set(staged.columns)
+
+
+def test_inferred_columns_need_no_python(spark, make_lines):
+    lines = make_lines(["SR    ACCT NO     NAME", "----- ----------- --------", "1     402         RAHUL K"])
+    for way in (inferred.dash_columns, inferred.blank_columns, inferred.ruled_columns, inferred.piped_ruled_columns, inferred.grid_columns, inferred.pipe_columns, sniff.structure):
+        plan = way(lines)._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan, way
+
+
+def test_occupied_positions_of_long_lines(spark, make_lines):
+    from ledgerlake.operators import occupancy
+
+    texts = ["a" + " " * 200 + "b", "", "  c", "é\U0001f600 x", "y" * 63 + " " + "z" * 63]
+    found = occupancy.occupancy(make_lines(texts).repartition(3), "path")
+    want = {i for t in texts for i, ch in enumerate(t) if ch != " "}
+    ink = occupancy.ink(found, "path").first().ink
+    assert {i for i, ch in enumerate(ink) if ch == "1"} == want and len(ink) % occupancy.BITS == 0
+    assert occupancy.inked_count(found, "path").first().inked == len(want)
+
+
+def test_grid_with_page_header_closing_rule_and_late_gate(make_lines):
+    rule = "|---------|------|------|"
+    page = [rule, "| ACCOUNT | INT RATE    |", "| NO      | OLD  | NEW  |", rule]
+    got = cells(inferred.grid_columns(make_lines([*page, "| 402     | 7.0  | 7.5  |", rule, *page, "| 403     | 7.1  | 7.6  |", rule])))
+    assert got == [{"ACCOUNT_NO": "402", "INT_RATE_OLD": "7.0", "INT_RATE_NEW": "7.5"}, {"ACCOUNT_NO": "403", "INT_RATE_OLD": "7.1", "INT_RATE_NEW": "7.6"}]
+    late = ["| ACCOUNT | OLD  | NEW  |", *[f"| {400 + i}     | 7.0  | 7.5  |" for i in range(40)], rule]
+    got = cells(inferred.grid_columns(make_lines(late)))
+    assert [g["ACCOUNT"] for g in got] == [str(400 + i) for i in range(40)]
+    # Title cells that do not match the columns: every cell that overlaps one names it.
+    odd = ["| A    | B  | C  |", "|-----------|----|", "| 1         | 2  |"]
+    assert cells(inferred.grid_columns(make_lines(odd))) == [{"A_B": "1", "C": "2"}]
+
+
+def test_pages_of_one_order(spark):
+    from ledgerlake.operators import explore
+
+    rows = spark.createDataFrame([(str(i % 7), f"n{i}", None if i % 11 == 0 else i) for i in range(300)], "BALANCE string, name string, n int").repartition(4)
+    for down in (False, True):
+        near = [tuple(r) for k in range(1, 4) for r in explore.page(rows, descending=down, number=k, size=100).collect()]
+        far = [tuple(r) for k in range(1, 5) for r in explore.page(rows, descending=down, number=k, size=100, deep=0).collect()]
+        assert near == far and len({r[1] for r in far}) == 300 and {r[3] for r in far} == {300}
+        walked, last = [], None
+        while True:
+            page = explore.page_after(rows, last, descending=down, size=90).collect()
+            if not page:
+                break
+            walked, last = walked + [tuple(r) for r in page], page[-1].asDict()
+        assert walked == [r[:3] for r in far]

@@ -11,6 +11,7 @@ import gzip
 import pandas as pd
 from pyspark.sql import functions as F
 
+from ledgerlake.plans import reports, warehouse
 from ledgerlake.sources import extract, files, inferred, ingest, lines, metadata, routing, sniff, staging
 from ledgerlake.sources.layouts import LAYOUTS
 from ledgerlake.streaming import arrival
@@ -281,10 +282,14 @@ def inventory(t):
     return files.inventory_of(t.sql(_PATHS))
 
 
+#: The largest file that the query opens; longer ones are reported.
+_OPENED_BYTES = 20_000
+
+
 def _packed(batches):
-    """Every German text gzipped, the others plain under the same kind of name."""
+    """German texts gzipped, French ones gzipped and cut, the others plain under the same kind of name."""
     for b in batches:
-        content = [gzip.compress(x.encode()) if lang == "de" else x.encode() for x, lang in zip(b["text"], b["lang"])]
+        content = [gzip.compress(x.encode()) if lang == "de" else gzip.compress(x.encode())[:-12] if lang == "fr" else x.encode() for x, lang in zip(b["text"], b["lang"])]
         yield pd.DataFrame({"path": "doc/" + b["doc_id"].astype(str) + ".txt.gz", "content": content})
 
 
@@ -292,11 +297,17 @@ def _document_files(t):
     return t.given("documents").select("doc_id", "lang", "text").mapInPandas(_packed, "path string, content binary")
 
 
-@query("src_03_decode_lines", """select 'doc/' || cast(doc_id as varchar) || '.txt.gz' as path, len(l)::bigint as lines, list_sum(list_transform(l, lambda x: length(x)))::bigint as characters
-    from (select doc_id, string_split(regexp_replace(text, chr(10) || '$', ''), chr(10)) as l from documents) d""")
+@query("src_03_decode_lines", f"""with f as (select 'doc/' || cast(doc_id as varchar) || '.txt.gz' as path, lang, text,
+      case when lang = 'fr' then 'cut' when lang <> 'de' and octet_length(encode(text)) > {_OPENED_BYTES} then 'too large' else 'whole' end as outcome from documents)
+    select path, outcome, case outcome when 'whole' then len(string_split(regexp_replace(text, chr(10) || '$', ''), chr(10))) else 0 end::bigint as lines,
+    case outcome when 'whole' then list_sum(list_transform(string_split(regexp_replace(text, chr(10) || '$', ''), chr(10)), lambda x: length(x))) else 0 end::bigint as characters from f""")
 def decode_lines(t):
-    rows = files.decode_files(_document_files(t)).filter("error IS NULL")
-    return rows.groupBy("path").agg(F.count("*").alias("lines"), F.sum(F.length("line")).alias("characters"))
+    path = t.place("decoded documents", lambda path: files.decode_files(_document_files(t), _OPENED_BYTES).write.parquet(path))
+    lines, failed = files.whole_files(t.spark.read.parquet(path))
+    whole = lines.groupBy("path").agg(F.lit("whole").alias("outcome"), F.count("*").alias("lines"), F.sum(F.length("line")).alias("characters"))
+    none = F.lit(0).cast("bigint")
+    outcome = F.when(F.col("error").startswith("TooLarge"), "too large").otherwise("cut")
+    return whole.unionByName(failed.select("path", outcome.alias("outcome"), none.alias("lines"), none.alias("characters")))
 
 
 _META = " union all ".join(
@@ -486,29 +497,113 @@ def csv_export(t):
     return t.spark.read.schema("c_custkey bigint, label string").option("header", True).option("escape", '"').csv(f"{root}/csv")
 
 
+def _report_folder(t) -> str:
+    """One deposits report a branch, below its all-digit folder, every other one gzipped; the first branch's once more in a folder
+    that comes last, and a file that no layout knows."""
+    def make(root: str) -> None:
+        rows = t.lines(_DEP).withColumn("branch", F.regexp_extract("path", r"/(\d+)\.txt", 1))
+        branches = sorted(r.branch for r in rows.select("branch").distinct().collect())  # 25 nations
+        for i, branch in enumerate([*branches, branches[0]]):
+            folder = branch if i < len(branches) else "99999"
+            one = rows.filter(F.col("branch") == branch).repartition(1).sortWithinPartitions("line_no").select("line")
+            one.write.option("compression", "gzip" if i % 2 else "none").text(f"{root}/{folder}")
+        t.spark.range(3).selectExpr("'nothing known ' || id").coalesce(1).write.text(f"{root}/77777")
+
+    return t.place("report folder", make)
+
+
 @query("src_25_arriving_files", f"""select {code('c_nationkey')} as BRANCH_CODE, '28/04/2025' as PROC_DATE, count(*) as rows from customer group by 1, 2""")
 def arriving_files(t):
-    """One report file per branch, written as text, picked up by the stream in several batches."""
+    """Report files, plain and gzipped, picked up by the stream in several batches; the second run finds nothing new."""
     root = shared_folder(t.spark)
-    rows = t.sql(_DEP)
-    ordered = rows.repartition("path").sortWithinPartitions("path", "line_no")
-    ordered.select("line", F.substring(F.regexp_extract("path", r"/(\d+)\.txt", 1), 1, 5).alias("branch")).write.partitionBy("branch").text(f"{root}/made")
-    _lay_out_folders(t.spark, f"{root}/made", f"{root}/in")
     for _ in range(2):
-        arrival.ingest_arrivals(t.spark, f"{root}/in", f"{root}/stage", f"{root}/work", per_batch=10).awaitTermination()
+        arrival.ingest_arrivals(t.spark, _report_folder(t), f"{root}/stage", f"{root}/work", per_batch=10).awaitTermination()
     staged = staging.read_staged(t.spark, f"{root}/stage", "DEPOSITS_BALANCE_FILE_DEPD0586")
     return staged.groupBy("BRANCH_CODE", "PROC_DATE").agg(F.count("*").alias("rows"))
 
 
-def _lay_out_folders(spark, made: str, folder: str) -> None:
-    """Moves ``branch=00001/part-x.txt`` to ``00001/report.txt`` with the file system's own rename."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path
-    fs = path(made).getFileSystem(conf)
-    for status in fs.listStatus(path(made)):
-        name = status.getPath().getName()
-        if name.startswith("branch="):
-            target = path(f"{folder}/{name[7:]}")
-            fs.mkdirs(target)
-            for i, part in enumerate(fs.listStatus(status.getPath())):
-                fs.rename(part.getPath(), path(f"{folder}/{name[7:]}/report{i}.txt"))
+@query("src_18_ingest_outcome", """select layout, count(*) as files, sum(staged)::bigint as staged, sum(superseded)::bigint as superseded from (
+    select 'DEPOSITS_BALANCE_FILE_DEPD0586' as layout, case when c_nationkey = (select min(c_nationkey) from customer) then 0 else count(*) end as staged,
+      case when c_nationkey = (select min(c_nationkey) from customer) then count(*) else 0 end as superseded from customer group by c_nationkey
+    union all select 'DEPOSITS_BALANCE_FILE_DEPD0586', count(*), 0 from customer where c_nationkey = (select min(c_nationkey) from customer)
+    union all select 'none', 0, 0) f group by 1""")
+def ingest_outcome(t):
+    """Every file with what became of its rows: staged, or superseded by a later file of the same branch and day."""
+    root = shared_folder(t.spark)
+    done = ingest.ingest(t.spark, _report_folder(t), f"{root}/stage", f"{root}/work")
+    return done.groupBy(F.coalesce("layout", F.lit("none")).alias("layout")).agg(F.count("*").alias("files"), F.sum("staged").alias("staged"), F.sum("superseded").alias("superseded"))
+
+
+# ---------------------------------------------------------------- inferred reports from text to dashboard
+
+_MOVEMENTS = {
+    report_id: _report(report_id, report_id, [_WIDE_RULE, f"'{kind} DATE   ACCOUNT NUMBER   ACCOUNT NAME                PRODUCT   BALANCE'", _WIDE_RULE], _detail(
+        report_id, "100 + o_orderkey", pad((dmy("o_orderdate"), 14), (code("o_orderkey", 12), 17), ("c_name", 28), ("case o_orderpriority when '1-URGENT' then '6001' when '2-HIGH' then '3001' else '5012' end", 10))
+        + f" || {money('o_totalprice')}", ORDERS, "c_nationkey"))
+    for report_id, kind in (("ACTOPN-01", "OPENED"), ("ACTCLS-01", "CLOSED"))
+}
+
+
+def _inferred_stage(t) -> str:
+    def make(root: str) -> None:
+        text = " union all ".join([_INFERRED, *_MOVEMENTS.values()])
+        ingest.ingest_lines(t.spark, t.lines(text), f"{root}/stage", f"{root}/work")
+
+    return t.place("inferred reports", make) + "/stage"
+
+
+def _staged_npa(t):
+    return staging.read_staged(t.spark, _inferred_stage(t), "LIST_OF_NPA_ACCOUNTS")
+
+
+_LISTED = f"(select o_orderpriority as DESCRIPT, {money('o_totalprice')} as OUTSTANDING, {code('c_nationkey')} as BRANCH_CODE, cast(o_totalprice as decimal(18,2)) as v from {ORDERS_PLAIN})"
+
+
+@query("lay_08_staged_rows", f"""select BRANCH_CODE, '28/04/2025' as PROC_DATE, 'NPALIST1' as REPORT_ID, DESCRIPT, OUTSTANDING, count(*) as rows from {_LISTED} l group by all""")
+def staged_rows(t):
+    return _staged_npa(t).groupBy("BRANCH_CODE", "PROC_DATE", "REPORT_ID", "DESCRIPT", "OUTSTANDING").agg(F.count("*").alias("rows"))
+
+
+@query("q_41_staged_metrics", f"""select l.BRANCH_CODE, replace(n_name, '_', ' ') as BRANCH_NAME, 'OUTSTANDING' as metric, round(sum(cast(v as double)), 2) as total from {_LISTED} l
+    join nation on {code('n_nationkey')} = l.BRANCH_CODE group by all""")
+def staged_metrics(t):
+    return reports.auto_metrics(_staged_npa(t), "LIST_OF_NPA_ACCOUNTS")
+
+
+@query("q_42_staged_facilities", f"select DESCRIPT as category, round(sum(cast(v as double)), 2) as amount, round(sum(cast(v as double)) / (select sum(cast(v as double)) from {_LISTED} a) * 100, 2) as pct from {_LISTED} l group by 1")
+def staged_facilities(t):
+    return reports.npa_by_facility(_staged_npa(t), period="1Y")
+
+
+@query("q_32_staged_branches", f"""select substring(coalesce(n.REGIONAL_OFFICE, 'Unknown Region'), 1, 15) as name, round(sum(cast(v as double)), 2) as npa from {_LISTED} l left join network n on l.BRANCH_CODE = n.BRANCH_CODE
+    group by n.REGIONAL_OFFICE""", "network")
+def staged_branches(t):
+    return reports.npa_by_branch(_staged_npa(t), t("network"), period="6M")
+
+
+@query("q_31_staged_totals", f"""select round(abs(sum(try_cast(DR_BALANCE as double))), 2) as total_loans, (select round(sum(cast(v as double)), 2) from {_LISTED} l) as total_npa from loan_detail""", "loan_detail")
+def staged_totals(t):
+    return reports.loan_npa_totals(t("loan_detail"), _staged_npa(t))
+
+
+@query("q_46_staged_trend", f"select '2025-04-28' as name, 0.0::double as value, round(sum(cast(v as double)) / 100000, 2) as npa_lakhs from {_LISTED} l")
+def staged_trend(t):
+    return reports.npa_trend(_staged_npa(t), t("loan_totals"))
+
+
+_MOVED_ROWS = f"select cast(o_orderdate as date) as day, {code('o_orderkey', 12)} as ACCOUNT_NO, {code('c_nationkey')} as BRANCH_CODE, o_orderpriority, cast(o_totalprice as decimal(18,2)) as v from {ORDERS_PLAIN}"
+
+
+@query("etl_20_staged_opened", f"""select cast(day as varchar) as OPENED_DATE, BRANCH_CODE, count(*) as accounts, cast(sum(v) as double) as BALANCE, cast(sum(cast(ACCOUNT_NO as bigint)) as bigint) as keys from ({_MOVED_ROWS}) m group by all""")
+def staged_opened(t):
+    house = warehouse.Warehouse(t.spark, _inferred_stage(t), shared_folder(t.spark))
+    warehouse.load_opened(house)
+    return house.table(warehouse.OPENED).groupBy("OPENED_DATE", "BRANCH_CODE").agg(
+        F.count("*").alias("accounts"), F.sum("BALANCE").alias("BALANCE"), F.sum(F.col("ACCOUNT_NO").cast("bigint")).alias("keys"))
+
+
+@query("etl_21_staged_closed", f"""select cast(day as varchar) as CLOSED_DATE, BRANCH_CODE, count(*) as accounts, cast(sum(cast(ACCOUNT_NO as bigint)) as bigint) as keys from ({_MOVED_ROWS}) m group by all""")
+def staged_closed(t):
+    house = warehouse.Warehouse(t.spark, _inferred_stage(t), shared_folder(t.spark))
+    warehouse.load_closed(house)
+    return house.table(warehouse.CLOSED).groupBy("CLOSED_DATE", "BRANCH_CODE").agg(F.count("*").alias("accounts"), F.sum(F.col("ACCOUNT_NO").cast("bigint")).alias("keys"))
