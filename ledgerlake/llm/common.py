@@ -156,13 +156,14 @@ def components(links: DataFrame) -> DataFrame:
     least, so a round leaves at most half of the nodes, whatever the ids and the shape of the links; rounds go on until no link
     is left. Links and labels are stored each round and stay distributed. Hot nodes are met by aggregates that are combined
     before the shuffle and by joins that can be split. Nodes without a link are not returned."""
-    both = links.filter("a <> b").select("a", "b").unionAll(links.filter("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = stored(both.distinct(), "links")
-    label = stored(both.select(F.col("a").alias("node")).distinct().select("node", F.col("node").alias("component")), "labels")
+    ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    ends = lambda some: some.select("a", "b").unionAll(some.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    some = stored(links.filter("a <> b").select(*ordered("a", "b")).distinct(), "links")
+    label = stored(ends(some).select(F.col("a").alias("node")).distinct().select("node", F.col("node").alias("component")), "labels")
     salt = 0
-    while both.limit(1).count():
+    while some.limit(1).count():
         drawn = lambda c, salt=salt: F.xxhash64(c, F.lit(salt))
-        near = stored(both.groupBy(F.col("a").alias("node")).agg(F.min_by("b", drawn("b")).alias("root")), "near")
+        near = stored(ends(some).groupBy(F.col("a").alias("node")).agg(F.min_by("b", drawn("b")).alias("root")), "near")
         # Choices can only go round between two nodes that choose each other: the first of them is the root.
         up = near.select(F.col("node").alias("root"), F.col("root").alias("up"))
         first = F.when(drawn("node") < drawn("root"), F.col("node")).otherwise(F.col("root"))
@@ -176,7 +177,7 @@ def components(links: DataFrame) -> DataFrame:
         up = root.select(F.col("node").alias("component"), F.col("root").alias("up"))
         label = stored(label.join(up, "component", "left").select("node", F.coalesce("up", "component").alias("component")), "labels")
         a, b = root.select(F.col("node").alias("a"), F.col("root").alias("x")), root.select(F.col("node").alias("b"), F.col("root").alias("y"))
-        both = stored(both.join(a, "a").join(b, "b").filter("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "links")
+        some = stored(some.join(a, "a").join(b, "b").filter("x <> y").select(*ordered("x", "y")).distinct(), "links")
         salt += 1
     least = label.groupBy("component").agg(F.min("node").alias("least"))
     return stored(label.join(least, "component").select("node", F.col("least").alias("component")), "labels")

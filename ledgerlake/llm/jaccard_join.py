@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER, components, mixed, shingles, signed, slices, stored, utf8
@@ -33,6 +33,8 @@ LEAST_COST = 40
 LEAST_PART = 8
 #: Hubs that a node is compared with in each round, and rounds, before the full search between components.
 HUBS, ROUNDS = 4, 2
+#: Words of bits that stand for a prefix where pairs meet.
+MARKS = 4
 UNIT_BYTES = 8 << 20
 MOST_SEEN = 500_000
 
@@ -213,17 +215,38 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataF
     return stored(chosen.mapInArrow(run, "node bigint, set binary").dropDuplicates(["node"]), "whole")
 
 
+def _needed(a: str, b: str) -> Column:
+    """Shingles that the prefixes of a candidate share at least: the smaller l, and what the threshold leaves. Where x's prefix
+    ends before y's in the order of all shingles, each shingle of x's prefix that y's lacks is one that y lacks; the threshold
+    allows n_x less the least overlap of them."""
+    overlap = F.ceil(SHARE * (F.col(f"n_{a}") + F.col(f"n_{b}")) / (100 + SHARE))
+    asked = lambda s: overlap - F.ceil(SHARE * F.col(f"n_{s}") / 100) + F.col(f"l_{s}")
+    least = F.when(F.col(f"end_{a}") < F.col(f"end_{b}"), asked(a)).when(F.col(f"end_{b}") < F.col(f"end_{a}"), asked(b)).otherwise(F.least(asked(a), asked(b)))
+    return F.greatest(F.least(f"l_{a}", f"l_{b}"), least)
+
+
+def marks() -> list[Column]:
+    """Aggregates: the bits that a prefix's shingles set in ``MARKS`` words, and how many shingles came to a bit already set."""
+    word = F.expr(f"token & {MARKS - 1}")
+    bit = F.expr("shiftleft(1L, cast(shiftright(token, 8) & 63 as int))")
+    words = [F.bit_or(F.when(word == k, bit).otherwise(F.lit(0).cast("bigint"))) for k in range(MARKS)]
+    hidden = F.count("*") - sum((F.bit_count(w) for w in words[1:]), F.bit_count(words[0]))
+    return [*[w.alias(f"mark{k}") for k, w in enumerate(words)], hidden.cast("int").alias("hidden")]
+
+
+def _may_share(a: str, b: str) -> Column:
+    """At most as many shingles as bits set on both sides and those hidden behind another can be shared."""
+    both = [F.bit_count(F.col(f"mark{k}_{a}").bitwiseAND(F.col(f"mark{k}_{b}"))) for k in range(MARKS)]
+    return sum(both[1:], both[0]) + F.least(f"hidden_{a}", f"hidden_{b}")
+
+
 def possible(pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """Of pairs ``(a, b)`` the candidates: their whole prefixes share the smaller l at least. Where x's prefix ends before y's in
-    the order of all shingles, each shingle of x's prefix that y's lacks is one that y lacks; the threshold allows n_x less
-    the least overlap of them. So whole sets, many times as long, are made for few of the pairs that meet."""
+    """Of pairs ``(a, b)`` the candidates: their whole prefixes share what they need to. So whole sets, many times as long, are made
+    for few of the pairs that meet."""
     for s in "ab":
         pairs = pairs.join(prefixes.select(F.col("node").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("tokens", "n", "l", "end")]), s)
     both = F.size(F.array_intersect("tokens_a", "tokens_b"))
-    overlap = F.ceil(SHARE * (F.col("n_a") + F.col("n_b")) / (100 + SHARE))
-    asked = lambda s: overlap - F.ceil(SHARE * F.col(f"n_{s}") / 100) + F.col(f"l_{s}")
-    least = F.when(F.col("end_a") < F.col("end_b"), asked("a")).when(F.col("end_b") < F.col("end_a"), asked("b")).otherwise(F.least(asked("a"), asked("b")))
-    return pairs.filter((both >= F.least("l_a", "l_b")) & (both >= least)).select("a", "b")
+    return pairs.filter(both >= _needed("a", "b")).select("a", "b")
 
 
 def met_by_hubs(posted: DataFrame, component: DataFrame | None, turn: int) -> DataFrame:
@@ -240,8 +263,9 @@ def met_by_hubs(posted: DataFrame, component: DataFrame | None, turn: int) -> Da
     return best.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
 
-def between(posted: DataFrame, component: DataFrame) -> DataFrame:
-    """Candidate pairs of nodes in different components.
+def between(posted: DataFrame, component: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """Candidate pairs of nodes in different components. Rows carry a few words of bits of their node's prefix, so that two
+    nodes that have little more in common than a frequent passage do not become a pair.
 
     Let x be the larger set of a pair and y the smaller one. A pair that links shares 2 * 0.75 / 1.75 of y's shingles at
     least and 0.75 of x's. So with r = max(1, m / LEAST_PART), which neither l is below, its first r shared shingles lie among the
@@ -260,27 +284,37 @@ def between(posted: DataFrame, component: DataFrame) -> DataFrame:
     placed = open_.select("token", "node", "n", "pos", "component", as_larger.alias("larger"), as_smaller.alias("smaller"), place(as_larger).alias("at_larger"), place(as_smaller).alias("at_smaller"))
     larger = F.col("larger") & (F.col("at_larger") >= asked_of(F.ceil(SHARE * n / 100)))
     smaller = F.col("smaller") & (F.col("at_smaller") >= asked_of(n))
-    rest = stored(placed.select("token", "node", "n", "component", (n - pos - 1).alias("behind"), asked_of(n).alias("r"), larger.alias("larger"), smaller.alias("smaller")).filter("larger or smaller"), "rest")
-    a, b = (rest.filter(role).select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "component", "behind", "r")]) for role, s in (("larger", "a"), ("smaller", "b")))
+    rest = placed.select("token", "node", "n", "component", (n - pos - 1).alias("behind"), asked_of(n).alias("r"), larger.alias("larger"), smaller.alias("smaller")).filter("larger or smaller")
+    carried = ["l", "end", "hidden", *[f"mark{k}" for k in range(MARKS)]]
+    rest = stored(rest.join(prefixes.select("node", *carried), "node"), "rest")
+    a, b = (rest.filter(role).select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "component", "behind", "r", *carried)]) for role, s in (("larger", "a"), ("smaller", "b")))
     enough = b["r_b"] + F.least(a["behind_a"], b["behind_b"]) >= F.ceil(SHARE * (a["n_a"] + b["n_b"]) / (100 + SHARE))
-    fits = ((b["n_b"] < a["n_a"]) | ((b["n_b"] == a["n_a"]) & (b["node_b"] < a["node_a"]))) & (a["component_a"] != b["component_b"]) & (100 * b["n_b"] >= SHARE * a["n_a"]) & enough
+    fits = ((b["n_b"] < a["n_a"]) | ((b["n_b"] == a["n_a"]) & (b["node_b"] < a["node_a"]))) & (a["component_a"] != b["component_b"]) & (100 * b["n_b"] >= SHARE * a["n_a"]) & enough & (_may_share("a", "b") >= _needed("a", "b"))
     return a.join(b, (a["token"] == b["token"]) & fits).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
+def one_each(links: DataFrame) -> DataFrame:
+    """One link of each node. What the others would join is found again by the search between components, which leaves
+    out no pair."""
+    ends = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    chosen = ends.groupBy("a").agg(F.min("b").alias("b"))
+    return chosen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(key, n_shingles, component_id)`` of each row; the component's id is its smallest key (an integer)."""
     docs = docs.select(key, text)
     described_, counts = described(docs, key, text)
     posted = shared(postings(docs, counts, text), bool(heavy_buckets(counts).any()))
     posted = stored(promising(posted), "promising")
-    prefixes = stored(posted.groupBy("node").agg(F.collect_list("token").alias("tokens"), *[F.min(c).alias(c) for c in ("n", "l", "end")]), "prefixes")
+    prefixes = stored(posted.groupBy("node").agg(F.collect_list("token").alias("tokens"), *[F.min(c).alias(c) for c in ("n", "l", "end")], *marks()), "prefixes")
     one = stored(described_.filter("n > 0").groupBy("node").agg(F.min("doc").alias("doc")), "nodes")
     links, joined = None, None
     for turn in range(ROUNDS):
-        found = confirmed(possible(met_by_hubs(posted, joined, turn), prefixes), docs, one, key, text)
+        found = one_each(confirmed(possible(met_by_hubs(posted, joined, turn), prefixes), docs, one, key, text))
         links = stored(found if links is None else links.unionAll(found), "first")
         joined = components(links)
-    more = stored(confirmed(possible(between(posted, joined), prefixes), docs, one, key, text), "second")
+    more = stored(confirmed(possible(between(posted, joined, prefixes), prefixes), docs, one, key, text), "second")
     if more.limit(1).count():
         joined = components(links.unionAll(more))
     node = one.join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "doc")
