@@ -3,8 +3,10 @@
 Base kinds (assigned values, access key ids, long hexadecimal runs) are reported as matched. Long base64 and hexadecimal runs
 are reported as further kinds only when their decoded bytes parse: ``der`` is a private key as nested, exactly fitting
 DER lengths, ``openssh`` a private key in OpenSSH's own format, ``jwt`` a signed token whose header is JSON with an
-algorithm. A run between PEM lines is decoded as one candidate. Each text is scanned whole, in Arrow batches in the tasks;
-nothing is shuffled.
+algorithm, ``armour`` an encrypted body between PEM lines whose headers say so. Key bodies are taken with what they are
+wrapped in: line breaks of any width, escaped breaks (``\\n`` written out, as in JSON and environment files), header lines
+behind the BEGIN line, the URL alphabet, hexadecimal with a digit too many. A DER key says in its first bytes how long it is, and
+so many digits are taken from there on. Each text is scanned whole, in Arrow batches in the tasks; nothing is shuffled.
 
 Defined cases: a null text is empty and has no spans; repeated rows are scanned alike; an empty table gives an empty one;
 columns of the input named like a result are replaced by it."""
@@ -31,13 +33,23 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 
 #: Candidates of the structural kinds.
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
-BASE64 = re.compile(r"[A-Za-z0-9+/]{40,}={0,2}")
+BEGIN = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----")
+HEADER = re.compile(r"^[A-Za-z][A-Za-z0-9-]*: .*$", re.MULTILINE)
+DIGITS = re.compile(r"[A-Za-z0-9+/]+={0,2}")
+LONG = re.compile(r"[A-Za-z0-9+/]{40,}={0,2}")
+LONG_URL = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{40,}={0,2}")
 LONG_HEX = re.compile(r"[0-9A-Fa-f]{64,}")
 JWT = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
-KINDS = ("assign", "access", "hex", "der", "openssh", "jwt")
+#: A line break inside a wrapped body, written as it is or escaped, with the indentation around it.
+BREAK = re.compile(r"[ \t]*(?:\\r)?(?:\\n|\r?\n|\r)[ \t]*")
+#: Digits of the longest key body that is looked for (an RSA key of 65,536 bits has some 50,000).
+MOST_DIGITS = 1 << 17
+KINDS = ("assign", "access", "hex", "der", "openssh", "jwt", "armour")
 _ORDER = {k: i for i, k in enumerate(KINDS)}
 
+#: Identifiers of password-based encryption, PKCS #5 and PKCS #12.
+ENCRYPTIONS = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
+
 
 def element(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
     """Tag, first and end byte of the content of one DER element, or None where lengths do not fit."""
@@ -68,20 +80,25 @@ def children(data: bytes, at: int, end: int) -> list[tuple[int, int, int]] | Non
 
 def is_der_key(data: bytes) -> bool:
     """A sequence over all bytes that holds a version and then the numbers of an RSA or DSA key, an EC key's octets, or an
-    algorithm and an octet string (a wrapped key)."""
+    algorithm and an octet string (a wrapped key); or, without a version, an encryption and an octet string."""
     whole = element(data, 0, len(data))
     if whole is None or whole[0] != 0x30 or whole[2] != len(data):
         return False
     parts = children(data, whole[1], whole[2])
-    if not parts or len(parts) < 3 or parts[0][0] != 0x02 or parts[0][2] - parts[0][1] != 1 or data[parts[0][1]] > 3:
+    if not parts or len(parts) < 2:
+        return False
+    tags, size = [p[0] for p in parts], lambda p: p[2] - p[1]
+    if tags == [0x30, 0x04]:
+        inner = children(data, parts[0][1], parts[0][2])
+        return bool(inner) and inner[0][0] == 0x06 and data[inner[0][1] : inner[0][2]].startswith(ENCRYPTIONS) and size(parts[1]) >= 16
+    if tags[0] != 0x02 or size(parts[0]) != 1 or data[parts[0][1]] > 3:
         return False
-    tags = [p[0] for p in parts]
-    numbers = len(parts) >= 6 and all(t == 0x02 for t in tags)
-    curve = tags[1] == 0x04 and parts[1][2] - parts[1][1] >= 16 and tags[2] & 0xE0 == 0xA0
-    if tags[1] == 0x30 and tags[2] == 0x04:
+    if tags[1] == 0x04:  # an EC key; curve and public key may be left out
+        return 16 <= size(parts[1]) <= 72 and data[parts[0][1]] == 1 and all(t & 0xE0 == 0xA0 for t in tags[2:])
+    if tags[1] == 0x30 and len(tags) > 2 and tags[2] == 0x04:
         inner = children(data, parts[1][1], parts[1][2])
-        return bool(inner) and inner[0][0] == 0x06 and parts[2][2] - parts[2][1] >= 16
-    return numbers or curve
+        return bool(inner) and inner[0][0] == 0x06 and size(parts[2]) >= 16
+    return len(parts) >= 6 and all(t == 0x02 for t in tags)
 
 
 def is_openssh_key(data: bytes) -> bool:
@@ -111,6 +128,64 @@ def key_kind(data: bytes) -> str | None:
     return "der" if is_der_key(data) else "openssh" if is_openssh_key(data) else None
 
 
+def der_size(head: bytes) -> int | None:
+    """How many bytes the sequence that begins here takes up, or None where none begins."""
+    if len(head) < 6 or head[0] != 0x30:
+        return None
+    n = head[1] & 0x7F if head[1] & 0x80 else 0
+    if n > 4 or (head[1] & 0x80 and (n == 0 or head[2] == 0)):
+        return None
+    return 2 + n + (int.from_bytes(head[2 : 2 + n], "big") if n else head[1])
+
+
+def wrapped(text: str, at: int, digits: int | None = None) -> tuple[str, int]:
+    """The digits from a place on, over line breaks, and where they end: as many as asked for, or else those of all lines as
+    wide as the first and of one shorter line."""
+    out, taken, width = [], 0, 0
+    while m := DIGITS.match(text, at):
+        piece = m[0] if digits is None else m[0][: digits - taken]
+        if digits is None and out and len(piece) > width:
+            break
+        out.append(piece)
+        taken, at = taken + len(piece), m.start() + len(piece)
+        if taken == digits or taken > MOST_DIGITS or piece.endswith("=") or (digits is None and width and len(piece) < width):
+            break
+        width = width or len(piece)
+        if not (gap := BREAK.match(text, at)) or not DIGITS.match(text, gap.end()):
+            break
+        at = gap.end()
+    return "".join(out), at
+
+
+def encoded_key(text: str, at: int) -> tuple[int, str] | None:
+    """Where the key encoded from a place on ends, and its kind."""
+    size = der_size(_decoded(text[at : at + 12]))
+    if size is not None and size * 4 <= MOST_DIGITS * 3:
+        body, end = wrapped(text, at, -(-size // 3) * 4)
+        if key_kind(_decoded(body)):
+            return end, "der"
+    elif text.startswith("b3BlbnNzaC1rZXktdjEA", at):
+        body, end = wrapped(text, at)
+        if is_openssh_key(_decoded(body)):
+            return end, "openssh"
+    return None
+
+
+def armoured(text: str) -> Iterator[tuple[int, int, str]]:
+    """Bodies between PEM lines. A body that its headers call encrypted is told by them and by whole cipher blocks."""
+    begins = list(BEGIN.finditer(text))
+    for k, m in enumerate(begins):
+        close = f"-----END {m[1]}-----"
+        end = text.find(close, m.end(), begins[k + 1].start() if k + 1 < len(begins) else len(text))
+        if end < 0:
+            continue
+        body = re.sub(r"(?:\\r)?\\n|\\r", "\n", text[m.end() : end])
+        data = _decoded(HEADER.sub("", body))
+        kind = key_kind(data) or ("armour" if "ENCRYPTED" in body and len(data) >= 32 and len(data) % 8 == 0 else None)
+        if kind:
+            yield m.start(), end + len(close), kind
+
+
 def is_signed_token(text: str) -> bool:
     header, payload, _ = text.split(".")
     try:
@@ -120,6 +195,9 @@ def is_signed_token(text: str) -> bool:
     return all(isinstance(x, dict) for x in parts) and isinstance(parts[0].get("alg"), str)
 
 
+_PLAIN = str.maketrans("-_", "+/")
+
+
 def scan(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of all spans in code points, by start and then by the order of kinds."""
     found = []
@@ -129,16 +207,27 @@ def scan(text: str) -> list[tuple[int, int, str]]:
     if "AKIA" in text:
         found += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
     found += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
-    extra = set()
-    if "-----BEGIN" in text:
-        extra |= {(m.start(), m.end(), kind) for m in PEM.finditer(text) if (kind := key_kind(_decoded(m[2])))}
-    inside = [(a, b) for a, b, _ in extra]
-    for m in BASE64.finditer(text):
-        if not any(a <= m.start() < b for a, b in inside) and (kind := key_kind(_decoded(m[0]))):
-            extra.add((m.start(), m.end(), kind))
+    extra = set(armoured(text)) if "-----BEGIN" in text else set()
+    done = 0
+    inside = sorted((a, b) for a, b, _ in extra)
+    for m in LONG.finditer(text):
+        start = m.start() + (1 if text[m.start() - 1 : m.start() + 1] == "\\n" and m.start() else 0)  # the n of an escaped break
+        if start < done or any(a <= start < b for a, b in inside):
+            continue
+        if one := encoded_key(text, start):
+            extra.add((start, one[0], one[1]))
+            done = one[0]
+    for m in LONG_URL.finditer(text):
+        if ("-" in m[0] or "_" in m[0]) and (size := der_size(_decoded(m[0][:12].translate(_PLAIN)))) is not None:
+            body = m[0][: -(-size * 4 // 3)]
+            if not any(a <= m.start() < b for a, b in inside) and is_der_key(_decoded(body.translate(_PLAIN))):
+                extra.add((m.start(), m.start() + len(body), "der"))
     for m in LONG_HEX.finditer(text):
-        if len(m[0]) % 2 == 0 and (kind := key_kind(bytes.fromhex(m[0]))):
-            extra.add((m.start(), m.end(), kind))
+        for skip in (0, 1):  # a digit too many may stand on either side
+            size = der_size(bytes.fromhex(m[0][skip : skip + 12]))
+            if size is not None and skip + 2 * size <= len(m[0]) and is_der_key(bytes.fromhex(m[0][skip : skip + 2 * size])):
+                extra.add((m.start() + skip, m.start() + skip + 2 * size, "der"))
+                break
     if "eyJ" in text:
         extra |= {(m.start(), m.end(), "jwt") for m in JWT.finditer(text) if is_signed_token(m[0])}
     return sorted([*found, *extra], key=lambda s: (s[0], _ORDER[s[2]], s[1]))
