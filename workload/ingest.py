@@ -432,12 +432,30 @@ def _classes(t):
     return sniff.classify(sniff.delimiters(rows), sniff.structure(rows), metadata.extract_metadata(rows))
 
 
-@query("src_13_classification")
+_SHAPE_LINES = f"(select path, line from ({_EVEN_PLAIN}) e union all select path, line from {_DOC_LINES} d)"
+_ALL_LINES = f"(select path, line_no, line from ({_EVEN_PLAIN}) e union all select path, line_no, line from {_DOC_LINES} d)"
+
+
+def _classified(source: str, known: bool) -> str:
+    """Path, format, delimiter, confidence and status of each file of (path, line_no, line); ``known``: all name their report."""
+    shape, ink = (x.replace(_SHAPE_LINES, source) for x in (_SHAPE, _INK.replace(_SHAPE, "(select * from shape)")))
+    bonus = f"least(1.0, confidence + {sniff.KNOWN_ID_BONUS})" if known else "confidence"
+    return f"""(with delims as ({_DELIMS.replace(_DOC_LINES, source)}), shape as ({shape}), ink as ({ink}),
+      s as (select shape.path, structure as format, case structure when 'FIXED_WIDTH' then case when n > 2 and lo - coalesce(inked, 0) > 5 then 0.95 else 0.8 end when 'WHITESPACE' then 0.7 else 0 end::double as confidence
+        from shape left join ink on shape.path = ink.path),
+      b as (select path, 'DELIMITED' as format, delimiter, confidence::double as confidence, preference from delims union all select path, format, '', confidence, {len(sniff.DELIMITERS)} from s),
+      best as (select * from b where confidence >= {sniff.ACCEPT} qualify row_number() over (partition by path order by confidence desc, preference) = 1),
+      c as (select f.path, coalesce(format, 'UNKNOWN') as format, coalesce(delimiter, '') as delimiter, case when format is null then 0.0 else {bonus} end::double as confidence
+        from (select distinct path from {source} l) f left join best on f.path = best.path)
+      select *, case when confidence >= {sniff.READY} then 'READY' when confidence >= {sniff.REVIEW} then 'REVIEW' else 'UNKNOWN' end as status from c)"""
+
+
+@query("src_13_classification", f"select format, delimiter, status, count(*) as files, round(avg(confidence), 2) as confidence from {_classified(_ALL_LINES, False)} c group by all")
 def classification(t):
     return _classes(t).groupBy("format", "delimiter", "status").agg(F.count("*").alias("files"), F.avg("confidence").alias("confidence"))
 
 
-@query("src_14_classification_report")
+@query("src_14_classification_report", f"select format as detected_format, status, count(*) as files from {_classified(_ALL_LINES, False)} c group by all")
 def classification_report(t):
     classes = _classes(t)
     sizes = _shape_lines(t).groupBy("path").agg(F.sum(F.length("line") + 1).alias("size_bytes"))
@@ -446,7 +464,13 @@ def classification_report(t):
     return t.spark.read.option("header", True).option("escape", '"').csv(f"{root}/file_classification").groupBy("detected_format", "status").agg(F.count("*").alias("files"))
 
 
-@query("src_15_batch_summary")
+_NPA_LINES = "(" + _NPA.replace("{", "").replace("}", "") + ")"
+_NPA_ROWS = f"(select {_file('NPAD0001', 'c_nationkey')} as path, count(*) as records from {ORDERS_PLAIN} group by 1)"
+
+
+@query("src_15_batch_summary", f"""select count(*) as total_files, count(*) filter (where status = 'READY') as successful, count(*) filter (where status = 'REVIEW') as review,
+    count(*) filter (where status = 'UNKNOWN') as unknown, 0::bigint as failed, coalesce(sum(records) filter (where status = 'READY'), 0)::bigint as total_records,
+    coalesce(sum(records) filter (where status = 'READY'), 0)::bigint as valid_records, 0::bigint as invalid_records from {_classified(_NPA_LINES, True)} c left join {_NPA_ROWS} r on c.path = r.path""")
 def batch_summary(t):
     rows = t.lines(_NPA)
     classes = sniff.classify(sniff.delimiters(rows), sniff.structure(rows), metadata.extract_metadata(rows))
