@@ -338,18 +338,33 @@ def test_license_scan_short_tables(spark):
         assert sorted(r["doc_id"] for r in got.collect()) == list(range(len(some)))
 
 
-def test_search_of_many_projections(spark):
-    """With as many projections as on a table of 33 million rows, no query's probes may stop short of the wanted share."""
+@pytest.mark.parametrize("near", [0.3, 0.5, 0.7])
+def test_probes_suffice_on_very_large_tables(near):
+    """On a table of a thousand million rows fewer than one query in twenty may lack probes."""
     random_ = np.random.default_rng(11)
     sample = random_.standard_normal((500, 16))
-    norm = float(np.linalg.norm(sample, axis=1).max())
-    index = lsh_search.Index(16, 33_000_000, norm, sample, 20)
-    assert index.hashes == 8
-    index.near = 0.3
-    for p in index.projected(sample[:5], True)[0]:
-        assert index.probes(p, 0) is None
-    queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(sample[:5])], "id bigint, vec array<double>")
-    assert lsh_search.packs(queries, index, True).count() == 0
+    index = lsh_search.Index(16, 10**9, float(np.linalg.norm(sample, axis=1).max()), sample, 20)
+    assert index.hashes == lsh_search.HASHES
+    index.near = near
+    projected = index.projected(sample[:40], True)
+    lacking = sum(any(index.probes(projected[t][q], t) is None for t in range(lsh_search.TABLES)) for q in range(40))
+    assert lacking < 2, lacking
+
+
+def test_recall_with_all_projections(spark, monkeypatch):
+    """The largest number of projections on a small table: recall of the nearest 20 of clustered vectors."""
+    random_ = np.random.default_rng(13)
+    centres = random_.standard_normal((40, 32))
+    vectors = centres[random_.integers(0, 40, 4000)] + 0.5 * random_.standard_normal((4000, 32))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id bigint, embedding array<double>").repartition(4)
+    monkeypatch.setattr(lsh_search, "BUCKET", 0.5)  # as many projections as on the largest table
+    got = lsh_search.search(df, F.col("id") % 100 == 0).toPandas()
+    hit = 0
+    for q in range(0, 4000, 100):
+        score = vectors @ vectors[q]
+        score[q] = -np.inf
+        hit += len(set(np.argsort(-score)[:20].tolist()) & set(got[got["query_id"] == q]["vec_id"].tolist()))
+    assert hit / (40 * 20) >= 0.9
 
 
 def test_search_falls_back_to_all_vectors(spark, monkeypatch):
