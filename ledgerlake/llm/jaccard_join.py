@@ -228,7 +228,7 @@ def possible(pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
 
 def met_by_hubs(posted: DataFrame, component: DataFrame | None, turn: int) -> DataFrame:
     """Pairs of a node and, for each of ``HUBS`` random orders, the hub that shares most tokens with it; a token's hub is its
-    first node in that order. Only tokens of more than one component count. There are no more pairs than ``HUBS`` a node."""
+    first node in that order. Only tokens of more than one component count. There are no more pairs ``(a node, b hub)`` than ``HUBS`` a node."""
     known = posted.withColumn("component", F.col("node"))
     if component is not None:
         known = posted.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -237,7 +237,14 @@ def met_by_hubs(posted: DataFrame, component: DataFrame | None, turn: int) -> Da
     met = known.join(ends, "token").select("node", "l", F.posexplode(F.array(*[f"hub{k}" for k in range(HUBS)])).alias("k", "hub")).filter("node <> hub")
     met = met.groupBy("node", "hub", "k").agg(F.count("*").alias("both"), F.min("l").alias("l"))
     best = met.groupBy("node", "k").agg(F.max_by("hub", F.struct("both", "hub")).alias("hub"))
-    return best.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    return best.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+
+
+def chained(links: DataFrame) -> DataFrame:
+    """Links that join the same components as ``(a node, b hub)``: a node keeps one of its ``HUBS`` links at most, and its hubs are linked with each
+    other. A large group has few hubs, so that about one link a node is left."""
+    low = F.min("b").over(Window.partitionBy("a"))
+    return links.withColumn("low", low).select(F.when(F.col("b") == F.col("low"), F.col("a")).otherwise(F.col("low")).alias("a"), "b").distinct()
 
 
 def between(posted: DataFrame, component: DataFrame) -> DataFrame:
@@ -275,14 +282,14 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     posted = stored(promising(posted), "promising")
     prefixes = stored(posted.groupBy("node").agg(F.collect_list("token").alias("tokens"), *[F.min(c).alias(c) for c in ("n", "l", "end")]), "prefixes")
     one = stored(described_.filter("n > 0").groupBy("node").agg(F.min("doc").alias("doc")), "nodes")
-    links, joined = None, None
+    joined = None
+    of_before = lambda: joined.select(F.col("node").alias("a"), F.col("component").alias("b"))
     for turn in range(ROUNDS):
-        found = confirmed(possible(met_by_hubs(posted, joined, turn), prefixes), docs, one, key, text)
-        links = stored(found if links is None else links.unionAll(found), "first")
-        joined = components(links)
+        links = chained(confirmed(possible(met_by_hubs(posted, joined, turn), prefixes), docs, one, key, text))
+        joined = components(stored(links if joined is None else links.unionAll(of_before()), "first"))
     more = stored(confirmed(possible(between(posted, joined), prefixes), docs, one, key, text), "second")
     if more.limit(1).count():
-        joined = components(links.unionAll(more))
+        joined = components(of_before().unionAll(more))
     node = one.join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "doc")
     least = node.groupBy("component").agg(F.min("doc").alias("component_id"))
     named = stored(node.join(least, "component").select("node", "component_id"), "named")
