@@ -33,6 +33,8 @@ LEAST_COST = 40
 LEAST_PART = 8
 #: Hubs that a node is compared with in each round, and rounds, before the full search between components.
 HUBS, ROUNDS = 4, 2
+#: Shingles before a shingle that tell whether a pair met already.
+LOOK_BACK = 4
 UNIT_BYTES = 8 << 20
 MOST_SEEN = 500_000
 
@@ -254,7 +256,9 @@ def between(posted: DataFrame, component: DataFrame) -> DataFrame:
     least and 0.75 of x's. So with r = max(1, m / LEAST_PART), which neither l is below, its first r shared shingles lie among the
     first m - ceil(0.857 m) + r of y and the first n - ceil(0.75 n) + r of x. The one of these r that the fewest nodes have is
     still there after y has laid its r - 1 most frequent ones aside, and x as many as any y asks; only on such rows do
-    pairs meet. What follows such a shingle in both orders, with r, has to reach the overlap that the threshold asks."""
+    pairs meet. What follows such a shingle in both orders, with r, has to reach the overlap that the threshold asks. A pair
+    that meets on many shingles has most of them one soon after the other: a row carries the ``LOOK_BACK`` shingles before it, and where one
+    of them is common the pair met there, since more follows it in both orders."""
     known = posted.join(component, "node", "left").select("token", "node", "n", "pos", F.coalesce("component", "node").alias("component"))
     ends = known.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("often"))
     open_ = stored(known.join(ends.filter("low <> high").select("token", "often"), "token"), "open")
@@ -267,10 +271,13 @@ def between(posted: DataFrame, component: DataFrame) -> DataFrame:
     placed = open_.select("token", "node", "n", "pos", "component", as_larger.alias("larger"), as_smaller.alias("smaller"), place(as_larger).alias("at_larger"), place(as_smaller).alias("at_smaller"))
     larger = F.col("larger") & (F.col("at_larger") >= asked_of(F.ceil(SHARE * n / 100)))
     smaller = F.col("smaller") & (F.col("at_smaller") >= asked_of(n))
-    rest = stored(placed.select("token", "node", "n", "component", (n - pos - 1).alias("behind"), asked_of(n).alias("r"), larger.alias("larger"), smaller.alias("smaller")).filter("larger or smaller"), "rest")
-    a, b = (rest.filter(role).select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "component", "behind", "r")]) for role, s in (("larger", "a"), ("smaller", "b")))
+    rows = placed.select("token", "node", "n", "pos", "component", (n - pos - 1).alias("behind"), asked_of(n).alias("r"), larger.alias("larger"), smaller.alias("smaller")).filter("larger or smaller")
+    earlier = Window.partitionBy("node").orderBy("pos").rowsBetween(-LOOK_BACK, -1)
+    before = [F.collect_list(F.when(F.col(role), F.col("token"))).over(earlier).alias(f"before_{role}") for role in ("larger", "smaller")]
+    rest = stored(rows.select("token", "node", "n", "component", "behind", "r", "larger", "smaller", *before), "rest")
+    a, b = (rest.filter(role).select("token", F.col(f"before_{role}").alias(f"before_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "component", "behind", "r")]) for role, s in (("larger", "a"), ("smaller", "b")))
     enough = b["r_b"] + F.least(a["behind_a"], b["behind_b"]) >= F.ceil(SHARE * (a["n_a"] + b["n_b"]) / (100 + SHARE))
-    fits = ((b["n_b"] < a["n_a"]) | ((b["n_b"] == a["n_a"]) & (b["node_b"] < a["node_a"]))) & (a["component_a"] != b["component_b"]) & (100 * b["n_b"] >= SHARE * a["n_a"]) & enough
+    fits = ((b["n_b"] < a["n_a"]) | ((b["n_b"] == a["n_a"]) & (b["node_b"] < a["node_a"]))) & (a["component_a"] != b["component_b"]) & (100 * b["n_b"] >= SHARE * a["n_a"]) & enough & ~F.arrays_overlap(a["before_a"], b["before_b"])
     return a.join(b, (a["token"] == b["token"]) & fits).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 

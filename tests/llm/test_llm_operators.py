@@ -300,6 +300,30 @@ def test_license_scan(spark):
     assert not {d for d, _ in got} & {*range(n), n + 2}
 
 
+def test_jaccard_links_kept(spark):
+    """Chained links join what they joined before; the search between components meets every linked pair, once or a few times."""
+    rnd = random.Random(8)
+    stars = [(node, hub) for node in range(100, 400) for hub in rnd.sample(range(12), rnd.randint(1, 4))] + [(500, 501), (501, 500)]
+    links = spark.createDataFrame(stars, "a bigint, b bigint").repartition(3)
+    less = jaccard_join.chained(links)
+    groups = lambda some: {tuple(r) for r in common.components(some).collect()}
+    assert groups(less) == groups(links) and less.count() <= 300 + 12 * 11 + 2
+
+    texts = near_copies(random.Random(9))
+    docs = documents(spark, texts)
+    described, counts = jaccard_join.described(docs, "doc_id", "text")
+    node_of = {r["doc"]: r["node"] for r in described.collect()}
+    posted = jaccard_join.promising(jaccard_join.shared(jaccard_join.postings(docs.select("doc_id", "text"), counts, "text"), False))
+    alone = spark.createDataFrame([], "node bigint, component bigint")
+    met = {frozenset((r["a"], r["b"])) for r in jaccard_join.between(posted, alone).collect()}
+    sets = {}
+    for i, t in enumerate(texts):
+        w = words(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets[node_of[i]] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or ({tuple(w)} if w else set())
+    linked = {frozenset((x, y)) for x in sets for y in sets if x < y and sets[x] and sets[y] and 100 * len(sets[x] & sets[y]) >= 75 * len(sets[x] | sets[y])}
+    assert linked and linked <= met
+
+
 def test_jaccard_shared_tokens(spark):
     """Tokens of one node go, copies come once, frequent and ordinary tokens alike."""
     rows = [(token, node, 9, 1, 0, token % 3, token >= 10) for token in range(20) for node in range(1 + token % 4) for _ in range(2)]
