@@ -239,7 +239,8 @@ def met_by_hubs(posted: DataFrame, component: DataFrame | None, turn: int) -> Da
     met = known.join(ends, "token").select("node", "l", F.posexplode(F.array(*[f"hub{k}" for k in range(HUBS)])).alias("k", "hub")).filter("node <> hub")
     met = met.groupBy("node", "hub", "k").agg(F.count("*").alias("both"), F.min("l").alias("l"))
     best = met.groupBy("node", "k").agg(F.max_by("hub", F.struct("both", "hub")).alias("hub"))
-    return best.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    once = best.groupBy(F.least("node", "hub").alias("x"), F.greatest("node", "hub").alias("y")).agg(F.min("node").alias("a"))
+    return once.select("a", F.when(F.col("a") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("b"))
 
 
 def chained(links: DataFrame) -> DataFrame:
