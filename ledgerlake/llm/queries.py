@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import os
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
 from . import bpe, curve_packing, jaccard_join, lexical_tree, license_scan, line_dedup, lsh_search, negative_mining, quality_model, quality_rules, secret_scan, streaming_dedup, url_filter
 from .line_dedup import line_gone
 from .registry import query, table
 
-#: The folder of the public tokenizers; a parameter of every query that needs one.
-TOKENIZERS = os.environ.get("TOKENIZER_FOLDER", "/opt/tokenizers")
-WORD_BPE = f"{TOKENIZERS}/word_bpe_49k.json"
+#: The vocabulary of the queries that need one, a parameter of their operators; ``TOKENIZER_FOLDER`` names another folder.
+_FOLDER = os.environ.get("TOKENIZER_FOLDER")
+WORD_BPE = os.path.join(_FOLDER, "word_bpe_49k.json") if _FOLDER else public_tokenizers.path("word_bpe_49k.json")
 
 
 @query("op3_quality_rules", quality_rules.judge_sql())
