@@ -9,7 +9,7 @@ Title lines that a later page repeats are not rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.pieces import (
@@ -153,14 +153,20 @@ def _named_or_spilled(columns: Column, header: Column) -> Column:
 
 def blank_columns(lines: DataFrame) -> DataFrame:
     """The line under the first rule is the header, the lines under the second one data; columns part midway between inked runs."""
-    rows = without_boilerplate(grid_as_blanks(lines)).withColumn("text", strip(raw_line()))
-    ruled = rows.filter(made_of(F.col("text"), "-"))
-    first = ruled.groupBy("path").agg(F.min("line_no").alias("_first"))
-    second = ruled.join(first, "path").filter("line_no > _first").groupBy("path", "_first").agg(F.min("line_no").alias("_second"))
-    header = rows.join(second, "path").filter("line_no > _first").groupBy("path", "_first", "_second").agg(F.min_by("line", "line_no").alias("_header"))
-    titles = rows.join(second, "path").filter("line_no < _first").select("path", "text").distinct()
+    rows = without_boilerplate(grid_as_blanks(lines)).select("path", "line_no", "line")
+    text = strip(raw_line())
+    ruled = made_of(text, "-")
+    nth = F.dense_rank().over(Window.partitionBy("path").orderBy("line_no"))
+    two = rows.filter(ruled & F.col("line_no").isNotNull()).withColumn("_nth", nth).filter("_nth <= 2")
+    at = lambda value, n: F.min_by(value, F.when(F.col("_nth") == n, F.col("line_no")))
+    second = two.groupBy("path").agg(at("line_no", 1).alias("_first"), at("line_no", 2).alias("_second"), at("line", 2).alias("_rule")).filter("_second is not null")
+    # All other lines meet the rules in one shuffle, the same for the three that follow.
+    placed = rows.filter(~ruled).join(second, "path")
+    above = placed.filter("line_no > _first and line_no < _second").groupBy("path").agg(F.min_by("line", "line_no").alias("_over"))
+    header = second.join(above, "path", "left").select("path", F.coalesce("_over", "_rule").alias("_header"))
+    titles = placed.filter("line_no < _first").select("path", text.alias("text")).distinct()
     data = (
-        rows.filter(~made_of(F.col("text"), "-")).join(header, "path").filter((F.col("line_no") > F.col("_second")) & (F.col("text") != strip("_header")))
+        placed.filter("line_no > _second").select("path", "line_no", "line", text.alias("text")).join(header, "path").filter(F.col("text") != strip("_header"))
         .join(titles, ["path", "text"], "left_anti").select("path", "line_no", "line")
     )
     shown = data.select("path", "line").unionAll(header.join(data.select("path").distinct(), "path", "left_semi").select("path", F.col("_header").alias("line")))

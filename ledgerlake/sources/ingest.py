@@ -21,20 +21,22 @@ def routed_files(lines: DataFrame) -> DataFrame:
 
 
 def tables(lines: DataFrame, routed: DataFrame, layouts: list[str]) -> dict[str, DataFrame]:
-    """Staging rows per layout, with ``superseded``. ``lines`` should be stored by layout (see ``ingest``)."""
+    """Staging rows per layout. ``lines`` should be stored by layout (see ``ingest``)."""
     out = {}
     for layout in layouts:
         mine = lines.filter(F.col("layout") == layout).select("path", "line_no", "line")
         rows = parse(mine, layout)
-        if layout in staging.SHADOW_TABLES:
-            rows = rows.withColumn(SUPERSEDED, F.lit(False))
-        else:
-            rows = _one_file_per_pair(_attach(rows, routed))
+        if layout not in staging.SHADOW_TABLES:
+            rows = _attach(rows, routed)
         rows = rows.withColumn("source_file", files.file_name(F.col("path")))
         out[layout] = staging.align(rows, rows.columns) if layout in LAYOUTS else rows
     return out
 
 
+def _judged(rows: DataFrame, layout: str) -> DataFrame:
+    return rows.withColumn(SUPERSEDED, F.lit(False)) if layout in staging.SHADOW_TABLES else _one_file_per_pair(rows)
+
+
 def _attach(rows: DataFrame, routed: DataFrame) -> DataFrame:
     full = metadata.attach(rows, routed)
     if "_known_name" in full.columns:
@@ -44,6 +46,8 @@ def _attach(rows: DataFrame, routed: DataFrame) -> DataFrame:
 
 
 SUPERSEDED = "superseded"
+#: Bytes of a row group of stored lines. Lines pack to a few bytes each and take long to parse, and a row group is read by one task.
+LINE_GROUP = 2 * 2**20
 
 
 def _one_file_per_pair(rows: DataFrame) -> DataFrame:
@@ -73,14 +77,16 @@ def ingest_lines(spark: SparkSession, lines: DataFrame, root: str, work: str) ->
     routed_files(stored).write.mode("overwrite").parquet(f"{work}/files")
     routed = spark.read.parquet(f"{work}/files")
     split = stored.join(routed.filter("layout IS NOT NULL").select("path", "layout"), "path")
-    split.hint("rebalance", "layout").write.mode("overwrite").partitionBy("layout").parquet(f"{work}/by_layout")
+    split.hint("rebalance", "layout").write.mode("overwrite").option("parquet.block.size", LINE_GROUP).partitionBy("layout").parquet(f"{work}/by_layout")
     # At most one name per layout comes to the driver.
     present = [r.layout for r in routed.select("layout").filter("layout IS NOT NULL").distinct().collect()]
     counts = spark.createDataFrame([], "path string, staged bigint, superseded bigint")
     if present:
         by_layout = spark.read.parquet(f"{work}/by_layout")
         for name, df in tables(by_layout, routed, sorted(present)).items():
-            # Parsed once, superseded rows apart: they are kept and counted, not staged.
+            # Parsed once: which file comes last is asked of the stored rows. Superseded rows lie apart: they are kept and counted, not staged.
+            df.write.mode("overwrite").parquet(f"{work}/attached/{name}")
+            df = _judged(spark.read.schema(df.schema).parquet(f"{work}/attached/{name}"), name)
             parsed = f"{work}/parsed/{name}"
             df.write.mode("overwrite").partitionBy(SUPERSEDED).parquet(parsed)
             rows = spark.read.schema(df.schema).parquet(parsed)

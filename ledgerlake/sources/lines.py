@@ -29,7 +29,7 @@ def grid_as_blanks(lines: DataFrame) -> DataFrame:
 
     A plus sign after an amount is lost too.
     """
-    flat = lines.withColumn("line", F.translate("line", "|+", "  "))
+    flat = lines.withColumn("line", F.replace(F.replace("line", F.lit("|"), F.lit(" ")), F.lit("+"), F.lit(" ")))
     text = strip(F.col("line"))
     return flat.filter((text != "") & ~text.startswith("==="))
 

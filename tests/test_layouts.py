@@ -3,6 +3,7 @@
 import gzip
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerlake.sources import files, inferred, ingest, layouts, metadata, routing, sniff, staging
 from ledgerlake.sources.layouts import LAYOUTS
@@ -345,3 +346,36 @@ def test_pages_of_one_order(spark):
                 break
             walked, last = walked + [tuple(r) for r in page], page[-1].asDict()
         assert walked == [r[:3] for r in far]
+
+
+def test_words_are_sought_in_one_look_at_the_text(spark):
+    from ledgerlake.functions.text import has_any, made_of
+
+    values = ["", None, "---", "- -", "-=-=", "a-", "--\n", "|+|", "TOTAL:", "a.b", "axb", "[x]", "^", "é--"]
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    hit, made = has_any(F.upper("v"), ("A.B", "TOTAL:", "[X]", "|+")), made_of(F.upper("v"), "-=")
+    got = {r.v: (r.hit, r.made) for r in df.select("v", hit.alias("hit"), made.alias("made")).collect()}
+    assert {v for v, (h, _) in got.items() if h} == {"a.b", "TOTAL:", "[x]", "|+|"} and {v for v, (_, m) in got.items() if m} == {"---", "-=-="}
+    assert got[None] == (None, None)
+    for test in (hit, made):
+        assert df.filter(test)._jdf.queryExecution().optimizedPlan().toString().count("upper(") == 1
+
+
+def test_blank_positions_read_the_lines_in_few_ways(make_lines):
+    lines = ["BANK LTD", "-" * 40, "NO       BALANCE", "-" * 40, "1        5.00", "BANK LTD", "NO       BALANCE", "2        6.00"]
+    rows = inferred.blank_columns(make_lines({"a.txt": lines, "b.txt": ["-" * 40, "-" * 40, "1  2"], "c.txt": ["-" * 40, "x"]}))
+    assert [(r.path, r.line_no, r.cells) for r in rows.orderBy("path", "line_no").collect()] == [
+        ("a.txt", 4, {"NO": "1", "BALANCE": "5.00"}), ("a.txt", 7, {"NO": "2", "BALANCE": "6.00"}), ("b.txt", 2, {"COL": "1  2"})]
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("min(line_no") == 0
+
+
+def test_stored_lines_are_shared_by_many_tasks(spark, tmp_path):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    detail = F.concat(F.rpad(F.sha2(F.col("id").cast("string"), 256), 70, " "), F.lit("5.00"))
+    lines = spark.range(120_000).select(F.lit("GL/1.txt").alias("path"), F.col("id").alias("line_no"), F.when(F.col("id") == 0, "REPORT ID : GL1012-01").otherwise(detail).alias("line"))
+    ingest.ingest_lines(spark, lines.coalesce(1), f"{tmp_path}/stage", f"{tmp_path}/work")
+    files = glob.glob(f"{tmp_path}/work/by_layout/*/*.parquet")
+    assert sum(pq.ParquetFile(f).num_row_groups for f in files) > len(files)
