@@ -148,3 +148,23 @@ def test_dashboards_read_only_their_day(house):
     plan = dashboards.business_mix(house.table(warehouse.ACCOUNTS))._jdf.queryExecution().executedPlan().toString()
     # The newest day, a subquery, is a partition filter of the scan: no filter is left above it.
     assert "isnotnull(SNAPSHOT_DATE" in plan.split("PartitionFilters: ")[1].split("PushedFilters")[0] and "Subquery" in plan and "Filter (" not in plan, plan
+
+
+def test_a_fact_lays_out_only_the_tables_it_loads(spark, tmp_path):
+    import os
+
+    from workload import loads
+    from workload.standins import Tables
+
+    made = {
+        "region": "select 1L as r_regionkey, 'ASIA' as r_name", "nation": "select 1L as n_nationkey, 1L as n_regionkey, 'N_1' as n_name",
+        "customer": "select 1L as c_custkey, 'A' as c_name, 1L as c_nationkey, 'BUILDING' as c_mktsegment, 5.0D as c_acctbal",
+        "supplier": "select 1L as s_suppkey, 'S' as s_name, 1L as s_nationkey, 5.0D as s_acctbal",
+        "orders": "select 1L as o_orderkey, 1L as o_custkey, 'F' as o_orderstatus, 9.0D as o_totalprice, timestamp '1996-01-02' as o_orderdate, '5-LOW' as o_orderpriority",
+    }
+    for name, text in made.items():
+        spark.sql(text).write.parquet(f"{tmp_path}/{name}.parquet")
+    t = Tables(spark, str(tmp_path))
+    assert loads.fact(t, warehouse.ACCOUNTS).count() == 3
+    folder = t.staging().removeprefix("file://")
+    assert sorted(n for n in os.listdir(folder) if not n.startswith(".")) == sorted(loads._TABLES[n] for n in loads.ACCOUNT_SOURCES.split())
