@@ -46,6 +46,28 @@ def test_copies_are_counted_in_the_chosen_report_only(spark):
     assert [r.copies for r in got] == [2]
 
 
+def _scans(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
+
+
+def test_each_risk_report_is_read_once_and_meets_in_one_shuffle(spark, tmp_path):
+    for name, rows in {risk.STATEMENT: _statement(spark, [{"ACCT_NO": "6", "PROC_DATE": "28/04/2025", "BRANCH_CODE": "1"}]), risk.DRAWING: _drawing(spark, "6")}.items():
+        rows.write.parquet(f"{tmp_path}/{name}")
+    found = risk.loan_risk({n: spark.read.parquet(f"{tmp_path}/{n}") for n in (risk.STATEMENT, risk.DRAWING)}, with_copies=True)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert _scans(found) == 2 and plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan, plan
+    assert [(float(r.DRAWING_POWER), r.copies) for r in found.collect()] == [(9.0, 1)]
+
+
+def test_foremost_row_and_greatest_update_by_value(spark):
+    rows = _statement(spark, [
+        {"ACCT_NO": "6", "PROC_DATE": "28/04/2025", "BRANCH_CODE": "1", "NAME": n} for n in ("B", "A", None)])
+    power = _drawing(spark, "6").union(_drawing(spark, "6").withColumns({"DRAWING_POWER": F.lit("9.50"), "OUTSTANDING": F.lit(None).cast("string")})).union(
+        _drawing(spark, "6").withColumn("DRAWING_POWER", F.lit(None).cast("string"))).union(_drawing(spark, "7"))
+    got = risk.loan_risk({risk.STATEMENT: rows, risk.DRAWING: power}, with_copies=True).collect()
+    assert [(r.ACCOUNT_NO, r.CUSTOMER_NAME, float(r.DRAWING_POWER), r.OUTSTANDING, r.copies) for r in got] == [("6", None, 9.5, None, 3)]
+
+
 def test_longest_product_code_wins(spark):
     totals = spark.createDataFrame([("28/04/2025", "1", "X12Y", "n", "1", "5.00", "0", "0", "0", "0", "r")],
                                    "PROC_DATE string, BRANCH_CODE string, GL_CLASS_CODE string, NAME string, ACT_TOTAL string, TOTAL_AMOUNT string, TOTAL_INTEREST string, "
