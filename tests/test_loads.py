@@ -68,6 +68,16 @@ def test_foremost_row_and_greatest_update_by_value(spark):
     assert [(r.ACCOUNT_NO, r.CUSTOMER_NAME, float(r.DRAWING_POWER), r.OUTSTANDING, r.copies) for r in got] == [("6", None, 9.5, None, 3)]
 
 
+def test_each_ledger_report_is_read_once(spark, tmp_path, monkeypatch):
+    from ledgerlake.operators import lineage
+
+    t = Tables(spark, FOLDER)
+    read, settled = [], lineage.settled
+    monkeypatch.setattr(lineage, "settled", lambda df: (read.append(_scans(df)), settled(df))[1])
+    out = ledger.gl_summary(staged(t, "gl_totals", "gl_balances", "flows"))
+    assert sum(read) + _scans(out) == 3 and out.count() > 0
+
+
 def test_longest_product_code_wins(spark):
     totals = spark.createDataFrame([("28/04/2025", "1", "X12Y", "n", "1", "5.00", "0", "0", "0", "0", "r")],
                                    "PROC_DATE string, BRANCH_CODE string, GL_CLASS_CODE string, NAME string, ACT_TOTAL string, TOTAL_AMOUNT string, TOTAL_INTEREST string, "
