@@ -78,6 +78,15 @@ def test_each_ledger_report_is_read_once(spark, tmp_path, monkeypatch):
     assert sum(read) + _scans(out) == 3 and out.count() > 0
 
 
+def test_ledger_rows_are_added_up_without_a_sort(spark):
+    made = [("28/04/2025", "1", "C", "1", n, "1.50", r) for n, r in (("B ", "r2"), ("A", "r1"), (None, None))]
+    rows = spark.createDataFrame(made, "PROC_DATE string, BRANCH_CODE string, PROD_CODE string, ACCOUNT_NO string, PROD_DESC string, CASH_CREDIT string, REPORT_ID string")
+    found = ledger.daily_flows(rows.withColumns({c: F.lit("") for c in ledger.FLOW_COLUMNS if c != "CASH_CREDIT"}))
+    deepest = found._jdf.queryExecution().executedPlan().toString().split("Exchange")[-1]
+    assert "HashAggregate" in deepest and "Sort" not in deepest, deepest
+    assert [(r.PRODUCT_NAME, r.ACCOUNT_COUNT, float(r.DAILY_CASH_CREDIT), r.DAILY_CASH_DEBIT, r.SOURCE_REPORT_ID) for r in found.collect()] == [("B", 3, 4.5, None, "r1")]
+
+
 def test_longest_product_code_wins(spark):
     totals = spark.createDataFrame([("28/04/2025", "1", "X12Y", "n", "1", "5.00", "0", "0", "0", "0", "r")],
                                    "PROC_DATE string, BRANCH_CODE string, GL_CLASS_CODE string, NAME string, ACT_TOTAL string, TOTAL_AMOUNT string, TOTAL_INTEREST string, "
