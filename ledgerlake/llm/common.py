@@ -37,11 +37,21 @@ def shared_folder(spark: SparkSession) -> str:
     return _OWN.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="ledgerlake-"))
 
 
+#: Spark's setting by which a query's shuffle files go when it ends, not when the driver next collects garbage.
+FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows written as Parquet to the shared folder and read again: cuts the lineage and survives lost executors."""
+    """The rows written as Parquet to the shared folder and read again: cuts the lineage and survives lost executors.
+    The shuffle files of this write are not needed any more once the rows are stored, and go then."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/ledgerlake/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(FREED, "false")
+    spark.conf.set(FREED, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(FREED, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -37,6 +37,8 @@ HUBS, ROUNDS = 4, 2
 LOOK_BACK = 4
 UNIT_BYTES = 8 << 20
 MOST_SEEN = 500_000
+#: Rows of prefixes that are packed together, and shingles in a range of them.
+PACK_ROWS, RANGE_ROWS = 1 << 18, 1 << 20
 
 
 def sets(batch: pa.RecordBatch, column: int) -> list[np.ndarray]:
@@ -88,7 +90,7 @@ def described(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, np.ndarr
     made = stored(docs.select(F.col(key).alias("doc"), text).mapInArrow(run, schema), "sets")
     sums = made.filter("counts is not null").select(F.posexplode("counts").alias("bucket", "n")).groupBy("bucket").agg(F.sum("n").alias("n"))
     counts = np.zeros(BUCKETS, dtype=np.int64)
-    table = sums.toPandas()
+    table = stored(sums, "counts").toPandas()
     counts[table["bucket"].to_numpy(dtype=np.int64)] = table["n"].to_numpy(dtype=np.int64)
     return made.filter("counts is null").drop("counts"), counts
 
@@ -153,21 +155,93 @@ def postings(docs: DataFrame, counts: np.ndarray, text: str) -> DataFrame:
     return docs.select(text).mapInArrow(run, "token bigint, node bigint, n int, l int, end int, pos int, heavy boolean")
 
 
-def shared(posted: DataFrame, any_heavy: bool) -> DataFrame:
-    """``(token, node, n, l, end, pos)`` of tokens that more than one node has. Sets are made and sent once, for all tokens: those
-    of ordinary buckets, whose number of rows the bucket counts bound, are looked at together; a row of a crowded bucket goes
-    by token and node, so that no task gets all of a frequent token, and is held against an aggregate that is combined before
-    the shuffle, in a join that can be split. The rows of copies in other tasks go in the same step."""
+def planes(values: np.ndarray) -> bytes:
+    """All first bytes, then all second ones and so on."""
+    return values.view(np.uint8).reshape(len(values), -1).T.tobytes()
+
+
+def packed(token: np.ndarray, node: np.ndarray, rest: list[np.ndarray], pos: np.ndarray) -> tuple[int, int, bytes]:
+    """Rows in the order of their tokens as ``(rows, nodes, bytes)``: differences of tokens and, where nodes come twice or more on the
+    average, each node once and its number in every row."""
+    first, number = np.arange(len(token)), None
+    once, at, of = np.unique(node, return_index=True, return_inverse=True)
+    if 2 * len(once) <= len(node):
+        first, number = at, of.astype(np.uint32)
+    parts = [np.diff(token, prepend=np.uint64(0)), pos, node[first], *[c[first] for c in rest]] + ([] if number is None else [number])
+    return len(token), len(first), pa.compress(b"".join(map(planes, parts)), codec="zstd", asbytes=True)
+
+
+def unpacked(rows: int, nodes: int, data: pa.Buffer) -> list[np.ndarray]:
+    """``[token, node, n, l, end, pos]`` of packed rows."""
+    kinds = [(np.uint64, rows), (np.int32, rows), (np.int64, nodes), *[(np.int32, nodes)] * 3] + ([(np.uint32, rows)] if nodes < rows else [])
+    sizes = [np.dtype(t).itemsize * k for t, k in kinds]
+    raw, ends = np.frombuffer(pa.decompress(data, sum(sizes), codec="zstd"), dtype=np.uint8), np.cumsum(sizes)
+    cut = [raw[end - size : end].reshape(-1, k).T.copy().view(t).ravel() for (t, k), size, end in zip(kinds, sizes, ends, strict=True)]
+    of = cut[6] if nodes < rows else slice(None)
+    return [np.cumsum(cut[0], dtype=np.uint64), *[c[of] for c in cut[2:6]], cut[1]]
+
+
+def ranges(counts: np.ndarray) -> tuple[int, int]:
+    """Among how many ranges the shingles of ordinary and of crowded buckets are dealt."""
+    heavy = heavy_buckets(counts)
+    return tuple(1 + int(counts[of].sum()) // RANGE_ROWS for of in (~heavy, heavy))
+
+
+def shared(posted: DataFrame, any_heavy: bool, dealt: tuple[int, int] = (1, 1)) -> DataFrame:
+    """``(token, node, n, l, end, pos)`` of tokens that more than one node has. Sets are made and sent once, for all tokens, in packed
+    ranges of tokens: those of ordinary buckets, whose number of rows the bucket counts bound, are looked at together; a row of a
+    crowded bucket goes by token and node, so that no task gets all of a frequent token, and is held against an aggregate that is
+    combined before the shuffle, in a join that can be split. The rows of copies in other tasks go in the same step."""
     columns = ["token", "node", "n", "l", "end", "pos"]
-    apart = posted.select(*columns, F.when(F.col("heavy"), F.col("node")).alias("apart"))
-    near = Window.partitionBy("token", "apart")
-    met = apart.withColumns({"low": F.min("node").over(near), "top": F.max("node").over(near)}).filter("apart is not null or low <> top")
-    met = stored(met.dropDuplicates(["token", "apart", "node"]).select(*columns, "apart"), "posted")
+    ordinary, crowded_ = dealt
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def blobs(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            token, node, n, l, end, pos, heavy = (np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in held]) for c in (*columns, "heavy"))
+            token = token.view(np.uint64)
+            with np.errstate(over="ignore"):
+                apart = mixed(token ^ mixed(node.view(np.uint64))) if heavy.any() else token
+            high = (np.where(heavy, apart, token) >> np.uint64(32)) * np.where(heavy, crowded_, ordinary).astype(np.uint64)
+            range_ = (high >> np.uint64(32)).astype(np.int64) + np.where(heavy, ordinary, 0)
+            order = np.lexsort((token, range_))
+            token, node, n, l, end, pos, range_ = (c[order] for c in (token, node, n, l, end, pos, range_))
+            starts = np.flatnonzero(np.diff(range_, prepend=-1))
+            out = []
+            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(range_)], strict=True):
+                out.append((int(range_[a]), *packed(token[a:b], node[a:b], [n[a:b], l[a:b], end[a:b]], pos[a:b])))
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["range", "rows", "nodes", "data"])
+
+        held, n_rows = [], 0
+        for batch in batches:
+            held, n_rows = [*held, batch] if batch.num_rows else held, n_rows + batch.num_rows
+            if n_rows >= PACK_ROWS:
+                yield from blobs(held)
+                held, n_rows = [], 0
+        if held:
+            yield from blobs(held)
+
+    def meet(table: pa.Table) -> pa.Table:
+        heavy = table.column("range")[0].as_py() >= ordinary
+        found = [unpacked(rows, nodes, data.as_buffer()) for rows, nodes, data in zip(table.column("rows").to_pylist(), table.column("nodes").to_pylist(), table.column("data"), strict=True)]
+        token, node, *rest = (np.concatenate(c) for c in zip(*found, strict=True))
+        order = np.lexsort((node, token))
+        token, node = token[order], node[order]
+        new = np.ones(len(token), dtype=bool)
+        new[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
+        token, node, order = token[new], node[new], order[new]
+        if not heavy:
+            same = token[1:] == token[:-1]
+            often = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+            token, node, order = token[often], node[often], order[often]
+        return pa.table([signed(token), node, *[c[order] for c in rest], np.full(len(token), heavy)], [*columns, "heavy"])
+
+    blobs_ = posted.mapInArrow(pack, "range int, rows int, nodes int, data binary")
+    met = stored(blobs_.groupBy("range").applyInArrow(meet, "token bigint, node bigint, n int, l int, end int, pos int, heavy boolean"), "posted")
     if not any_heavy:
         return met.select(*columns)
-    crowded = met.filter("apart is not null").select(*columns)
+    crowded = met.filter("heavy").select(*columns)
     ends = crowded.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("top")).filter("low <> top").select("token")
-    return met.filter("apart is null").select(*columns).unionAll(crowded.join(ends, "token", "left_semi").select(*columns))
+    return met.filter("not heavy").select(*columns).unionAll(crowded.join(ends, "token", "left_semi").select(*columns))
 
 
 def promising(posted: DataFrame) -> DataFrame:
@@ -286,9 +360,10 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     """``(key, n_shingles, component_id)`` of each row; the component's id is its smallest key (an integer)."""
     docs = docs.select(key, text)
     described_, counts = described(docs, key, text)
-    posted = shared(postings(docs, counts, text), bool(heavy_buckets(counts).any()))
-    posted = stored(promising(posted), "promising")
-    prefixes = stored(posted.groupBy("node").agg(F.collect_list("token").alias("tokens"), *[F.min(c).alias(c) for c in ("n", "l", "end")]), "prefixes")
+    posted = shared(postings(docs, counts, text), bool(heavy_buckets(counts).any()), ranges(counts))
+    lists = [F.collect_list("token").alias("tokens"), F.collect_list("pos").alias("places")]
+    prefixes = stored(promising(posted).groupBy("node").agg(*lists, *[F.min(c).alias(c) for c in ("n", "l", "end")]), "prefixes")
+    posted = prefixes.select("node", "n", "l", "end", F.inline(F.arrays_zip(F.col("tokens").alias("token"), F.col("places").alias("pos"))))
     one = stored(described_.filter("n > 0").groupBy("node").agg(F.min("doc").alias("doc")), "nodes")
     joined = None
     of_before = lambda: joined.select(F.col("node").alias("a"), F.col("component").alias("b"))
