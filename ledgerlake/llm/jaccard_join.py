@@ -117,40 +117,53 @@ def heavy_buckets(counts: np.ndarray) -> np.ndarray:
     return counts > 8 * counts.mean() + 64
 
 
-def postings(docs: DataFrame, counts: np.ndarray, text: str) -> DataFrame:
-    """``(token, node, n, l, end, pos, heavy)`` of all prefixes, ``pos`` being the place in the order of the set; copies inside one task come once."""
+Rows = tuple[np.ndarray, ...]  # token, node, n, l, end, pos, heavy
+
+
+def prefix_rows(batches: Iterator[pa.RecordBatch], crowd: np.ndarray, heavy: np.ndarray) -> Iterator[Rows]:
+    """The rows of all prefixes of the texts in the first column; copies inside one task come once."""
+    seen: set[int] = set()
+    for whole in batches:
+        for batch in slices(whole, 0, UNIT_BYTES):
+            own: dict[int, np.ndarray] = {}
+            for one in sets(batch, 0):
+                if len(one) and (node := names(one)[0]) not in seen:
+                    own[node] = one
+                    seen.add(node)
+            if len(seen) > MOST_SEEN:
+                seen = set()
+            if not own:
+                continue
+            every, times = np.unique(np.concatenate(list(own.values())), return_counts=True)
+            columns: list[list] = [[], [], [], [], []]
+            for node, one in own.items():
+                local = times[np.searchsorted(every, one)] - 1
+                kept, l, end = prefix(one, crowd[(one >> np.uint64(46)).astype(np.int64)], local)
+                for c, v in zip(columns, (kept, node, len(one), l, end), strict=True):
+                    c.append(v)
+            sizes = [len(x) for x in columns[0]]
+            token = np.concatenate(columns[0])
+            rest = [np.repeat(np.array(c, dtype=t), sizes) for c, t in zip(columns[1:], (np.int64, np.int32, np.int32, np.int32), strict=True)]
+            rest.append(np.concatenate([np.arange(k, dtype=np.int32) for k in sizes]))
+            for at in range(0, len(token), 1 << 18):
+                part = slice(at, at + (1 << 18))
+                yield token[part], *[c[part] for c in rest], heavy[(token[part] >> np.uint64(46)).astype(np.int64)]
+
+
+def crowding(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The class of each bucket, and which are heavy."""
     mean = counts.mean()
     excess = np.maximum(counts - mean - 4 * np.sqrt(mean + 1), 0)
-    crowded = docs.sparkSession.sparkContext.broadcast((np.floor(np.log2(1 + excess)).astype(np.int8), heavy_buckets(counts)))
+    return np.floor(np.log2(1 + excess)).astype(np.int8), heavy_buckets(counts)
+
+
+def postings(docs: DataFrame, counts: np.ndarray, text: str) -> DataFrame:
+    """``(token, node, n, l, end, pos, heavy)`` of all prefixes, ``pos`` being the place in the order of the set; copies inside one task come once."""
+    crowded = docs.sparkSession.sparkContext.broadcast(crowding(counts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        crowd, heavy = crowded.value
-        seen: set[int] = set()
-        for whole in batches:
-            for batch in slices(whole, 0, UNIT_BYTES):
-                own: dict[int, np.ndarray] = {}
-                for one in sets(batch, 0):
-                    if len(one) and (node := names(one)[0]) not in seen:
-                        own[node] = one
-                        seen.add(node)
-                if len(seen) > MOST_SEEN:
-                    seen = set()
-                if not own:
-                    continue
-                every, times = np.unique(np.concatenate(list(own.values())), return_counts=True)
-                columns: list[list] = [[], [], [], [], []]
-                for node, one in own.items():
-                    local = times[np.searchsorted(every, one)] - 1
-                    kept, l, end = prefix(one, crowd[(one >> np.uint64(46)).astype(np.int64)], local)
-                    for c, v in zip(columns, (kept, node, len(one), l, end), strict=True):
-                        c.append(v)
-                sizes = [len(x) for x in columns[0]]
-                token = np.concatenate(columns[0])
-                rest = [np.repeat(np.array(c, dtype=t), sizes) for c, t in zip(columns[1:], (np.int64, np.int32, np.int32, np.int32), strict=True)]
-                rest.append(np.concatenate([np.arange(k, dtype=np.int32) for k in sizes]))
-                for at in range(0, len(token), 1 << 18):
-                    part = slice(at, at + (1 << 18))
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(token[part])), *[pa.array(c[part]) for c in rest], pa.array(heavy[(token[part] >> np.uint64(46)).astype(np.int64)])], ["token", "node", "n", "l", "end", "pos", "heavy"])
+        for token, *rest in prefix_rows(batches, *crowded.value):
+            yield pa.RecordBatch.from_arrays([pa.array(signed(token)), *map(pa.array, rest)], ["token", "node", "n", "l", "end", "pos", "heavy"])
 
     return docs.select(text).mapInArrow(run, "token bigint, node bigint, n int, l int, end int, pos int, heavy boolean")
 
@@ -187,38 +200,61 @@ def ranges(counts: np.ndarray) -> tuple[int, int]:
     return tuple(1 + int(counts[of].sum()) // RANGE_ROWS for of in (~heavy, heavy))
 
 
+PACKS = "range int, rows int, nodes int, data binary"
+
+
+def packs(rows: Iterator[Rows], dealt: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+    """Prefix rows in packed ranges of tokens, as ``PACKS``."""
+    ordinary, crowded_ = dealt
+
+    def blobs(held: list[Rows]) -> pa.RecordBatch:
+        token, node, n, l, end, pos, heavy = map(np.concatenate, zip(*held, strict=True))
+        with np.errstate(over="ignore"):
+            apart = mixed(token ^ mixed(node.view(np.uint64))) if heavy.any() else token
+        high = (np.where(heavy, apart, token) >> np.uint64(32)) * np.where(heavy, crowded_, ordinary).astype(np.uint64)
+        range_ = (high >> np.uint64(32)).astype(np.int64) + np.where(heavy, ordinary, 0)
+        order = np.lexsort((token, range_))
+        token, node, n, l, end, pos, range_ = (c[order] for c in (token, node, n, l, end, pos, range_))
+        starts = np.flatnonzero(np.diff(range_, prepend=-1))
+        out = []
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(range_)], strict=True):
+            out.append((int(range_[a]), *packed(token[a:b], node[a:b], [n[a:b], l[a:b], end[a:b]], pos[a:b])))
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["range", "rows", "nodes", "data"])
+
+    held, n_rows = [], 0
+    for some in rows:
+        held, n_rows = [*held, some] if len(some[0]) else held, n_rows + len(some[0])
+        if n_rows >= PACK_ROWS:
+            yield blobs(held)
+            held, n_rows = [], 0
+    if held:
+        yield blobs(held)
+
+
+def packed_prefixes(docs: DataFrame, counts: np.ndarray, text: str, dealt: tuple[int, int]) -> DataFrame:
+    """``PACKS`` of all prefixes, made from the texts in one Python worker a task; rows of prefixes never cross to the JVM."""
+    crowded = docs.sparkSession.sparkContext.broadcast(crowding(counts))
+    return docs.select(text).mapInArrow(lambda batches: packs(prefix_rows(batches, *crowded.value), dealt), PACKS)
+
+
 def shared(posted: DataFrame, any_heavy: bool, dealt: tuple[int, int] = (1, 1)) -> DataFrame:
+    """``met`` of ``posted (token, node, n, l, end, pos, heavy)``."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[Rows]:
+        for batch in batches:
+            token, *rest = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("token", "node", "n", "l", "end", "pos", "heavy"))
+            yield token.view(np.uint64), *rest
+
+    return met(posted.mapInArrow(lambda batches: packs(rows(batches), dealt), PACKS), any_heavy, dealt)
+
+
+def met(blobs: DataFrame, any_heavy: bool, dealt: tuple[int, int]) -> DataFrame:
     """``(token, node, n, l, end, pos)`` of tokens that more than one node has. Sets are made and sent once, for all tokens, in packed
     ranges of tokens: those of ordinary buckets, whose number of rows the bucket counts bound, are looked at together; a row of a
     crowded bucket goes by token and node, so that no task gets all of a frequent token, and is held against an aggregate that is
     combined before the shuffle, in a join that can be split. The rows of copies in other tasks go in the same step."""
     columns = ["token", "node", "n", "l", "end", "pos"]
-    ordinary, crowded_ = dealt
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def blobs(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            token, node, n, l, end, pos, heavy = (np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in held]) for c in (*columns, "heavy"))
-            token = token.view(np.uint64)
-            with np.errstate(over="ignore"):
-                apart = mixed(token ^ mixed(node.view(np.uint64))) if heavy.any() else token
-            high = (np.where(heavy, apart, token) >> np.uint64(32)) * np.where(heavy, crowded_, ordinary).astype(np.uint64)
-            range_ = (high >> np.uint64(32)).astype(np.int64) + np.where(heavy, ordinary, 0)
-            order = np.lexsort((token, range_))
-            token, node, n, l, end, pos, range_ = (c[order] for c in (token, node, n, l, end, pos, range_))
-            starts = np.flatnonzero(np.diff(range_, prepend=-1))
-            out = []
-            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(range_)], strict=True):
-                out.append((int(range_[a]), *packed(token[a:b], node[a:b], [n[a:b], l[a:b], end[a:b]], pos[a:b])))
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["range", "rows", "nodes", "data"])
-
-        held, n_rows = [], 0
-        for batch in batches:
-            held, n_rows = [*held, batch] if batch.num_rows else held, n_rows + batch.num_rows
-            if n_rows >= PACK_ROWS:
-                yield from blobs(held)
-                held, n_rows = [], 0
-        if held:
-            yield from blobs(held)
+    ordinary = dealt[0]
 
     def meet(table: pa.Table) -> pa.Table:
         heavy = table.column("range")[0].as_py() >= ordinary
@@ -235,13 +271,12 @@ def shared(posted: DataFrame, any_heavy: bool, dealt: tuple[int, int] = (1, 1))
             token, node, order = token[often], node[often], order[often]
         return pa.table([signed(token), node, *[c[order] for c in rest], np.full(len(token), heavy)], [*columns, "heavy"])
 
-    blobs_ = posted.mapInArrow(pack, "range int, rows int, nodes int, data binary")
-    met = stored(blobs_.groupBy("range").applyInArrow(meet, "token bigint, node bigint, n int, l int, end int, pos int, heavy boolean"), "posted")
+    rows = stored(blobs.groupBy("range").applyInArrow(meet, "token bigint, node bigint, n int, l int, end int, pos int, heavy boolean"), "posted")
     if not any_heavy:
-        return met.select(*columns)
-    crowded = met.filter("heavy").select(*columns)
+        return rows.select(*columns)
+    crowded = rows.filter("heavy").select(*columns)
     ends = crowded.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("top")).filter("low <> top").select("token")
-    return met.filter("not heavy").select(*columns).unionAll(crowded.join(ends, "token", "left_semi").select(*columns))
+    return rows.filter("not heavy").select(*columns).unionAll(crowded.join(ends, "token", "left_semi").select(*columns))
 
 
 def promising(posted: DataFrame) -> DataFrame:
@@ -360,7 +395,8 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     """``(key, n_shingles, component_id)`` of each row; the component's id is its smallest key (an integer)."""
     docs = docs.select(key, text)
     described_, counts = described(docs, key, text)
-    posted = shared(postings(docs, counts, text), bool(heavy_buckets(counts).any()), ranges(counts))
+    dealt = ranges(counts)
+    posted = met(packed_prefixes(docs, counts, text, dealt), bool(heavy_buckets(counts).any()), dealt)
     lists = [F.collect_list("token").alias("tokens"), F.collect_list("pos").alias("places")]
     prefixes = stored(promising(posted).groupBy("node").agg(*lists, *[F.min(c).alias(c) for c in ("n", "l", "end")]), "prefixes")
     posted = prefixes.select("node", "n", "l", "end", F.inline(F.arrays_zip(F.col("tokens").alias("token"), F.col("places").alias("pos"))))

@@ -453,3 +453,14 @@ def test_search_blocks_of_queries(spark):
     ids = [np.frombuffer(r["q_ids"], dtype=np.int64) for r in rows]
     assert max(map(len, ids)) <= lsh_search.PACK and sorted(np.concatenate(ids).tolist()) == list(range(1100))
     assert all(np.frombuffer(r["q_vecs"]).reshape(-1, 2)[:, 0].tolist() == i.tolist() for r, i in zip(rows, ids, strict=True))
+
+
+def test_jaccard_prefixes_in_one_worker(spark):
+    """Prefix rows are packed in the worker that makes them, so a task has one Python worker, and are those of the rows sent singly."""
+    docs = documents(spark, near_copies(random.Random(12))).select("doc_id", "text").repartition(3)
+    counts, dealt = jaccard_join.described(docs, "doc_id", "text")[1], (3, 2)
+    made = jaccard_join.packed_prefixes(docs, counts, "text", dealt)
+    assert made._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    single = jaccard_join.shared(jaccard_join.postings(docs, counts, "text"), True, dealt).select("token", "node", "n")
+    together = jaccard_join.met(made, True, dealt).select("token", "node", "n")
+    assert single.count() and sorted(map(tuple, together.collect())) == sorted(map(tuple, single.collect()))
