@@ -36,28 +36,46 @@ HUBS, ROUNDS = 4, 2
 #: Shingles before a shingle that tell whether a pair met already.
 LOOK_BACK = 4
 UNIT_BYTES = 8 << 20
+#: Text whose words are hashed at once: the arrays of that much stay in a core's cache.
+HASHED_BYTES = 1 << 18
 MOST_SEEN = 500_000
 #: Rows of prefixes that are packed together, and shingles in a range of them.
 PACK_ROWS, RANGE_ROWS = 1 << 18, 1 << 20
 
 
-def sets(batch: pa.RecordBatch, column: int) -> list[np.ndarray]:
-    """The distinct shingle hashes of each text, in order."""
-    out = []
-    for part in slices(batch, column):
+def sets(batch: pa.RecordBatch, column: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingle hashes of all texts, those of each text in order, and where each text's begin, with the end of all."""
+    values, sizes = [], []
+    for part in slices(batch, column, HASHED_BYTES):
         offsets, data = utf8(part.column(column))
         owner, value = shingles(offsets, LOWER[data], WIDTH)
-        cuts = np.searchsorted(owner, np.arange(part.num_rows + 1))
-        out += [np.unique(value[a:b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-    return out
+        cuts = np.searchsorted(owner, np.arange(part.num_rows + 1)).tolist()
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            value[a:b].sort()
+        new = np.ones(len(value), dtype=bool)
+        new[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])
+        values.append(value[new])
+        sizes.append(np.bincount(owner[new], minlength=part.num_rows))
+    starts = np.zeros(batch.num_rows + 1, dtype=np.int64)
+    if sizes:
+        starts[1:] = np.cumsum(np.concatenate(sizes))
+    return np.concatenate(values) if values else np.zeros(0, dtype=np.uint64), starts
+
+
+def names(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Two independent hashes of each set, a row of two."""
+    sizes = np.diff(starts)
+    some, both = sizes > 0, np.zeros((len(sizes), 2), dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        if some.any():
+            for k, h in enumerate((values + np.uint64(1), values ^ np.uint64(0x5851F42D4C957F2D))):
+                both[some, k] = np.add.reduceat(mixed(h), starts[:-1][some])
+        both[:, 0] += sizes.astype(np.uint64)
+        return signed(mixed(both))
 
 
-def names(one: np.ndarray) -> tuple[int, int]:
-    """Two independent hashes of a set."""
-    with np.errstate(over="ignore"):
-        low, high = mixed(one + np.uint64(1)).sum(dtype=np.uint64), mixed(one ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
-        both = signed(mixed(np.array([low + np.uint64(len(one)), high], dtype=np.uint64)))
-    return int(both[0]), int(both[1])
+def bucket(values: np.ndarray) -> np.ndarray:
+    return (values >> np.uint64(46)).astype(np.int64)
 
 
 def least_shared(n: int) -> int:
@@ -74,14 +92,11 @@ def described(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, np.ndarr
         for whole in batches:
             doc_type = whole.schema.field(0).type
             for batch in slices(whole, 1, UNIT_BYTES):
-                found = sets(batch, 1)
-                for one in found:
-                    counts += np.bincount((one >> np.uint64(46)).astype(np.int64), minlength=BUCKETS) if len(one) > 4096 else 0
-                small = np.concatenate([x for x in found if len(x) <= 4096] or [np.zeros(0, np.uint64)])
-                counts += np.bincount((small >> np.uint64(46)).astype(np.int64), minlength=BUCKETS)
-                named = np.array([names(x) for x in found], dtype=np.int64).reshape(-1, 2)
+                values, starts = sets(batch, 1)
+                counts += np.bincount(bucket(values), minlength=BUCKETS)
+                named = names(values, starts)
                 nothing = pa.nulls(batch.num_rows, pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in found], pa.int64()), pa.array(named[:, 0]), pa.array(named[:, 1]), nothing], names_of)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(starts)), pa.array(named[:, 0]), pa.array(named[:, 1]), nothing], names_of)
         if doc_type is not None:
             blank = [pa.nulls(1, t) for t in (doc_type, pa.int64(), pa.int64(), pa.int64())]
             yield pa.RecordBatch.from_arrays([*blank, pa.array([counts], pa.list_(pa.int64()))], names_of)
@@ -95,12 +110,12 @@ def described(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, np.ndarr
     return made.filter("counts is null").drop("counts"), counts
 
 
-def prefix(one: np.ndarray, crowd: np.ndarray, local: np.ndarray) -> tuple[np.ndarray, int, int]:
-    """The prefix of a set, its l and the place of its last shingle in the order of all, in 16 bits. ``crowd``: the class of each shingle's bucket; ``local``: other sets of the batch
-    that have it."""
+def prefix(one: np.ndarray, crowd: np.ndarray, partners: np.ndarray) -> tuple[np.ndarray, int, int]:
+    """The places of a set's prefix in it, its l and the place of its last shingle in the order of all, in 16 bits. ``one``: the shingles in
+    order; ``crowd``: the class of each shingle's bucket; ``partners``: what each may bring."""
     n = len(one)
-    order, least = np.lexsort((one, crowd)), least_shared(n)
-    partners = np.cumsum(np.maximum(local, (1 << crowd.astype(np.int64)) - 1)[order])
+    order, least = np.argsort(crowd, kind="stable"), least_shared(n)
+    partners = np.cumsum(partners[order])
     best, chosen = None, 1
     l = max(1, n // LEAST_PART)
     while l <= least:
@@ -110,7 +125,17 @@ def prefix(one: np.ndarray, crowd: np.ndarray, local: np.ndarray) -> tuple[np.nd
             best, chosen = cost, l
         l *= 2
     last = order[n - least + chosen - 1]
-    return one[order[: n - least + chosen]], chosen, int(crowd[last]) << 11 | int(one[last] >> np.uint64(53))
+    return order[: n - least + chosen], chosen, int(crowd[last]) << 11 | int(one[last] >> np.uint64(53))
+
+
+def others(values: np.ndarray) -> np.ndarray:
+    """How many more times each value is there."""
+    order = np.argsort(values)
+    starts = np.flatnonzero(np.concatenate([[True], np.diff(values[order]) != 0]))
+    times = np.diff(starts, append=len(values))
+    out = np.empty(len(values), dtype=np.int64)
+    out[order] = np.repeat(times - 1, times)
+    return out
 
 
 def heavy_buckets(counts: np.ndarray) -> np.ndarray:
@@ -125,29 +150,34 @@ def prefix_rows(batches: Iterator[pa.RecordBatch], crowd: np.ndarray, heavy: np.
     seen: set[int] = set()
     for whole in batches:
         for batch in slices(whole, 0, UNIT_BYTES):
-            own: dict[int, np.ndarray] = {}
-            for one in sets(batch, 0):
-                if len(one) and (node := names(one)[0]) not in seen:
-                    own[node] = one
+            values, starts = sets(batch, 0)
+            own: dict[int, tuple[int, int]] = {}
+            for node, a, b in zip(names(values, starts)[:, 0].tolist(), starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                if a < b and node not in seen:
+                    own[node] = a, b
                     seen.add(node)
             if len(seen) > MOST_SEEN:
                 seen = set()
             if not own:
                 continue
-            every, times = np.unique(np.concatenate(list(own.values())), return_counts=True)
+            values = np.concatenate([values[a:b] for a, b in own.values()])
+            class_ = crowd[bucket(values)]
+            partners = np.maximum(others(values), (1 << class_.astype(np.int64)) - 1)
             columns: list[list] = [[], [], [], [], []]
-            for node, one in own.items():
-                local = times[np.searchsorted(every, one)] - 1
-                kept, l, end = prefix(one, crowd[(one >> np.uint64(46)).astype(np.int64)], local)
-                for c, v in zip(columns, (kept, node, len(one), l, end), strict=True):
+            at = 0
+            for node, (a, b) in own.items():
+                n, its = b - a, slice(at, at + b - a)
+                kept, l, end = prefix(values[its], class_[its], partners[its])
+                for c, v in zip(columns, (kept + at, node, n, l, end), strict=True):
                     c.append(v)
+                at += n
             sizes = [len(x) for x in columns[0]]
-            token = np.concatenate(columns[0])
+            token = values[np.concatenate(columns[0])]
             rest = [np.repeat(np.array(c, dtype=t), sizes) for c, t in zip(columns[1:], (np.int64, np.int32, np.int32, np.int32), strict=True)]
             rest.append(np.concatenate([np.arange(k, dtype=np.int32) for k in sizes]))
             for at in range(0, len(token), 1 << 18):
                 part = slice(at, at + (1 << 18))
-                yield token[part], *[c[part] for c in rest], heavy[(token[part] >> np.uint64(46)).astype(np.int64)]
+                yield token[part], *[c[part] for c in rest], heavy[bucket(token[part])]
 
 
 def crowding(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -213,7 +243,7 @@ def packs(rows: Iterator[Rows], dealt: tuple[int, int]) -> Iterator[pa.RecordBat
             apart = mixed(token ^ mixed(node.view(np.uint64))) if heavy.any() else token
         high = (np.where(heavy, apart, token) >> np.uint64(32)) * np.where(heavy, crowded_, ordinary).astype(np.uint64)
         range_ = (high >> np.uint64(32)).astype(np.int64) + np.where(heavy, ordinary, 0)
-        order = np.lexsort((token, range_))
+        order = np.lexsort((token, range_)) if heavy.any() else np.argsort(token)  # ordinary ranges follow the tokens
         token, node, n, l, end, pos, range_ = (c[order] for c in (token, node, n, l, end, pos, range_))
         starts = np.flatnonzero(np.diff(range_, prepend=-1))
         out = []
@@ -260,7 +290,13 @@ def met(blobs: DataFrame, any_heavy: bool, dealt: tuple[int, int]) -> DataFrame:
         heavy = table.column("range")[0].as_py() >= ordinary
         found = [unpacked(rows, nodes, data.as_buffer()) for rows, nodes, data in zip(table.column("rows").to_pylist(), table.column("nodes").to_pylist(), table.column("data"), strict=True)]
         token, node, *rest = (np.concatenate(c) for c in zip(*found, strict=True))
-        order = np.lexsort((node, token))
+        if heavy:
+            order = np.lexsort((node, token))
+        else:
+            order = np.argsort(token)
+            same = np.diff(token[order]) == 0
+            order = order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
+            order = order[np.lexsort((node[order], token[order]))]
         token, node = token[order], node[order]
         new = np.ones(len(token), dtype=bool)
         new[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
@@ -317,8 +353,9 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, 0, UNIT_BYTES):
-                found = sets(batch, 0)
-                yield pa.RecordBatch.from_arrays([pa.array([names(x)[0] for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], ["node", "set"])
+                values, starts = sets(batch, 0)
+                each = [values[a:b].tobytes() for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(names(values, starts)[:, 0]), pa.array(each, pa.binary())], ["node", "set"])
 
     chosen = docs.select(F.col(key).alias("doc"), text).join(wanted, "doc", "left_semi").select(text)
     return stored(chosen.mapInArrow(run, "node bigint, set binary").dropDuplicates(["node"]), "whole")

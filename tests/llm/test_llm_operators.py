@@ -464,3 +464,26 @@ def test_jaccard_prefixes_in_one_worker(spark):
     single = jaccard_join.shared(jaccard_join.postings(docs, counts, "text"), True, dealt).select("token", "node", "n")
     together = jaccard_join.met(made, True, dealt).select("token", "node", "n")
     assert single.count() and sorted(map(tuple, together.collect())) == sorted(map(tuple, single.collect()))
+
+
+def test_jaccard_sets_of_a_batch(spark):
+    """Sets, names and counts of all texts of a batch at once are those of each text alone, over pieces of a few texts too."""
+    rnd = random.Random(13)
+    texts = [None, "", " \n", "one", *near_copies(rnd), "same words " * 40, None, prose(rnd, 400), ""]
+    batch = pa.record_batch([pa.array(texts, pa.string())], ["text"])
+    whole, most = jaccard_join.sets(batch, 0), jaccard_join.HASHED_BYTES
+    try:
+        jaccard_join.HASHED_BYTES = 600
+        values, starts = jaccard_join.sets(batch, 0)
+    finally:
+        jaccard_join.HASHED_BYTES = most
+    assert (whole[0] == values).all() and (whole[1] == starts).all() and len(starts) == len(texts) + 1
+    named = jaccard_join.names(values, starts)
+    for i, t in enumerate(texts):
+        w, one = words(re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), values[starts[i] : starts[i + 1]]
+        assert len(one) == len({tuple(w[k : k + 5]) for k in range(len(w) - 4)} or ({tuple(w)} if w else set()))
+        assert (np.diff(one) > 0).all() and (jaccard_join.names(one, np.array([0, len(one)])) == named[i]).all()
+    every = values.tolist()
+    assert jaccard_join.others(values).tolist() == [every.count(v) - 1 for v in every]
+    nothing = jaccard_join.sets(batch.slice(0, 0), 0)
+    assert len(nothing[0]) == 0 and nothing[1].tolist() == [0] and len(jaccard_join.names(*nothing)) == 0
