@@ -303,7 +303,7 @@ def met(blobs: DataFrame, any_heavy: bool, dealt: tuple[int, int]) -> DataFrame:
         token, node, order = token[new], node[new], order[new]
         if not heavy:
             same = token[1:] == token[:-1]
-            often = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+            often = (np.concatenate([same, [False]]) | np.concatenate([[False], same]))[: len(token)]
             token, node, order = token[often], node[often], order[often]
         return pa.table([signed(token), node, *[c[order] for c in rest], np.full(len(token), heavy)], [*columns, "heavy"])
 
