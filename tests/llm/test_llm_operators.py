@@ -455,6 +455,45 @@ def test_search_blocks_of_queries(spark):
     assert all(np.frombuffer(r["q_vecs"]).reshape(-1, 2)[:, 0].tolist() == i.tolist() for r, i in zip(rows, ids, strict=True))
 
 
+class _Mapped:
+    """Stands for a table and keeps the function that it is mapped by."""
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, run, _):
+        return run
+
+
+def test_search_packs_queries_in_bounded_batches():
+    """A query goes to hundreds of buckets of a large table; what a worker holds at once does not follow from that."""
+    vectors = np.random.default_rng(14).standard_normal((3000, 64))
+    index = lsh_search.Index(64, 10**6, float(np.linalg.norm(vectors, axis=1).max()), vectors[:1000], 20)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(3000)), pa.ListArray.from_arrays(np.arange(0, 64 * 3000 + 1, 64, dtype=np.int32), vectors.ravel())], ["id", "vec"])
+    sizes = [b.nbytes for b in lsh_search.packs(_Mapped(), index, True)(iter([batch.slice(0, 1500)]))]
+    assert len(sizes) > 1 and max(sizes) < lsh_search.OUT + lsh_search.PACK * 64 * 8 + 2**20, sizes
+
+
+@pytest.mark.parametrize("single", [True, False])
+def test_search_puts_packs_of_a_bucket_together(spark, single):
+    vectors = np.random.default_rng(15).standard_normal((5000, 8)).astype(np.float32 if single else np.float64).astype(np.float64)
+    index = lsh_search.Index(8, 5000, float(np.linalg.norm(vectors, axis=1).max()), vectors[:1000], 20)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "id bigint, vec array<double>").repartition(6)
+    packed = lsh_search.packs(df, index, False)
+
+    def members(rows):
+        for r in rows:
+            ids = np.frombuffer(r.ids, dtype=np.int64)
+            assert len(r.vecs) == len(ids) * 8 * (4 if single else 8)
+            vecs = np.frombuffer(r.vecs, dtype=np.float32 if single else np.float64).reshape(len(ids), 8)
+            assert np.array_equal(vecs.astype(np.float64), vectors[ids])
+            yield from ((r.at, r.bucket, i) for i in ids.tolist())
+
+    before, after = packed.collect(), lsh_search.full(packed).collect()
+    assert sorted(members(before)) == sorted(members(after)) and len(after) < len(before)
+    assert max(len(r.ids) // 8 for r in after) <= lsh_search.PACK
+
+
 def test_jaccard_prefixes_in_one_worker(spark):
     """Prefix rows are packed in the worker that makes them, so a task has one Python worker, and are those of the rows sent singly."""
     docs = documents(spark, near_copies(random.Random(12))).select("doc_id", "text").repartition(3)
