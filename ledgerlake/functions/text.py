@@ -17,7 +17,8 @@ def _literal(chars) -> str:
 
 
 def strip(c: Column) -> Column:
-    return F.btrim(c, F.lit(BLANKS))
+    # Plain spaces go first: Spark takes them off byte by byte, but looks each other blank up in the list.
+    return F.btrim(F.trim(c), F.lit(BLANKS))
 
 
 def cut(line: Column, start: int, end: int | None = None) -> Column:

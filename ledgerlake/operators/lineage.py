@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,3 +30,27 @@ def settled(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
+
+
+#: Spark's setting by which a query's shuffle files go when it ends, not when the driver next collects garbage.
+FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def freed(spark: SparkSession) -> Iterator[None]:
+    """Writes and checks that run inside leave no shuffle files behind."""
+    before = spark.conf.get(FREED, "false")
+    spark.conf.set(FREED, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(FREED, before)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Compute once, as files of the shared folder. Spark knows their size, so a small table meets a large one without a shuffle of the latter."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/stored/{uuid.uuid4().hex}"
+    with freed(spark):
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -13,9 +13,12 @@ BITS = 63
 
 def occupancy(lines: DataFrame, *keys: str, line: str = "line") -> DataFrame:
     """``(keys, word, bits)`` of the positions that are not a space, the first position being the highest bit."""
-    marks = F.translate(F.regexp_replace(F.col(line), "[^ ]", "1"), " ", "0")
-    words = F.transform(F.regexp_extract_all(marks, F.lit(f"[01]{{1,{BITS}}}"), F.lit(0)), lambda w: F.conv(F.rpad(w, BITS, "0"), 2, 10).cast("bigint"))
-    return lines.select(*keys, F.posexplode(words).alias("word", "bits")).groupBy(*keys, "word").agg(F.bit_or("bits").alias("bits"))
+    # One row a word, without arrays of words, so all of it is compiled; a character is looked at once.
+    pieces = lines.select(*keys, F.col(line).alias("_line")).filter("_line <> ''").select(
+        *keys, "_line", F.explode(F.sequence(F.lit(0), F.floor((F.length("_line") - 1) / BITS).cast("int"))).alias("word"))
+    marks = F.replace(F.regexp_replace(F.substring("_line", F.col("word") * BITS + 1, F.lit(BITS)), "[^ ]", "1"), F.lit(" "), F.lit("0"))
+    bits = F.conv(F.rpad(marks, BITS, "0"), 2, 10).cast("bigint")
+    return pieces.select(*keys, "word", bits.alias("bits")).groupBy(*keys, "word").agg(F.bit_or("bits").alias("bits"))
 
 
 def ink(occupied: DataFrame, *keys: str) -> DataFrame:

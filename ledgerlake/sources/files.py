@@ -30,7 +30,7 @@ DECODED = "path string, line_no bigint, line string, error string"
 
 
 def file_name(path: Column) -> Column:
-    return F.regexp_extract(path, "([^/]*)$", 1)
+    return F.substring_index(path, "/", -1)
 
 
 def report_path(path: Column, folder: str) -> Column:

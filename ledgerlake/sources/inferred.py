@@ -16,7 +16,7 @@ from ..functions.pieces import (
     NAMED, cell_starts, dash_runs, gap_ends, ink_runs, opened, or_else, pieces, pipes, spans, starts, tidy, titled, under, unrepeated,
 )
 from ..functions.text import BLANKS, has_any, made_of, strip
-from ..operators import occupancy, ordered
+from ..operators import lineage, occupancy, ordered
 from .lines import grid_as_blanks, without_boilerplate
 
 
@@ -27,16 +27,19 @@ def raw_line() -> Column:
 # ---------------------------------------------------------------- cutting
 
 def cut_cells(rows: DataFrame, columns: DataFrame, clean=None) -> DataFrame:
-    """Cuts each line by its file's columns; ``_titles``, where there, are lines that are not rows."""
+    """Cuts each line by its file's columns; ``_titles``, where there, are lines that are not rows, and ``_from`` is the line above the rows."""
 
     def value(c: Column) -> Column:
         raw = under(raw_line(), c)
         return clean(raw) if clean else raw
 
-    met = rows.join(columns, "path")
+    own = columns.withColumns({"_names": F.transform("_columns", lambda c: c["name"])} | ({"_titles": F.transform("_titles", strip)} if "_titles" in columns.columns else {}))
+    met = rows.join(own, "path")
+    if "_from" in columns.columns:
+        met = met.filter("line_no > _from")
     if "_titles" in columns.columns:
-        met = met.filter(~F.array_contains(F.transform("_titles", strip), strip(raw_line())))
-    cells = F.map_from_arrays(F.transform("_columns", lambda c: c["name"]), F.transform("_columns", value))
+        met = met.filter(~F.array_contains("_titles", strip(raw_line())))
+    cells = F.map_from_arrays("_names", F.transform("_columns", value))
     return met.select("path", "line_no", cells.alias("cells"))
 
 
@@ -58,6 +61,12 @@ def _near(lines: DataFrame, places: DataFrame, above: int, below: int) -> DataFr
     return places.join(found, ["path", "_at"])
 
 
+def _down_to(lines: DataFrame, places: DataFrame, last: str, more: int = 0) -> DataFrame:
+    """The lines down to the lowest of the stored places; parts of the stored lines that lie further down are not read."""
+    lowest = places.agg(F.max(last)).first()[0]
+    return lines.filter(F.col("line_no") <= (-1 if lowest is None else lowest + more))
+
+
 def _texts(near: Column) -> Column:
     return F.transform(near, lambda x: x["line"])
 
@@ -87,7 +96,7 @@ def _defining_rules(lines: DataFrame) -> DataFrame:
         .when((text == "") | made_of(text, "-="), "stop")
         .when(has_any(F.upper(raw_line()), _BOX_WORDS), "box")
     )
-    marks = lines.select("path", "line_no", kind.alias("kind")).filter("kind is not null")
+    marks = lineage.stored(lines.select("path", "line_no", kind.alias("kind")).filter("kind is not null"))
     # What each solid rule meets first in the lines under it decides whether it tops a box.
     solid = marks.filter("kind = 'solid'").select("path", F.col("line_no").alias("_at"))
     meets = solid.withColumn("line_no", F.explode(F.sequence(F.col("_at") + 1, F.col("_at") + _LOOK))).join(marks.filter("kind <> 'groups'"), ["path", "line_no"])
@@ -99,13 +108,14 @@ def _defining_rules(lines: DataFrame) -> DataFrame:
 
 
 def dash_columns(lines: DataFrame) -> DataFrame:
-    rules = _defining_rules(lines)
+    rules = lineage.stored(_defining_rules(lines))
     text = strip(raw_line())
     furniture = lambda line: has_any(F.upper(line), _FURNITURE)
     unruled = lambda line: (strip(line) != "") & ~made_of(strip(line), "-= ")
-    over = lines.filter(unruled(raw_line()) & ~furniture(raw_line())).join(rules, "path").filter("line_no < _at")
+    top = _down_to(lines, rules, "_at", _LOOK)
+    over = top.join(rules, "path").filter("line_no < _at").filter(unruled(raw_line()) & ~furniture(raw_line()))
     above = over.groupBy("path").agg(F.max_by(F.rtrim(raw_line()), "line_no").alias("_above"))
-    heads = _near(lines, rules, _LOOK, _LOOK).join(above, "path", "left")
+    heads = _near(top, rules, _LOOK, _LOOK).join(above, "path", "left")
 
     near = F.col("_near")
     rule = F.get(F.filter(near, lambda x: x["n"] == 0), F.lit(0))["line"]
@@ -126,14 +136,17 @@ def dash_columns(lines: DataFrame) -> DataFrame:
         "_spans": F.when(first.contains("|"), spans(cell_starts(first))).when(F.size(gap_ends(first)) > 0, spans(F.concat(F.array(F.lit(0)), free))).otherwise(opened(groups)),
         "_titles": F.when(F.size("_beside") > 0, F.col("_beside")).otherwise(_texts(F.filter(near, lambda x: (x["n"] < 0) & (x["n"] > F.col("_ends"))))),
     })
-    columns = heads.select("path", (F.col("_at") + F.coalesce("_closing", F.lit(0))).alias("_from"), unrepeated(titled(F.col("_spans"), F.col("_titles"))).alias("_columns"), "_titles")
+    columns = lineage.stored(heads.select(
+        "path", (F.col("_at") + F.coalesce("_closing", F.lit(0))).alias("_from"), unrepeated(titled(F.col("_spans"), F.col("_titles"))).alias("_columns"), "_titles"))
 
     upper = F.upper(text)
     data = lines.filter(
         (text != "") & ~made_of(text, " -=|") & ~text.rlike(r"[\x00-\x08\x0a-\x1f]")
         & ~has_any(upper, _DATA_SKIP) & ~upper.startswith("TOTAL") & ~upper.contains("TOT VOUCH"))
-    rows = cut_cells(data.join(columns.select("path", "_from"), "path").filter("line_no > _from").drop("_from"), columns.drop("_from"))
-    return rows.filter(F.exists(F.map_values("cells"), lambda v: v != ""))
+    rows = cut_cells(data, columns)
+    # In one step, so that cells are cut once and not again for the filter.
+    inked = F.filter(F.array(F.struct("cells")), lambda x: F.exists(F.map_values(x["cells"]), lambda v: v != ""))
+    return rows.select("path", "line_no", F.inline(inked))
 
 
 # ---------------------------------------------------------------- columns from the positions that are blank on every line
@@ -160,20 +173,25 @@ def blank_columns(lines: DataFrame) -> DataFrame:
     two = rows.filter(ruled & F.col("line_no").isNotNull()).withColumn("_nth", nth).filter("_nth <= 2")
     at = lambda value, n: F.min_by(value, F.when(F.col("_nth") == n, F.col("line_no")))
     second = two.groupBy("path").agg(at("line_no", 1).alias("_first"), at("line_no", 2).alias("_second"), at("line", 2).alias("_rule")).filter("_second is not null")
-    # All other lines meet the rules in one shuffle, the same for the three that follow.
-    placed = rows.filter(~ruled).join(second, "path")
-    above = placed.filter("line_no > _first and line_no < _second").groupBy("path").agg(F.min_by("line", "line_no").alias("_over"))
-    header = second.join(above, "path", "left").select("path", F.coalesce("_over", "_rule").alias("_header"))
-    titles = placed.filter("line_no < _first").select("path", text.alias("text")).distinct()
+    second = lineage.stored(second)
+    top = _down_to(rows, second, "_second").filter(~ruled).join(second, "path")
+    above = top.filter("line_no > _first and line_no < _second").groupBy("path").agg(F.min_by("line", "line_no").alias("_over"))
+    header = second.join(above, "path", "left").select("path", F.coalesce("_over", "_rule").alias("_header"), "_second")
+    header = lineage.stored(header.withColumn("_text", strip("_header")))
+    titles = lineage.stored(top.filter("line_no < _first").select("path", text.alias("text")).distinct())
     data = (
-        placed.filter("line_no > _second").select("path", "line_no", "line", text.alias("text")).join(header, "path").filter(F.col("text") != strip("_header"))
+        rows.filter(~ruled).join(header.select("path", "_second", "_text"), "path").filter("line_no > _second")
+        .select("path", "line_no", "line", text.alias("text"), "_text").filter("text <> _text")
         .join(titles, ["path", "text"], "left_anti").select("path", "line_no", "line")
     )
-    shown = data.select("path", "line").unionAll(header.join(data.select("path").distinct(), "path", "left_semi").select("path", F.col("_header").alias("line")))
-    inked = occupancy.ink(occupancy.occupancy(shown, "path"), "path").join(header, "path").withColumn("_runs", ink_runs(F.col("ink")))
+    # Every row has ink, so the reports with rows are those that have some.
+    shown = lineage.stored(occupancy.occupancy(data, "path"))
+    headed = header.join(shown.select("path").distinct(), "path", "left_semi").select("path", F.col("_header").alias("line"))
+    occupied = shown.unionByName(occupancy.occupancy(headed, "path")).groupBy("path", "word").agg(F.bit_or("bits").alias("bits"))
+    inked = occupancy.ink(occupied, "path").join(header, "path").withColumn("_runs", ink_runs(F.col("ink")))
     midway = F.transform("_runs", lambda r, i: F.when(i == 0, 0).otherwise(F.floor((F.get("_runs", i - 1)["end"] + r["start"]) / 2)).cast("int"))
     columns = inked.withColumn("_spans", spans(midway)).select("path", unrepeated(_named_or_spilled(F.col("_spans"), F.col("_header"))).alias("_columns"))
-    return cut_cells(data, columns)
+    return cut_cells(data, lineage.stored(columns))
 
 
 # ---------------------------------------------------------------- columns from the last rule of the header

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import lineage
 from . import files, metadata, routing, staging
 from .layouts import INFERRED, LAYOUTS
 
@@ -33,8 +34,20 @@ def tables(lines: DataFrame, routed: DataFrame, layouts: list[str]) -> dict[str,
     return out
 
 
-def _judged(rows: DataFrame, layout: str) -> DataFrame:
-    return rows.withColumn(SUPERSEDED, F.lit(False)) if layout in staging.SHADOW_TABLES else _one_file_per_pair(rows)
+def _judged(rows: DataFrame, layout: str, work: str) -> tuple[DataFrame, DataFrame]:
+    """The rows to stage, and of each file how many these are and how many another file has superseded. ``rows`` are stored; they are
+    counted by file, date and branch, and only those few counts are compared. Superseded rows lie apart, in ``work``."""
+    spark = rows.sparkSession
+    keys = ["path"] if layout in staging.SHADOW_TABLES else ["path", *staging.PARTITIONS]
+    rows.groupBy(*keys).agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{work}/counted/{layout}")
+    found = spark.read.schema(", ".join([*[f"{k} string" for k in keys], "n bigint"])).parquet(f"{work}/counted/{layout}")
+    judged = found.withColumn(SUPERSEDED, F.lit(False)) if layout in staging.SHADOW_TABLES else _one_file_per_pair(found)
+    one = lambda hit, name: F.coalesce(F.sum(F.when(hit, F.col("n"))), F.lit(0).cast("bigint")).alias(name)
+    counts = judged.groupBy("path").agg(one(~F.col(SUPERSEDED), "staged"), one(F.col(SUPERSEDED), "superseded"))
+    gone = judged.filter(SUPERSEDED).select(*keys)
+    some = gone.limit(1).count() > 0
+    (rows.join(gone, keys, "left_semi") if some else rows.limit(0)).write.mode("overwrite").parquet(f"{work}/{SUPERSEDED}/{layout}")
+    return rows.join(gone, keys, "left_anti").select(*rows.columns) if some else rows, counts
 
 
 def _attach(rows: DataFrame, routed: DataFrame) -> DataFrame:
@@ -71,27 +84,31 @@ def ingest(spark: SparkSession, folder: str, root: str, work: str, limit: int =
         failed.select("path", "error"), allowMissingColumns=True)
 
 
-def ingest_lines(spark: SparkSession, lines: DataFrame, root: str, work: str) -> DataFrame:
-    lines.write.mode("overwrite").parquet(f"{work}/lines")
-    stored = spark.read.parquet(f"{work}/lines")
-    routed_files(stored).write.mode("overwrite").parquet(f"{work}/files")
+def ingest_lines(spark: SparkSession, lines: DataFrame, root: str, work: str, settled: bool = False) -> DataFrame:
+    """``settled``: the lines are read from stored files, so they are not stored once more before they are dealt to their layouts."""
+    with lineage.freed(spark):
+        return _ingested(spark, lines, root, work, settled)
+
+
+def _ingested(spark: SparkSession, lines: DataFrame, root: str, work: str, settled: bool) -> DataFrame:
+    if not settled:
+        lines.write.mode("overwrite").parquet(f"{work}/lines")
+        lines = spark.read.parquet(f"{work}/lines")
+    routed_files(lines).write.mode("overwrite").parquet(f"{work}/files")
     routed = spark.read.parquet(f"{work}/files")
-    split = stored.join(routed.filter("layout IS NOT NULL").select("path", "layout"), "path")
-    split.hint("rebalance", "layout").write.mode("overwrite").option("parquet.block.size", LINE_GROUP).partitionBy("layout").parquet(f"{work}/by_layout")
+    # A task reads the lines of a few files, hence of few layouts: they go to their folders without a shuffle.
+    split = lines.join(routed.filter("layout IS NOT NULL").select("path", "layout"), "path")
+    split.write.mode("overwrite").option("parquet.block.size", LINE_GROUP).partitionBy("layout").parquet(f"{work}/by_layout")
     # At most one name per layout comes to the driver.
     present = [r.layout for r in routed.select("layout").filter("layout IS NOT NULL").distinct().collect()]
     counts = spark.createDataFrame([], "path string, staged bigint, superseded bigint")
     if present:
         by_layout = spark.read.parquet(f"{work}/by_layout")
         for name, df in tables(by_layout, routed, sorted(present)).items():
-            # Parsed once: which file comes last is asked of the stored rows. Superseded rows lie apart: they are kept and counted, not staged.
+            # Parsed once: which file comes last is asked of the stored rows.
             df.write.mode("overwrite").parquet(f"{work}/attached/{name}")
-            df = _judged(spark.read.schema(df.schema).parquet(f"{work}/attached/{name}"), name)
-            parsed = f"{work}/parsed/{name}"
-            df.write.mode("overwrite").partitionBy(SUPERSEDED).parquet(parsed)
-            rows = spark.read.schema(df.schema).parquet(parsed)
-            staging.stage(rows.filter(~F.col(SUPERSEDED)).drop(SUPERSEDED), root, name)
-            one = F.count_if(~F.col(SUPERSEDED)).alias("staged"), F.count_if(SUPERSEDED).alias("superseded")
-            counts = counts.unionByName(rows.groupBy("path").agg(*one))
+            rows, counted = _judged(spark.read.schema(df.schema).parquet(f"{work}/attached/{name}"), name, work)
+            staging.stage(rows, root, name)
+            counts = counts.unionByName(counted)
     outcome = routed.select("path", "REPORT_ID", "layout", F.lit(None).cast("string").alias("error")).join(counts, "path", "left")
     return outcome.withColumns({c: F.coalesce(c, F.lit(0).cast("bigint")) for c in ("staged", "superseded")})

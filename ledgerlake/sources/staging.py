@@ -68,7 +68,8 @@ def stage(df: DataFrame, root: str, table: str) -> None:
         .partitionBy(*keys).parquet(f"{root}/{table}")
     )
     if CELLS in df.columns:
-        names = df.select(F.explode(F.map_keys(CELLS)).alias("name")).distinct()
+        # Files of a layout have few different lists of names.
+        names = df.select(F.map_keys(CELLS).alias("names")).distinct().select(F.explode("names").alias("name")).distinct()
     else:
         names = df.sparkSession.createDataFrame([(c,) for c in df.columns], "name string")
     known = _known_columns(df.sparkSession, root, table)

@@ -379,3 +379,24 @@ def test_stored_lines_are_shared_by_many_tasks(spark, tmp_path):
     ingest.ingest_lines(spark, lines.coalesce(1), f"{tmp_path}/stage", f"{tmp_path}/work")
     files = glob.glob(f"{tmp_path}/work/by_layout/*/*.parquet")
     assert sum(pq.ParquetFile(f).num_row_groups for f in files) > len(files)
+
+
+@pytest.mark.parametrize("way", [inferred.dash_columns, inferred.blank_columns])
+def test_data_lines_meet_their_columns_without_a_shuffle(make_lines, way):
+    page = ["-" * 40, "NO       BALANCE", "-" * 40] if way is inferred.blank_columns else ["NO       BALANCE", "-------- -------- --------"]
+    rows = way(make_lines({f"{x}.txt": [*page, "1        5.00", "2        6.00"] for x in "ab"}))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "SortMergeJoin" not in plan
+    assert rows.count() == 4
+
+
+@pytest.mark.parametrize("settled", [True, False])
+def test_ingest_stores_rows_once_and_superseded_ones_apart(spark, make_lines, tmp_path, settled):
+    lines = make_lines({"a.txt": _report("00061", "28/04/2025", ["1", "2"]), "b.txt": _report("00061", "28/04/2025", ["3"]), "c.txt": _report("00007", "28/04/2025", ["4"])})
+    lines.write.parquet(f"{tmp_path}/given")
+    work, name = tmp_path / "work", "DEPOSITS_BALANCE_FILE_DEPD0586"
+    done = ingest.ingest_lines(spark, spark.read.parquet(f"{tmp_path}/given"), f"{tmp_path}/stage", str(work), settled).collect()
+    assert {r.path: (r.staged, r.superseded) for r in done} == {"a.txt": (0, 2), "b.txt": (1, 0), "c.txt": (1, 0)}
+    assert {r.ACCOUNT_NUMBER for r in staging.read_staged(spark, f"{tmp_path}/stage", name).collect()} == {"3", "4"}
+    assert {r.ACCOUNT_NUMBER for r in spark.read.parquet(f"{work}/superseded/{name}").collect()} == {"1", "2"}
+    assert {p.name for p in work.iterdir()} == {"files", "by_layout", "attached", "counted", "superseded"} | (set() if settled else {"lines"})

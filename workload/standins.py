@@ -271,7 +271,8 @@ class Tables:
         key = (self.spark.sparkContext.applicationId, self.folder, name)
         if key not in _STORED:
             path = path or f"{lineage.shared_folder(self.spark)}/fixtures/{uuid.uuid4().hex}"
-            make(path)
+            with lineage.freed(self.spark):
+                make(path)
             _STORED[key] = path
         return _STORED[key]
 
