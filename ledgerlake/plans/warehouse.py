@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators import quality
+from ..operators import lineage, quality
 from ..session import tune
 from ..sources import staging
 from . import accounts, audit, branches, ledger, risk
@@ -109,16 +109,24 @@ class Warehouse:
 
     # ------------------------------------------------------------ writing
 
-    def publish(self, df: DataFrame, name: str, required: list[str], partitions: list[str] = (), covers: dict[str, list[str]] | None = None,
+    def publish(self, df: DataFrame | list[DataFrame], name: str, required: list[str], partitions: list[str] = (), covers: dict[str, list[str]] | None = None,
                 keys: list[str] | None = None, codes: list[str] = (), check: Callable[[DataFrame], None] | None = None) -> int:
         """Write, check, commit; returns the number of complete rows. ``covers``: the values of partition columns that the load
-        replaces, all if none. Duplicate keys or unknown codes stop the load before the commit."""
-        run, partitions = uuid.uuid4().hex, list(partitions)
+        replaces, all if none. Duplicate keys or unknown codes stop the load before the commit. Neither the write nor a check
+        leaves shuffle files behind. Of several frames, the rows of all make the load; they are written one after another, so that the
+        disk holds the shuffle of one at a time."""
+        with lineage.freed(self.spark):
+            return self._published(df if isinstance(df, list) else [df], name, required, list(partitions), covers, keys, codes, check)
+
+    def _published(self, parts: list[DataFrame], name: str, required: list[str], partitions: list[str], covers: dict[str, list[str]] | None,
+                   keys: list[str] | None, codes: list[str], check: Callable[[DataFrame], None] | None) -> int:
+        run = uuid.uuid4().hex
         missing = quality.missing_list(required)
-        rows = df.withColumn("missing", missing).withColumn(STATE, F.when(F.col("missing") == "", "complete").otherwise("broken"))
         path = f"{self.root}/{name}/{RUN}={run}"
-        spread = rows.hint("rebalance", STATE, *partitions) if partitions else rows
-        spread.write.partitionBy(STATE, *partitions).parquet(path)
+        for df in parts:
+            rows = df.withColumn("missing", missing).withColumn(STATE, F.when(F.col("missing") == "", "complete").otherwise("broken"))
+            spread = rows.hint("rebalance", STATE, *partitions) if partitions else rows
+            spread.write.mode("append").partitionBy(STATE, *partitions).parquet(path)
         schema = T.StructType([*[f for f in rows.schema.fields if f.name not in (*partitions, STATE)], *[f for f in rows.schema.fields if f.name in partitions]])
         full = T.StructType([*schema.fields, T.StructField(STATE, T.StringType())])
         complete = self.spark.read.schema(full).parquet(path).filter(F.col(STATE) == "complete")
@@ -170,7 +178,7 @@ def _accounts(w: Warehouse, day: str | None) -> int:
     # On a day, a category whose report is absent keeps its rows.
     covers = _day(day) | ({"ACCOUNT_CATEGORY": sorted(accounts.CATEGORY_OF[t] for t in staged)} if day else {})
     return w.publish(
-        accounts.account_snapshot(staged, day), ACCOUNTS, ["SNAPSHOT_DATE", "ACCOUNT_NO", "BRANCH_CODE"], ["SNAPSHOT_DATE", "ACCOUNT_CATEGORY"], covers,
+        [accounts.account_snapshot({t: df}, day) for t, df in staged.items()], ACCOUNTS, ["SNAPSHOT_DATE", "ACCOUNT_NO", "BRANCH_CODE"], ["SNAPSHOT_DATE", "ACCOUNT_CATEGORY"], covers,
         ["SNAPSHOT_DATE", "ACCOUNT_NO", "ACCOUNT_CATEGORY"], ["ACCOUNT_CATEGORY"])
 
 
@@ -197,7 +205,7 @@ def _audit(w: Warehouse, day: str | None) -> int:
     staged = w.staged(audit.BUILDERS)
     if not staged:
         return 0
-    return w.publish(audit.audit_exceptions(staged, day), AUDIT, ["SNAPSHOT_DATE", "BRANCH_CODE"], ["SNAPSHOT_DATE"], _day(day), codes=["EXCEPTION_TYPE", "SEVERITY"])
+    return w.publish([audit.audit_exceptions({t: df}, day) for t, df in staged.items()], AUDIT, ["SNAPSHOT_DATE", "BRANCH_CODE"], ["SNAPSHOT_DATE"], _day(day), codes=["EXCEPTION_TYPE", "SEVERITY"])
 
 
 def _movement(source: str, target: str, build, date_column: str):

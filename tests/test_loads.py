@@ -209,3 +209,21 @@ def test_a_fact_lays_out_only_the_tables_it_loads(spark, tmp_path):
     assert loads.fact(t, warehouse.ACCOUNTS).count() == 3
     folder = t.staging().removeprefix("file://")
     assert sorted(n for n in os.listdir(folder) if not n.startswith(".")) == sorted(loads._TABLES[n] for n in loads.ACCOUNT_SOURCES.split())
+
+
+def test_reports_of_a_load_are_written_one_after_another(spark, tmp_path, monkeypatch):
+    """Each report of an account or audit load is a write of its own, and its shuffle files go when it ends."""
+    from ledgerlake.operators import lineage, quality
+
+    t, sources = Tables(spark, FOLDER), ("breaches", "large", "liens")
+    for table, df in staged(t, *ACCOUNT_SOURCES.split(), *sources).items():
+        df.write.parquet(f"{tmp_path}/stage/{table}")
+    w, seen, kept = warehouse.Warehouse(spark, f"{tmp_path}/stage", f"{tmp_path}/dw"), [], quality.missing_list
+    monkeypatch.setattr(quality, "missing_list", lambda required: (seen.append(spark.conf.get(lineage.FREED, "false")), kept(required))[1])
+    before = spark.conf.get(lineage.FREED, "false")
+    assert warehouse.load_accounts(w) == sum(t(n).count() for n in ACCOUNT_SOURCES.split())
+    assert warehouse.load_audit(w) == sum(t(n).count() for n in sources)
+    assert seen == ["true", "true"] and spark.conf.get(lineage.FREED, "false") == before
+    for name, n in ((warehouse.ACCOUNTS, 3), (warehouse.AUDIT, 3)):
+        files = w.table(name).inputFiles()
+        assert len({f.rsplit("/", 1)[-1].split("-")[2] for f in files}) == n  # a job each
